@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from string import Formatter
+from string import Formatter, ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +69,9 @@ def extract_sql(col: Column) -> Column:
         ),
         lambda b: b != "",
     )
-    found = lambda word: F.instr(F.upper(col), word)
+    # Only ASCII letters change case, so positions in the raised text hold in the text itself.
+    raised = F.translate(col, ascii_lowercase, ascii_uppercase)
+    found = lambda word: F.instr(raised, word)
     from_word = F.coalesce(
         *[F.when(found(w) > 0, strip(F.substring(col, found(w), F.length(col)))) for w in SQL_START_WORDS]
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askgauge.session import cut_lineage
+
 # Hash ranks are resolved through a histogram over this many leading hex digits.
 HEX_DIGITS = 3
 
@@ -80,6 +82,11 @@ def sample_sets(
     return _pick_smallest(tries, ["set_id"], F.lit(size)).select("set_id", "rec_id")
 
 
+def cut_sets(membership: DataFrame) -> DataFrame:
+    """Store the drawn sets (sets x size rows) so that later joins do not draw them again."""
+    return cut_lineage(membership)
+
+
 def set_accuracy(membership: DataFrame, accuracy: DataFrame) -> DataFrame:
     """Mean accuracy of every subset (``accuracy`` holds ``rec_id, accuracy``)."""
     return (

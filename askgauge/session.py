@@ -20,6 +20,7 @@ def get_spark(app_name: str = "askgauge", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
