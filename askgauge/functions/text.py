@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter, ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -191,24 +192,33 @@ def feature_counts(queries: DataFrame, sql_col: str = "sql") -> DataFrame:
     )
 
 
-def language_scores(col: Column) -> dict[str, Column]:
-    """Per language, how many words of the text are its function words.
-
-    Counted row by row inside the scan stage: no explode, no join, no shuffle.
-    """
-    low = F.lower(or_blank(col))
-    return {
-        lang: F.regexp_count(low, F.lit(rf"(?<!\S)(?:{'|'.join(words)})(?!\S)"))
-        for lang, words in STOP_WORDS.items()
-    }
+def _listed_in(listed: list[str]) -> Callable[[Column], Column]:
+    return lambda word: word.isin(listed)
 
 
 def detect_language(col: Column) -> Column:
-    """Language of the highest score; null when no function word occurs.  Ties go to the
-    language listed first."""
-    scores = language_scores(col)
-    best = F.greatest(*scores.values())
-    out = F.lit(None).cast("string")
-    for lang in reversed(list(scores)):
-        out = F.when(scores[lang] == best, F.lit(lang)).otherwise(out)
-    return F.when(best > 0, out)
+    """Language whose function words are most frequent in the text; null when none occurs.
+
+    Ties go to the language listed first.  All of it is one expression on the
+    row: no explode, no join, no shuffle.  The words are looked up in a hash set
+    once and only the hits are counted by language.
+    """
+    words = F.split(F.lower(or_blank(col)), r"\s+")
+    every = sorted({w for listed in STOP_WORDS.values() for w in listed})
+    hits = F.filter(words, lambda w: w.isin(every))
+    nothing = F.struct(
+        F.lit(0).alias("score"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("lang")
+    )
+
+    def best(found: Column) -> Column:
+        ranked = [
+            F.struct(
+                F.size(F.filter(found, _listed_in(listed))).alias("score"),
+                F.lit(-place).alias("place"),
+                F.lit(lang).alias("lang"),
+            )
+            for place, (lang, listed) in enumerate(STOP_WORDS.items(), start=1)
+        ]
+        return F.greatest(nothing, *ranked)
+
+    return F.get(F.transform(F.array(hits), best), F.lit(0))["lang"]

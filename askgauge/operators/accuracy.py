@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgauge.functions.text import or_blank, sql_key
+from askgauge.session import scratch_path
 
 DECIMALS = 6
 # Doubles above this size keep their own text form instead of the fixed-point one.
@@ -23,35 +24,42 @@ DIGEST_SCHEMA = "query_id string, n bigint, head decimal(38,0), tail decimal(38,
 Runner = Callable[[str, str], DataFrame]
 
 
-def cell_key(col: Column, kind: T.DataType) -> Column:
-    """Typed text of one result cell: numbers by value at six places, texts tagged, null apart."""
-    fixed = lambda c: F.concat(F.lit("n"), c.cast(f"decimal(38,{DECIMALS})").cast("string"))
+def cell_key(name: str, kind: T.DataType) -> str:
+    """SQL text that gives the typed text of one result cell: numbers by value at six
+    places, texts tagged, null apart.
+
+    Written as SQL text because a workload builds it for every column of every query.
+    """
+    col = f"`{name}`"
+    fixed = lambda x: f"concat('n', cast(cast({x} as decimal(38,{DECIMALS})) as string))"
     if isinstance(kind, T.BooleanType):
-        out = fixed(col.cast("int"))
+        out = fixed(f"cast({col} as int)")
     elif isinstance(kind, T.DecimalType):
-        out = fixed(F.round(col, DECIMALS))
+        out = fixed(f"round({col}, {DECIMALS})")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        number = col.cast("double")
-        plain = ~F.isnan(number) & (F.abs(number) < FIXED_POINT_LIMIT)
-        out = F.when(plain, fixed(F.round(number, DECIMALS))).otherwise(
-            F.concat(F.lit("f"), number.cast("string"))
-        )
+        number = f"cast({col} as double)"
+        plain = f"not isnan({number}) and abs({number}) < {FIXED_POINT_LIMIT}"
+        rounded = fixed(f"round({number}, {DECIMALS})")
+        out = f"case when {plain} then {rounded} else concat('f', cast({number} as string)) end"
     elif isinstance(kind, T.IntegralType):
         out = fixed(col)
     elif isinstance(kind, T.BinaryType):
-        out = F.concat(F.lit("b"), F.hex(col))
+        out = f"concat('b', hex({col}))"
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        out = F.concat(F.lit("s"), F.to_json(F.struct(col.alias("v"))))
+        out = f"concat('s', to_json(struct({col} as v)))"
     else:
-        out = F.concat(F.lit("s"), col.cast("string"))
-    return F.coalesce(out, F.lit("N"))
+        out = f"concat('s', cast({col} as string))"
+    return f"coalesce({out}, 'N')"
 
 
 def row_key(df: DataFrame, columns: list[str] | None = None) -> Column:
     """Digest of a row that ignores column names and keeps column order."""
-    names = columns or df.columns
-    cells = [cell_key(F.col(f"`{n}`"), df.schema[n].dataType) for n in names]
-    return F.md5(F.to_json(F.array(*cells))) if cells else F.lit("")
+    return F.expr(_row_key(df, columns or df.columns))
+
+
+def _row_key(df: DataFrame, names: list[str]) -> str:
+    cells = ", ".join(cell_key(n, df.schema[n].dataType) for n in names)
+    return f"md5(to_json(array({cells})))"
 
 
 def _nameless(result: DataFrame) -> DataFrame:
@@ -77,17 +85,12 @@ def bag_digest(result: DataFrame, query_id: str) -> DataFrame:
     one record per task, however large the results are.
     """
     plain = _nameless(result)
-    part = lambda start: F.conv(F.substring("k", start, 15), 16, 10).cast("decimal(20,0)")
-    return (
-        plain.select(row_key(plain).alias("k"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[
-                F.coalesce(F.sum(part(at)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(name)
-                for at, name in ((1, "head"), (16, "tail"))
-            ],
-        )
-        .select(F.lit(query_id).alias("query_id"), "n", "head", "tail")
+    part = lambda start: (
+        f"coalesce(cast(sum(cast(conv(substr(k, {start}, 15), 16, 10) as decimal(20,0))) as decimal(38,0)),"
+        " cast(0 as decimal(38,0)))"
+    )
+    return plain.selectExpr(f"{_row_key(plain, plain.columns)} as k").selectExpr(
+        f"'{query_id}' as query_id", "count(1) as n", f"{part(1)} as head", f"{part(16)} as tail"
     )
 
 
@@ -142,21 +145,35 @@ def catalog_runner(spark: SparkSession) -> Runner:
     return run
 
 
-def view_runner(spark: SparkSession, databases: Mapping[str, Mapping[str, DataFrame]]) -> Runner:
-    """Databases are named groups of DataFrames, visible only while a query is analysed."""
+@contextmanager
+def view_runner(
+    spark: SparkSession, databases: Mapping[str, Mapping[str, DataFrame]]
+) -> Iterator[Runner]:
+    """Databases are named groups of DataFrames, visible as views inside the ``with`` block."""
+    shown: list[str] = []
+
+    def hide() -> None:
+        while shown:
+            spark.catalog.dropTempView(shown.pop())
+
+    current = None
 
     def run(db_id: str, sql: str) -> DataFrame:
+        nonlocal current
         if db_id not in databases:
             raise LookupError(f"database not found for db_id={db_id}")
-        for name, df in databases[db_id].items():
-            df.createOrReplaceTempView(name)
-        try:
-            return read_only(spark, sql)
-        finally:
-            for name in databases[db_id]:
-                spark.catalog.dropTempView(name)
+        if db_id != current:
+            hide()
+            for name, df in databases[db_id].items():
+                df.createOrReplaceTempView(name)
+                shown.append(name)
+            current = db_id
+        return read_only(spark, sql)
 
-    return run
+    try:
+        yield run
+    finally:
+        hide()
 
 
 def unique_queries(records: DataFrame) -> DataFrame:
@@ -190,22 +207,20 @@ def workload_queries(records: DataFrame) -> DataFrame:
     return unique_queries(long.filter("db_id <> '' and sql <> ''"))
 
 
-def run_queries(spark: SparkSession, queries: list, runner: Runner) -> tuple[DataFrame, DataFrame]:
-    """Result digests of the given query rows, unioned, and the status of each.
+def run_queries(queries: list, runner: Runner) -> tuple[DataFrame | None, dict[str, str]]:
+    """Result digests of the given query rows as one lazy union, and the queries that failed.
 
-    A query that does not analyse becomes an error row without starting a job.
+    A query that does not analyse becomes an error without starting a job.
     """
-    digests, status = spark.createDataFrame([], DIGEST_SCHEMA), []
-    with lenient_sql(spark):
-        for row in queries:
-            try:
-                one = bag_digest(runner(row["db_id"], row["sql"]), row["query_id"])
-            except (PySparkException, LookupError) as problem:
-                status.append((row["query_id"], str(problem).splitlines()[0]))
-                continue
-            status.append((row["query_id"], None))
-            digests = digests.unionByName(one)
-    return digests, spark.createDataFrame(status, STATUS_SCHEMA)
+    digests, errors = None, {}
+    for row in queries:
+        try:
+            one = bag_digest(runner(row["db_id"], row["sql"]), row["query_id"])
+        except (PySparkException, LookupError) as problem:
+            errors[row["query_id"]] = str(problem).splitlines()[0]
+            continue
+        digests = one if digests is None else digests.unionByName(one)
+    return digests, errors
 
 
 def run_and_store(
@@ -214,42 +229,43 @@ def run_and_store(
     """Run queries in batches and keep their digests in the shared folder.
 
     When a batch fails while running, its queries run one by one and the failing
-    ones become error rows; the others keep their results.
+    ones become error rows; the others keep their results.  Batch folders are
+    replaced as a whole, so a retry never adds a digest twice.
     """
-    path = f"{folder}/digests"
-    spark.createDataFrame([], DIGEST_SCHEMA).write.mode("overwrite").parquet(path)
     errors: dict[str, str] = {}
+    stored: list[str] = []
 
-    def store(rows: list) -> None:
-        digests, status = run_queries(spark, rows, runner)
-        digests.write.mode("append").parquet(path)
-        errors.update({s["query_id"]: s["error"] for s in status.collect() if s["error"]})
-
-    for start in range(0, len(queries), batch):
-        rows = queries[start : start + batch]
-        try:
-            store(rows)
-        except PySparkException:
-            for row in rows:
-                try:
-                    store([row])
-                except PySparkException as problem:
-                    errors[row["query_id"]] = str(problem).splitlines()[0]
-    status = spark.createDataFrame(
-        [(q["query_id"], errors.get(q["query_id"])) for q in queries], STATUS_SCHEMA
-    )
-    return spark.read.schema(DIGEST_SCHEMA).parquet(path), status
-
+    def store(rows: list, name: str) -> None:
+        digests, failed = run_queries(rows, runner)
+        if digests is not None:
+            digests.write.mode("overwrite").parquet(f"{folder}/{name}")
+            stored.append(f"{folder}/{name}")
+        errors.update(failed)
 
-def score_records(records: DataFrame, digests: DataFrame, status: DataFrame) -> DataFrame:
+    with lenient_sql(spark):
+        for start in range(0, len(queries), batch):
+            rows = queries[start : start + batch]
+            try:
+                store(rows, f"batch-{start}")
+            except PySparkException:
+                for i, row in enumerate(rows):
+                    try:
+                        store([row], f"single-{start + i}")
+                    except PySparkException as problem:
+                        errors[row["query_id"]] = str(problem).splitlines()[0]
+    reader = spark.read.schema(DIGEST_SCHEMA)
+    digests = reader.parquet(*stored) if stored else spark.createDataFrame([], DIGEST_SCHEMA)
+    return digests, spark.createDataFrame(list(errors.items()), STATUS_SCHEMA)
+
+
+def score_records(records: DataFrame, digests: DataFrame, errors: DataFrame) -> DataFrame:
     """``id, db_id, execution_accuracy``: 1 when neither query failed and both bags agree.
 
     A blank query or database gives an empty result without an error.
     """
-    outcome = status.join(digests, "query_id", "left").select(
-        "query_id",
-        F.col("error").isNotNull().alias("failed"),
-        F.struct("n", "head", "tail").alias("digest"),
+    digest = F.struct("n", "head", "tail")
+    outcome = digests.select("query_id", F.lit(False).alias("failed"), digest.alias("digest")).unionByName(
+        errors.select("query_id", F.lit(True).alias("failed")), allowMissingColumns=True
     )
     end = lambda side: outcome.select(*[F.col(c).alias(f"{side}_{c}") for c in outcome.columns])
     zero = F.lit(0)
@@ -271,17 +287,13 @@ def accuracy_samples(
 ) -> DataFrame:
     """Score of every record (``id, db_id, gold_sql, pred_sql``).
 
-    Only the distinct query texts pass through the driver.  With ``folder`` the
-    digests are stored batch by batch and run-time failures are isolated;
-    without it the whole workload stays one lazy plan.
+    Only the distinct query texts pass through the driver; each runs once and
+    leaves one digest row in ``folder`` (by default below the shared folder).
     """
     spark = records.sparkSession
-    queries = workload_queries(records).select("query_id", "db_id", "sql").orderBy("query_id").collect()
-    if folder:
-        digests, status = run_and_store(spark, queries, runner, folder)
-    else:
-        digests, status = run_queries(spark, queries, runner)
-    return score_records(records, digests, status)
+    queries = workload_queries(records).select("query_id", "db_id", "sql").orderBy("db_id", "query_id").collect()
+    folder = folder or scratch_path(spark, "digests")
+    return score_records(records, *run_and_store(spark, queries, runner, folder))
 
 
 def ordered_samples(samples: DataFrame) -> DataFrame:

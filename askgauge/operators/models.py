@@ -40,6 +40,7 @@ def fit_accuracy(
 
     With enough rows a held-out fifth fits an isotonic calibration on top, whose
     output is ``calibrated``.  Values outside its range are clipped to the ends.
+    Fitting scans ``rows`` many times: pass stored or checkpointed rows.
     """
     base = Pipeline(
         stages=[
@@ -48,11 +49,9 @@ def fit_accuracy(
             _regressor(kind, label, seed),
         ]
     )
-    # The descriptors are expensive and few; both fits read them from storage.
-    rows = cut_lineage(rows)
     if not calibrate or rows.count() < MIN_ROWS_TO_CALIBRATE:
         return base.fit(rows)
-    split = holdout_split(rows, id_cols, seed)
+    split = cut_lineage(holdout_split(rows, id_cols, seed))
     fitted = base.fit(split.filter("not is_holdout"))
     held = fitted.transform(split.filter("is_holdout"))
     isotonic = IsotonicRegression(featuresCol="raw", labelCol=label, predictionCol="calibrated").fit(held)

@@ -12,6 +12,7 @@ from askgauge.functions import text as texts
 from askgauge.operators import accuracy, cells, dedup, models, pooling, sampling, shift, subsets, workload
 from askgauge.functions.vectors import unit_directions
 from askgauge.plans import inputs
+from askgauge.session import cut_lineage
 from askgauge.sources import records as record_source
 from askgauge.sources.vectors import pair_vectors
 
@@ -143,7 +144,8 @@ def sample_set_accuracy(spark, d):
 @register("shift_by_set")
 def shift_by_set(spark, d):
     source = inputs.vectors(spark, d).filter("side = 'source'")
-    found = subsets.shift_by_set(_membership(spark, d), _target(spark, d), source, SET_SIZE, SET_SLICES)
+    members = sampling.cut_sets(_membership(spark, d))
+    found = subsets.shift_by_set(members, _target(spark, d), source, SET_SIZE, SET_SLICES)
     return inputs.rounded(found, *shift.DESCRIPTORS)
 
 
@@ -157,7 +159,7 @@ def _training_rows(spark, d):
     members = sampling.cut_sets(_membership(spark, d))
     source = inputs.vectors(spark, d).filter("side = 'source'")
     deltas = subsets.shift_by_set(members, _target(spark, d), source, SET_SIZE, SET_SLICES)
-    return subsets.training_rows(deltas, sampling.set_accuracy(members, _target(spark, d)))
+    return cut_lineage(subsets.training_rows(deltas, sampling.set_accuracy(members, _target(spark, d))))
 
 
 @register("regress_accuracy")
@@ -217,8 +219,8 @@ def echo_model(settings):
 # --- execution accuracy ------------------------------------------------------------------
 
 def _samples(spark, d):
-    runner = accuracy.view_runner(spark, inputs.databases(spark, d))
-    return accuracy.accuracy_samples(inputs.query_pairs(spark), runner)
+    with accuracy.view_runner(spark, inputs.databases(spark, d)) as runner:
+        return accuracy.accuracy_samples(inputs.query_pairs(spark), runner)
 
 
 @register("exec_accuracy_samples")

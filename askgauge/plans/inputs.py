@@ -15,7 +15,7 @@ ROW_KEYS = {
     "supplier": "s_suppkey",
     "part": "p_partkey",
     "orders": "o_orderkey",
-    "lineitem": "l_orderkey * 10 + l_linenumber",
+    "lineitem": "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey",
 }
 
 # Gold and predicted queries over the tables: (id, db_id, gold, predicted).

@@ -293,7 +293,7 @@ MONEY = {
 DATES = {"o_orderdate", "l_shipdate"}
 ROW_KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
-    "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey * 10 + l_linenumber",
+    "part": "p_partkey", "orders": "o_orderkey", "lineitem": "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey",
 }
 
 

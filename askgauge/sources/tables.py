@@ -137,15 +137,18 @@ def cell_text(df: DataFrame, name: str) -> Column:
 
 
 def table_to_cells(df: DataFrame, table_id: str, row_idx: Column) -> DataFrame:
-    """Unpivot one table in a single narrow pass."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), cell_text(df, n).alias("value"))
-            for i, n in enumerate(df.columns)
-        ]
-    )
-    return df.select(
-        F.lit(table_id).alias("table_id"), row_idx.cast("bigint").alias("row_idx"), F.inline(cells)
+    """Unpivot one table in a single narrow pass.
+
+    Rows are multiplied first and the value picked by position afterwards: a
+    query that does not look at the values then reads only the row key.
+    """
+    names = F.array(*[F.lit(n) for n in df.columns])
+    spot = F.col("col_idx")
+    value = F.when(spot == 0, cell_text(df, df.columns[0]))
+    for i, name in enumerate(df.columns[1:], start=1):
+        value = value.when(spot == i, cell_text(df, name))
+    return df.select("*", F.posexplode(names).alias("col_idx", "col_name")).select(
+        F.lit(table_id).alias("table_id"), row_idx.cast("bigint").alias("row_idx"), "col_idx", "col_name", value.alias("value")
     )
 
 
