@@ -159,28 +159,26 @@ def chat_prompt(system: str, prompt: Column) -> Column:
 def sql_features(col: Column) -> Column:
     """Tables, quoted columns, aggregates and predicate forms of a query text, each once,
     as ``array<struct<kind, name>>``."""
-    outside = F.regexp_replace(or_blank(col), r"'(?:[^']|'')*'", "''")
-    tag = lambda kind, names: F.transform(
-        names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
-    )
-    tables = F.transform(F.regexp_extract_all(outside, F.lit(NAME_AFTER_SOURCE), F.lit(1)), F.lower)
-    names = F.transform(F.regexp_extract_all(outside, F.lit(QUOTED_NAME), F.lit(1)), F.lower)
     calls = rf"(?i)\b({'|'.join(AGGREGATE_NAMES)})\s*\("
-    aggregates = F.transform(F.regexp_extract_all(outside, F.lit(calls), F.lit(1)), F.upper)
-    predicates = F.filter(
-        F.array(
-            *[F.when(outside.rlike(p), F.lit(name)) for name, p in PREDICATE_PATTERNS.items()]
-        ),
-        lambda n: n.isNotNull(),
-    )
-    return F.array_distinct(
-        F.concat(
+
+    def tag(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    def features(body: Column) -> Column:
+        grab = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
+        tables = F.transform(grab(NAME_AFTER_SOURCE), F.lower)
+        forms = [F.when(body.rlike(p), F.lit(name)) for name, p in PREDICATE_PATTERNS.items()]
+        found = F.concat(
             tag("table", tables),
-            tag("column", F.array_except(names, tables)),
-            tag("aggregate", aggregates),
-            tag("predicate", predicates),
+            tag("column", F.array_except(F.transform(grab(QUOTED_NAME), F.lower), tables)),
+            tag("aggregate", F.transform(grab(calls), F.upper)),
+            tag("predicate", F.filter(F.array(*forms), lambda n: n.isNotNull())),
         )
-    )
+        return F.array_distinct(found)
+
+    # Quoted texts are blanked once; the one-element array binds the result to a name.
+    outside = F.regexp_replace(or_blank(col), r"'(?:[^']|'')*'", "''")
+    return F.get(F.transform(F.array(outside), features), F.lit(0))
 
 
 def feature_counts(queries: DataFrame, sql_col: str = "sql") -> DataFrame:

@@ -46,9 +46,12 @@ def cell_key(name: str, kind: T.DataType) -> str:
     elif isinstance(kind, T.BinaryType):
         out = f"concat('b', hex({col}))"
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        out = f"concat('s', to_json(struct({col} as v)))"
+        text = rf"replace(to_json(struct({col} as v)), '\u001f', '\\u')"
+        out = f"concat('s', {text})"
     else:
-        out = f"concat('s', cast({col} as string))"
+        # The cell separator and the escape sign are escaped, so different rows never join alike.
+        text = rf"replace(replace(cast({col} as string), '\\', '\\\\'), '\u001f', '\\u')"
+        out = f"concat('s', {text})"
     return f"coalesce({out}, 'N')"
 
 
@@ -59,7 +62,7 @@ def row_key(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 def _row_key(df: DataFrame, names: list[str]) -> str:
     cells = ", ".join(cell_key(n, df.schema[n].dataType) for n in names)
-    return f"md5(to_json(array({cells})))"
+    return f"md5(concat_ws('\\u001f', {cells}))"
 
 
 def _nameless(result: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgauge.functions.text import detect_language
-from askgauge.session import cut_lineage
+from askgauge.session import cut_lineage, small_side
 
 
 def table_profile(cells: DataFrame) -> DataFrame:
@@ -25,8 +25,12 @@ def structural_filter(cells: DataFrame, min_rows: int = 5, min_cols: int = 5) ->
 
 
 def table_headers(cells: DataFrame) -> DataFrame:
-    """Header of each table as one array, in column order."""
-    columns = cells.groupBy("table_id", "col_idx").agg(F.min("col_name").alias("col_name"))
+    """Header of each table as one array, in column order.
+
+    Names repeat on every row, so they are made distinct in the map tasks first
+    (a hash aggregate; an aggregate function over text would sort the rows).
+    """
+    columns = cells.select("table_id", "col_idx", "col_name").distinct()
     return columns.groupBy("table_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("col_idx", "col_name"))), lambda c: c["col_name"]
@@ -50,16 +54,20 @@ def english_tables(headers: DataFrame, first: int = 5) -> DataFrame:
     return headers.filter(hit).select("table_id")
 
 
+def _words(value: Column) -> Column:
+    """Lower-case words of a cell.  Most cells are one word and skip the pattern split."""
+    low = F.lower(F.coalesce(value, F.lit("nan")))
+    several = F.filter(F.split(low, r"\s+"), lambda t: t != "")
+    return F.when(low.rlike(r"\s"), several).when(low != "", F.array(low))
+
+
 def semantic_richness(cells: DataFrame) -> DataFrame:
     """Distinct words per cell, at most 1.
 
     Words are distinct per (table, word) before they meet by table, so one huge
     table spreads over all tasks.  A missing cell counts as the word ``nan``.
     """
-    tokens = F.filter(
-        F.split(F.lower(F.coalesce("value", F.lit("nan"))), r"\s+"), lambda t: t != ""
-    )
-    words = cells.select("table_id", F.explode(tokens).alias("word"))
+    words = cells.select("table_id", F.explode(_words(F.col("value"))).alias("word"))
     distinct = words.distinct().groupBy("table_id").agg(F.count(F.lit(1)).alias("n_words"))
     sizes = cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_cells"))
     return sizes.join(distinct, "table_id", "left").select(
@@ -86,13 +94,21 @@ def curated_cells(
 
 
 def first_rows(cells: DataFrame, count: int) -> DataFrame:
-    """Cells of the first ``count`` rows of each table and column.
+    """Cells of the first ``count`` rows of each table.
 
-    The rank limit is pushed below the shuffle, so at most ``count`` rows per
-    column leave each task.
+    Rows are ranked once per table, not per cell, and the rank limit is pushed
+    below the shuffle, so at most ``count`` row keys per table leave each task.
+    The last key kept then filters the cells where they are.
     """
-    order = Window.partitionBy("table_id", "col_idx").orderBy("row_idx")
-    return cells.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= count).drop("_r")
+    order = Window.partitionBy("table_id").orderBy("row_idx")
+    rows = cells.filter("col_idx = 0").select("table_id", "row_idx")
+    last = (
+        rows.withColumn("_r", F.row_number().over(order))
+        .filter(F.col("_r") <= count)
+        .groupBy("table_id")
+        .agg(F.max("row_idx").alias("_last"))
+    )
+    return cells.join(small_side(last), "table_id").filter("row_idx <= _last").drop("_last")
 
 
 def infer_foreign_keys(

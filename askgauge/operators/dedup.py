@@ -59,35 +59,46 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     )
     # Repeats count separately: the second "ab" of a text is a gram of its own.
     twin = Window.partitionBy("node", "g").orderBy(F.lit(0))
-    numbered = grams.withColumn("k", F.row_number().over(twin))
-    rarity = numbered.groupBy("g", "k").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("node").orderBy("df", "g", "k")
+    nth = F.row_number().over(twin).cast("string")
+    numbered = cut_lineage(grams.withColumn("nth", nth).select("node", "len", F.concat("g", "nth").alias("g")))
+    rarity = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rare_first = Window.partitionBy("node").orderBy("df", "g")
     indexed = (
-        numbered.join(rarity, ["g", "k"])
+        numbered.join(rarity, "g")
         .withColumn("_r", F.row_number().over(rare_first))
         .filter(F.col("_r") <= F.col("len") - 1 - owed + 1)
-        .select("node", "len", "g", "k")
+        .select("node", "len", "g")
     )
     # A short text can owe nothing to a partner that owes it nothing either.
-    short = nodes.filter(owed <= 0).select("node", "len", F.lit("").alias("g"), F.lit(0).alias("k"))
+    short = nodes.filter(owed <= 0).select("node", "len", F.lit("").alias("g"))
     indexed = indexed.unionByName(short)
     # Lengths that can pair differ by at most one band.
     band = F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / (math.log(reach) + 1e-6)).cast("int")
-    left = indexed.select(F.col("node").alias("a"), F.col("len").alias("len_a"), "g", "k", band.alias("band"))
+    left = indexed.select(F.col("node").alias("a"), F.col("len").alias("len_a"), "g", band.alias("band"))
     right = indexed.select(
         F.col("node").alias("b"),
         F.col("len").alias("len_b"),
         "g",
-        "k",
         F.explode(F.array(band - 1, band, band + 1)).alias("band"),
     )
     close = 200.0 * F.least("len_a", "len_b") / (F.col("len_a") + F.col("len_b")) >= threshold
-    candidates = left.join(right, ["g", "k", "band"]).filter(F.col("a") < F.col("b")).filter(close)
+    candidates = left.join(right, ["g", "band"]).filter(F.col("a") < F.col("b")).filter(close)
     candidates = candidates.select("a", "b").distinct()
-    text = lambda side: nodes.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+    bags = numbered.groupBy("node").agg(F.collect_list("g").alias("grams"))
+    whole = nodes.join(bags, "node", "left").withColumn(
+        "grams", F.coalesce("grams", F.array().cast("array<string>"))
+    )
+    side = lambda end: whole.select(
+        *[F.col(c).alias(end if c == "node" else f"{c}_{end}") for c in ("node", "text", "len", "grams")]
+    )
+    # All shared grams are counted next, which leaves few pairs for the exact score.
+    enough = F.size(F.array_intersect("grams_a", "grams_b")) >= _shared_grams(
+        F.col("len_a") + F.col("len_b"), threshold
+    )
     return (
-        candidates.join(text("a"), "a")
-        .join(text("b"), "b")
+        candidates.join(side("a"), "a")
+        .join(side("b"), "b")
+        .filter(enough)
         .withColumn("ratio", indel_ratio("text_a", "text_b"))
         .filter(F.col("ratio") >= threshold)
         .select("a", "b", "ratio")

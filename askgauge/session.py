@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app_name: str = "askgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,3 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Mark a narrow lookup for broadcast only when its counted size allows it.
+
+    The rows are stored first, so counting them does not compute them twice.
+    Beyond the bound the join is left to the planner.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

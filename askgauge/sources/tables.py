@@ -132,7 +132,7 @@ def cell_text(df: DataFrame, name: str) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.col(name).cast("decimal(18,2)").cast("string")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(name, "yyyy-MM-dd")
+        return F.col(name).cast("date").cast("string")
     return F.col(name).cast("string")
 
 
