@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,16 +16,24 @@ def sorted_tokens(col: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(col, r"\s+"), lambda t: t != "")), " ")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one big-integer step per character of b."""
+@lru_cache(maxsize=4096)
+def _positions(text: str) -> dict[str, int]:
+    """Per character, the bit set of its positions; partners of one text come in runs."""
     where: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(text):
         where[ch] = where.get(ch, 0) | (1 << i)
+    return where
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one big-integer step per character of b."""
+    where = _positions(a)
     full = (1 << len(a)) - 1
     row = full
     for ch in b:
         hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 

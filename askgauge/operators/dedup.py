@@ -12,6 +12,8 @@ from askgauge.operators.cells import canonical_header
 from askgauge.session import cut_lineage
 
 MAX_ROUNDS = 200
+# 64-bit words in the bit set that marks the grams of a text.
+MARK_WORDS = 8
 
 
 def header_groups(headers: DataFrame) -> DataFrame:
@@ -38,13 +40,43 @@ def _shared_grams(total_length: Column, threshold: float) -> Column:
     return lcs * 3 - total_length - 1
 
 
+def _letter_pairs(nodes: DataFrame) -> DataFrame:
+    """``node, len, g``: two-letter grams as numbers, built from both code points and, since
+    repeats count separately, the running number of the repeat."""
+    spots = F.sequence(F.lit(1), F.col("len") - 1)
+    pair = F.transform(
+        spots,
+        lambda i: F.shiftleft(F.ascii(F.substring("text", i, F.lit(1))).cast("bigint"), 42)
+        + F.shiftleft(F.ascii(F.substring("text", i + 1, F.lit(1))).cast("bigint"), 21),
+    )
+    grams = nodes.filter("len > 1").select("node", "len", F.explode(pair).alias("pair"))
+    twin = Window.partitionBy("node", "pair").orderBy(F.lit(0))
+    return grams.select("node", "len", (F.col("pair") + F.row_number().over(twin)).alias("g"))
+
+
+def _bit_marks(grams: DataFrame) -> DataFrame:
+    """A bit set per text that marks the grams it holds, as ``m0, m1, ...``."""
+    bit = F.pmod(F.xxhash64("g"), F.lit(64 * MARK_WORDS))
+    marks = grams.select("node", F.floor(bit / 64).alias("word"), (bit % 64).cast("int").alias("bit"))
+    one = F.expr("shiftleft(1L, bit)")
+    return marks.groupBy("node").agg(
+        *[
+            F.bit_or(F.when(F.col("word") == w, one).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}")
+            for w in range(MARK_WORDS)
+        ]
+    )
+
+
 def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     """All pairs ``a < b`` of distinct texts (``node, text``) with token-sort ratio >= threshold.
 
     Exact prefix filtering: each text is indexed under its rarest grams only, so
     many that two similar texts must meet in one of them.  A band of text length
-    is part of the join key.  Texts too short to owe a shared gram are indexed
-    under a blank gram as well.  Survivors are scored exactly.
+    is part of the join key.  Where two texts meet, three bounds that need no
+    further lookup drop most pairs: their lengths, the grams left after the
+    meeting point, and the grams whose bit the other text does not have.  Texts
+    too short to owe a shared gram are indexed under a blank gram as well.
+    Survivors are scored exactly.
     """
     if not 200.0 / 3 < threshold <= 100.0:
         raise ValueError("the gram filter needs a threshold above 66.7")
@@ -52,53 +84,54 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     reach = (200.0 - threshold) / threshold
     # Shortest joint length a partner of this text can bring.
     least_total = F.col("len") + F.ceil(F.col("len") / reach - 1e-9)
-    owed = _shared_grams(least_total, threshold)
-    spots = F.when(F.col("len") > 1, F.sequence(F.lit(1), F.col("len") - 1))
-    grams = nodes.filter("len > 1").select(
-        "node", "len", F.explode(F.transform(spots, lambda i: F.substring("text", i, F.lit(2)))).alias("g")
-    )
-    # Repeats count separately: the second "ab" of a text is a gram of its own.
-    twin = Window.partitionBy("node", "g").orderBy(F.lit(0))
-    nth = F.row_number().over(twin).cast("string")
-    numbered = cut_lineage(grams.withColumn("nth", nth).select("node", "len", F.concat("g", "nth").alias("g")))
-    rarity = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    # Whole subsequence lengths make the exact count dip here and there; this line below it does not.
+    owed = F.ceil(least_total * (3 * threshold / 200.0 - 1) - 1 - 1e-9)
+    grams = cut_lineage(_letter_pairs(nodes))
+    rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     rare_first = Window.partitionBy("node").orderBy("df", "g")
     indexed = (
-        numbered.join(rarity, "g")
-        .withColumn("_r", F.row_number().over(rare_first))
-        .filter(F.col("_r") <= F.col("len") - 1 - owed + 1)
-        .select("node", "len", "g")
+        grams.join(rarity, "g")
+        .withColumn("place", F.row_number().over(rare_first))
+        .filter(F.col("place") <= F.col("len") - 1 - owed + 1)
+        .select("node", "len", "g", "place")
     )
     # A short text can owe nothing to a partner that owes it nothing either.
-    short = nodes.filter(owed <= 0).select("node", "len", F.lit("").alias("g"))
-    indexed = indexed.unionByName(short)
+    short = nodes.filter(owed <= 0).select(
+        "node", "len", F.lit(0).cast("bigint").alias("g"), F.lit(0).alias("place")
+    )
+    marks = [f"m{w}" for w in range(MARK_WORDS)]
+    indexed = (
+        indexed.unionByName(short)
+        .join(_bit_marks(grams), "node", "left")
+        .fillna(0, marks)
+        .withColumn("band", F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / (math.log(reach) + 1e-6)).cast("int"))
+    )
+    end = lambda side: indexed.select(
+        "g", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "len", "place", *marks)]
+    )
     # Lengths that can pair differ by at most one band.
-    band = F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / (math.log(reach) + 1e-6)).cast("int")
-    left = indexed.select(F.col("node").alias("a"), F.col("len").alias("len_a"), "g", band.alias("band"))
-    right = indexed.select(
-        F.col("node").alias("b"),
-        F.col("len").alias("len_b"),
-        "g",
-        F.explode(F.array(band - 1, band, band + 1)).alias("band"),
-    )
-    close = 200.0 * F.least("len_a", "len_b") / (F.col("len_a") + F.col("len_b")) >= threshold
-    candidates = left.join(right, ["g", "band"]).filter(F.col("a") < F.col("b")).filter(close)
-    candidates = candidates.select("a", "b").distinct()
-    bags = numbered.groupBy("node").agg(F.collect_list("g").alias("grams"))
-    whole = nodes.join(bags, "node", "left").withColumn(
-        "grams", F.coalesce("grams", F.array().cast("array<string>"))
-    )
-    side = lambda end: whole.select(
-        *[F.col(c).alias(end if c == "node" else f"{c}_{end}") for c in ("node", "text", "len", "grams")]
-    )
-    # All shared grams are counted next, which leaves few pairs for the exact score.
-    enough = F.size(F.array_intersect("grams_a", "grams_b")) >= _shared_grams(
-        F.col("len_a") + F.col("len_b"), threshold
+    nearby = F.explode(F.array(*[F.col("band") + step for step in (-1, 0, 1)]))
+    met = end("a").join(end("b").withColumn("band", nearby), ["g", "band"])
+    total = F.col("len_a") + F.col("len_b")
+    due = _shared_grams(total, threshold)
+    grams_of = lambda side: F.greatest(F.col(f"len_{side}") - 1, F.lit(0))
+    after = lambda side: grams_of(side) - F.col(f"place_{side}")
+    unmatched = lambda x, y: sum(
+        (F.bit_count(F.col(f"{m}_{x}").bitwiseAND(F.bitwise_not(f"{m}_{y}"))) for m in marks), F.lit(0)
+    )
+    candidates = (
+        met.filter("node_a < node_b")
+        .filter(F.least("len_a", "len_b") * 200.0 >= total * threshold)
+        .filter((F.col("g") == 0) | (1 + F.least(after("a"), after("b")) >= due))
+        .filter(grams_of("a") - unmatched("a", "b") >= due)
+        .filter(grams_of("b") - unmatched("b", "a") >= due)
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
     )
+    text = lambda side: nodes.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
     return (
-        candidates.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(enough)
+        candidates.join(text("a"), "a")
+        .join(text("b"), "b")
         .withColumn("ratio", indel_ratio("text_a", "text_b"))
         .filter(F.col("ratio") >= threshold)
         .select("a", "b", "ratio")
