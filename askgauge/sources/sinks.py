@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from askgauge.sources.tables import unique_clean_names
+from askgauge.functions.text import clean_name
+from askgauge.operators.cells import table_headers
+from askgauge.sources.tables import with_running_suffix
 
 
 def write_report(samples: DataFrame, summary: DataFrame, path: str) -> None:
@@ -50,6 +52,11 @@ def table_stems(tables: DataFrame) -> DataFrame:
     ).drop("stem")
 
 
+def clean_header(header: Column) -> Column:
+    """Cleaned column names of one table, with a running suffix where two collide."""
+    return with_running_suffix(F.transform(header, clean_name), "_")
+
+
 def table_view(cells: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     """One table back in wide form from its cells (a single grouped pass)."""
     pick = lambda i: F.max(F.when(F.col("col_idx") == i, F.col("value")))
@@ -80,12 +87,10 @@ def materialize_tables(cells: DataFrame, databases: DataFrame, typed: bool = Tru
     catalog data and is read by the driver; the rows are not.
     """
     spark = cells.sparkSession
-    headers = unique_clean_names(cells.groupBy("table_id", "col_idx").agg(F.min("col_name").alias("col_name")))
     catalog = (
         table_stems(databases.select("table_id", "db_id"))
-        .join(headers, "table_id")
-        .groupBy("table_id", "db_id", "table_name")
-        .agg(F.array_sort(F.collect_list(F.struct("col_idx", "clean_name"))).alias("columns"))
+        .join(table_headers(cells), "table_id")
+        .select("table_id", "db_id", "table_name", clean_header(F.col("header")).alias("columns"))
         .orderBy("db_id", "table_name")
     )
     saved = []
@@ -93,7 +98,7 @@ def materialize_tables(cells: DataFrame, databases: DataFrame, typed: bool = Tru
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{row['db_id']}`")
         one = table_view(
             cells.filter(F.col("table_id") == row["table_id"]),
-            [(c["col_idx"], c["clean_name"]) for c in row["columns"]],
+            list(enumerate(row["columns"])),
         )
         name = f"`{row['db_id']}`.`{row['table_name']}`"
         (typed_view(one) if typed else one).write.mode("overwrite").saveAsTable(name)

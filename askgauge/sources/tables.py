@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askgauge.functions.text import clean_name
 from askgauge.sources.lines import dense_position, mark_position
 
 CELL_COLUMNS = ("table_id", "row_idx", "col_idx", "col_name", "value")
@@ -88,18 +87,28 @@ def csv_to_cells(
     return cells.select(*CELL_COLUMNS), errors
 
 
+def with_running_suffix(names: Column, joiner: str) -> Column:
+    """Make the names of an array distinct: each repeat gets the number of earlier ones."""
+
+    def distinct(bound: Column) -> Column:
+        def one(name: Column, i: Column) -> Column:
+            earlier = F.size(F.filter(F.slice(bound, F.lit(1), i), lambda other: other == name))
+            return F.when(earlier > 0, F.concat_ws(joiner, name, earlier.cast("string"))).otherwise(name)
+
+        return F.transform(bound, one)
+
+    return F.get(F.transform(F.array(names), distinct), F.lit(0))
+
+
 def _unique_names(header: str) -> Column:
     """Blank headers get a position name; repeated headers a running suffix."""
     named = F.transform(
         header,
-        lambda h, i: F.when(F.coalesce(h, F.lit("")) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(h),
+        lambda h, i: F.when(
+            F.coalesce(h, F.lit("")) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))
+        ).otherwise(h),
     )
-    def suffixed(names: Column) -> Column:
-        def one(name: Column, i: Column) -> Column:
-            earlier = F.size(F.filter(F.slice(names, F.lit(1), i), lambda other: other == name))
-            return F.when(earlier > 0, F.concat_ws(".", name, earlier.cast("string"))).otherwise(name)
-        return F.transform(names, one)
-    return suffixed(named)
+    return with_running_suffix(named, ".")
 
 
 def load_first_tables(
@@ -157,13 +166,3 @@ def union_cells(parts: Sequence[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def unique_clean_names(columns: DataFrame) -> DataFrame:
-    """Cleaned column names, with a running suffix where two of one table collide."""
-    twin = Window.partitionBy("table_id", "clean").orderBy("col_idx")
-    cleaned = columns.withColumn("clean", clean_name(F.col("col_name")))
-    nth = F.row_number().over(twin)
-    return cleaned.withColumn(
-        "clean_name", F.when(nth > 1, F.concat_ws("_", "clean", nth.cast("string"))).otherwise(F.col("clean"))
-    ).drop("clean")
