@@ -127,24 +127,24 @@ def _target(spark, d):
     )
 
 
-def _membership(spark, d):
+def membership(spark, d):
     return sampling.sample_sets(_target(spark, d).select("rec_id"), SETS, SET_SIZE)
 
 
 @register("sample_sets")
 def sample_sets(spark, d):
-    return _membership(spark, d)
+    return membership(spark, d)
 
 
 @register("sample_set_accuracy")
 def sample_set_accuracy(spark, d):
-    return inputs.rounded(sampling.set_accuracy(_membership(spark, d), _target(spark, d)), "accuracy")
+    return inputs.rounded(sampling.set_accuracy(membership(spark, d), _target(spark, d)), "accuracy")
 
 
 @register("shift_by_set")
 def shift_by_set(spark, d):
     source = inputs.vectors(spark, d).filter("side = 'source'")
-    members = sampling.cut_sets(_membership(spark, d))
+    members = sampling.cut_sets(membership(spark, d))
     found = subsets.shift_by_set(members, _target(spark, d), source, SET_SIZE, SET_SLICES)
     return inputs.rounded(found, *shift.DESCRIPTORS)
 
@@ -155,8 +155,8 @@ def holdout_split(spark, d):
     return held.select("o_orderkey", F.col("is_holdout").cast("int").alias("is_holdout"))
 
 
-def _training_rows(spark, d):
-    members = sampling.cut_sets(_membership(spark, d))
+def training_rows(spark, d):
+    members = sampling.cut_sets(membership(spark, d))
     source = inputs.vectors(spark, d).filter("side = 'source'")
     deltas = subsets.shift_by_set(members, _target(spark, d), source, SET_SIZE, SET_SLICES)
     return cut_lineage(subsets.training_rows(deltas, sampling.set_accuracy(members, _target(spark, d))))
@@ -164,21 +164,21 @@ def _training_rows(spark, d):
 
 @register("regress_accuracy")
 def regress_accuracy(spark, d):
-    rows = _training_rows(spark, d)
+    rows = training_rows(spark, d)
     model = models.fit_accuracy(rows, calibrate=False)
     return models.predict_accuracy(model, rows).select("set_id", "accuracy", F.round("predicted", 6).alias("predicted"))
 
 
 @register("calibrate_isotonic")
 def calibrate_isotonic(spark, d):
-    rows = _training_rows(spark, d)
+    rows = training_rows(spark, d)
     model = models.fit_accuracy(rows, calibrate=True)
     return models.predict_accuracy(model, rows).select("set_id", "accuracy", F.round("predicted", 6).alias("predicted"))
 
 
 @register("predict_accuracy")
 def predict_accuracy(spark, d):
-    model = models.fit_accuracy(_training_rows(spark, d))
+    model = models.fit_accuracy(training_rows(spark, d))
     fresh = shift.delta(inputs.vectors(spark, d), SET_SLICES)
     return models.predict_accuracy(model, fresh).select(F.round("predicted", 6).alias("predicted"))
 

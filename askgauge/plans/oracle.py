@@ -400,3 +400,24 @@ ORACLE["rewrite_prompts"] = " UNION ALL ".join(
 FROM conversations WHERE role = 'user'"""
     for kind, template in REWRITE_PROMPTS.items()
 )
+
+# --- written and read back ---------------------------------------------------------------
+
+ORACLE["read_records"] = ORACLE["prompt_records"]
+ORACLE["load_aligned"] = ORACLE["align_gold_pred"]
+ORACLE["write_report"] = ORACLE["exec_accuracy_samples"]
+ORACLE["write_aligned"] = ORACLE["align_gold_pred"]
+ORACLE["write_dataset"] = ORACLE["question_templates"]
+ORACLE["write_embeddings"] = ORACLE["scan_embeddings"]
+ORACLE["write_shift_samples"] = f"""SELECT d.*, a.accuracy, 0 AS seed, {SET_SIZE} AS size, {SETS} AS num_sets
+FROM ({ORACLE["shift_by_set"]}) d JOIN ({ORACLE["sample_set_accuracy"]}) a USING (set_id)"""
+ORACLE["csv_to_cells"] = f"""WITH {CELLS}
+SELECT table_id AS table_name, col_idx::INTEGER AS col_idx, col_name, count(value) AS n_values,
+  sum(length(value))::BIGINT AS n_chars, count(DISTINCT value) AS n_distinct
+FROM cells WHERE table_id IN ('customer', 'orders', 'part') GROUP BY ALL"""
+ORACLE["wikisql_to_cells"] = """WITH h AS (SELECT page_id::VARCHAR AS table_id,
+  regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS header FROM pages),
+c AS (SELECT table_id, unnest(header) AS col_name, generate_subscripts(header, 1) - 1 AS col_idx FROM h)
+SELECT table_id, row_idx::BIGINT AS row_idx, col_idx::INTEGER AS col_idx, col_name,
+  CASE row_idx WHEN 0 THEN col_name WHEN 1 THEN translate(col_name, 'aeiou', 'AEIOU') ELSE CASE WHEN col_idx < 2 THEN col_name END END AS value
+FROM c, (VALUES (0), (1), (2)) r(row_idx)"""
