@@ -182,13 +182,24 @@ def rewrite_prompts(examples: DataFrame, per_kind: int = 2) -> DataFrame:
 
 
 def rewrite_examples(answers: DataFrame, output_col: str = "output") -> DataFrame:
-    """Examples out of rewritten pairs; the id covers the question too, so ids do not clash."""
-    pairs = answers.select("db_id", "table_name", "kind", F.inline(qa_pairs(F.col(output_col))))
+    """Examples out of rewritten pairs.
+
+    The id covers the example that was rewritten as well as the pair, so equal
+    rewrites of two examples stay apart.
+    """
+    pairs = answers.select(
+        "db_id",
+        "table_name",
+        "kind",
+        stable_id(F.col("gold_sql"), F.col("question")).alias("base"),
+        F.posexplode(qa_pairs(F.col(output_col))).alias("place", "pair"),
+    )
+    made = example_id(F.lit("rw"), F.col("base"), F.col("kind"), F.col("place").cast("string"), F.col("pair.answer"))
     return pairs.select(
-        example_id(F.lit("rw"), F.col("answer"), F.col("question"), F.col("kind")).alias("id"),
+        made.alias("id"),
         "db_id",
-        "question",
-        F.col("answer").alias("gold_sql"),
+        F.col("pair.question").alias("question"),
+        F.col("pair.answer").alias("gold_sql"),
     )
 
 
