@@ -44,7 +44,7 @@ def csv_to_cells(spark, d):
         texts.write.option("header", True).csv(f"{root}/{name}")
     found, _ = tables.load_first_tables(spark, [root], max_columns=16)
     return (
-        found.withColumn("table_name", F.regexp_extract("table_id", r"([^/]+)/[^/]+$", 1))
+        found.withColumn("table_name", F.element_at(F.split("table_id", "/"), -2))
         .groupBy("table_name", "col_idx", "col_name")
         .agg(
             F.count("value").alias("n_values"),

@@ -5,34 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from askgauge.session import cut_lineage, small_side
+
 
 def mark_position(scan: DataFrame) -> DataFrame:
-    """Add file path, block start and reading order to a fresh file scan."""
-    return scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
+    """Add file path, block start and reading order to a fresh file scan.
+
+    The marks are stored with the records: a second scan could cut the files
+    into other blocks when the number of executors has changed in between.
+    """
+    return cut_lineage(
+        scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_seq"),
+        )
     )
 
 
 def dense_position(marked: DataFrame, name: str = "line_no") -> DataFrame:
     """Turn the marks into 0-based record numbers per file.
 
-    A window never covers more than one file block; block totals (one row per
-    block) give each block its first number.
+    Reading order is consecutive inside a block, so a record's place there is a
+    difference of two numbers.  Only the block totals (one row per block) are
+    summed up; records are neither sorted nor shuffled.
     """
-    in_block = Window.partitionBy("_file", "_block").orderBy("_seq")
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    blocks = (
         marked.groupBy("_file", "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
     return (
-        marked.withColumn("_r", F.row_number().over(in_block))
-        .join(starts, ["_file", "_block"])
-        .withColumn(name, F.col("_start") + F.col("_r") - 1)
-        .drop("_r", "_start", "_block", "_seq")
+        marked.join(small_side(blocks), ["_file", "_block"])
+        .withColumn(name, F.col("_start") + F.col("_seq") - F.col("_first"))
+        .drop("_start", "_first", "_block", "_seq")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askgauge.session import small_side
 from askgauge.sources.lines import dense_position, mark_position
 
 CELL_COLUMNS = ("table_id", "row_idx", "col_idx", "col_name", "value")
@@ -60,30 +61,34 @@ def csv_to_cells(
         .option("mode", "PERMISSIVE")
         .csv(list(paths))
     )
-    packed = mark_position(scan).select(
-        F.array(*names).alias("fields"), "_file", "_block", "_seq"
-    )
     # Trailing nulls are fields the record does not have.
     last = F.array_max(F.transform("fields", lambda v, i: F.when(v.isNotNull(), i + 1).otherwise(0)))
-    records = dense_position(
-        packed.select("_file", "_block", "_seq", F.slice("fields", F.lit(1), last).alias("fields"))
+    packed = scan.select(F.array(*names).alias("fields"), "_metadata").select(
+        F.slice("fields", F.lit(1), last).alias("fields"), "_metadata"
+    )
+    numbered = dense_position(mark_position(packed).drop("_metadata"))
+    headers = small_side(
+        numbered.filter("line_no = 0").select("_file", _unique_names("fields").alias("header")), 100_000
     )
-    header = records.filter("line_no = 0").select("_file", F.col("fields").alias("header"))
-    body = records.filter("line_no > 0").join(header, "_file")
-    too_wide = F.size("fields") > F.size("header")
-    errors = (
-        body.filter(too_wide)
+    body = numbered.filter("line_no > 0").join(headers, "_file")
+    errors = small_side(
+        body.filter(F.size("fields") > F.size("header"))
         .groupBy(F.col("_file").alias("table_id"))
-        .agg(F.concat(F.lit("record "), F.min("line_no").cast("string"), F.lit(" has too many fields")).alias("error"))
+        .agg(F.min("line_no").alias("line_no"))
+        .select("table_id", F.concat(F.lit("record "), "line_no", F.lit(" has too many fields")).alias("error"))
     )
-    good = body.join(errors.select(F.col("table_id").alias("_file")), "_file", "left_anti")
     value = F.get("fields", F.col("col_idx"))
-    cells = good.select(
-        F.col("_file").alias("table_id"),
-        (F.col("line_no") - 1).alias("row_idx"),
-        F.posexplode(_unique_names("header")).alias("col_idx", "col_name"),
-        "fields",
-    ).withColumn("value", F.when(~value.isin(MISSING_MARKS), value))
+    cells = (
+        body.withColumnRenamed("_file", "table_id")
+        .join(errors.select("table_id"), "table_id", "left_anti")
+        .select(
+            "table_id",
+            (F.col("line_no") - 1).alias("row_idx"),
+            F.posexplode("header").alias("col_idx", "col_name"),
+            "fields",
+        )
+        .withColumn("value", F.when(~value.isin(MISSING_MARKS), value))
+    )
     return cells.select(*CELL_COLUMNS), errors
 
 
