@@ -11,7 +11,6 @@ from askgauge.functions.similarity import indel_ratio, sorted_tokens
 from askgauge.operators.cells import canonical_header
 from askgauge.session import cut_lineage
 
-MAX_ROUNDS = 200
 # 64-bit words in the bit set that marks the grams of a text.
 MARK_WORDS = 8
 
@@ -157,9 +156,8 @@ def lead_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lonely = nodes.join(down, "node", "left_anti").select("node", F.lit(True).alias("leads"))
     decided = cut_lineage(lonely)
     open_edges = cut_lineage(down)
-    for _ in range(MAX_ROUNDS):
-        if open_edges.isEmpty():
-            break
+    # The smallest open node is decided in every round, so the loop ends.
+    while not open_edges.isEmpty():
         seen = open_edges.join(
             decided.select(F.col("node").alias("smaller"), "leads"), "smaller", "left"
         )
@@ -170,8 +168,6 @@ def lead_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         fresh = verdict.filter("claimed or settled").select("node", (~F.col("claimed")).alias("leads"))
         decided = cut_lineage(decided.unionByName(fresh))
         open_edges = cut_lineage(open_edges.join(decided, "node", "left_anti"))
-    else:
-        raise RuntimeError(f"clusters not settled after {MAX_ROUNDS} rounds")
     leaders = decided.filter("leads")
     claims = (
         down.join(leaders.select(F.col("node").alias("smaller")), "smaller", "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgauge.session import cut_lineage
+from askgauge.session import cut_lineage, small_side
 
 # Hash ranks are resolved through a histogram over this many leading hex digits.
 HEX_DIGITS = 3
@@ -23,9 +23,9 @@ def draw_hash(seed: int, *cols: Column | str) -> Column:
 def _pick_smallest(df: DataFrame, by: Sequence[str], size: Column) -> DataFrame:
     """Keep, per ``by`` group, the ``size`` rows of smallest ``_h``; exact at any group size.
 
-    A histogram of the leading hash digits tells which buckets lie wholly inside
-    the sample.  Only the one bucket the cut falls into is ranked, so no task
-    ever sorts a whole group.
+    A histogram of the leading hash digits tells which buckets the sample can
+    come from; all other rows are dropped where they are read.  Rows are ranked
+    inside their bucket only, so no task ever sorts a whole group.
     """
     bucketed = df.withColumn("_b", F.substring("_h", 1, HEX_DIGITS))
     order = Window.partitionBy(*by, "_all").orderBy("_b")
@@ -35,21 +35,17 @@ def _pick_smallest(df: DataFrame, by: Sequence[str], size: Column) -> DataFrame:
         bucketed.groupBy(*by, "_b")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_all", F.lit(0))
-        .withColumn("_upto", upto)
-        .withColumn("_before", F.col("_upto") - F.col("_n"))
+        .withColumn("_before", upto - F.col("_n"))
         .filter(F.col("_before") < size)
-        .select(*by, "_b", F.when(F.col("_upto") > size, size - F.col("_before")).alias("_left"))
+        .select(*by, "_b", (size - F.col("_before")).alias("_left"))
     )
-    near = bucketed.join(histogram, [*by, "_b"])
-    whole = near.filter("_left is null")
-    cut = Window.partitionBy(*by, "_b").orderBy("_h", *_tie(df, by))
-    partial = (
-        near.filter("_left is not null")
-        .withColumn("_r", F.row_number().over(cut))
+    inside = Window.partitionBy(*by, "_b").orderBy("_h", *_tie(df, by))
+    return (
+        bucketed.join(small_side(histogram), [*by, "_b"])
+        .withColumn("_r", F.row_number().over(inside))
         .filter("_r <= _left")
-        .drop("_r")
+        .drop("_b", "_left", "_r")
     )
-    return whole.unionByName(partial).drop("_b", "_left")
 
 
 def _tie(df: DataFrame, by: Sequence[str]) -> list[str]:

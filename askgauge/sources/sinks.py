@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askgauge.functions.text import clean_name
 from askgauge.operators.cells import table_headers
+from askgauge.session import scratch_path, small_side
 from askgauge.sources.tables import with_running_suffix
 
 
@@ -87,17 +88,24 @@ def materialize_tables(cells: DataFrame, databases: DataFrame, typed: bool = Tru
     catalog data and is read by the driver; the rows are not.
     """
     spark = cells.sparkSession
+    names = table_stems(databases.select("table_id", "db_id"))
     catalog = (
-        table_stems(databases.select("table_id", "db_id"))
-        .join(table_headers(cells), "table_id")
-        .select("table_id", "db_id", "table_name", clean_header(F.col("header")).alias("columns"))
+        names.join(table_headers(cells), "table_id")
+        .select("db_id", "table_name", clean_header(F.col("header")).alias("columns"))
         .orderBy("db_id", "table_name")
     )
+    # One pass sorts the cells into a folder per table; each table then reads its own folder.
+    staged = scratch_path(spark, "tables")
+    small = small_side(names)
+    cells.join(small, "table_id").select("db_id", "table_name", "row_idx", "col_idx", "value").write.partitionBy(
+        "db_id", "table_name"
+    ).parquet(staged)
     saved = []
     for row in catalog.collect():
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{row['db_id']}`")
+        folder = f"{staged}/db_id={row['db_id']}/table_name={row['table_name']}"
         one = table_view(
-            cells.filter(F.col("table_id") == row["table_id"]),
+            spark.read.schema("row_idx bigint, col_idx int, value string").parquet(folder),
             list(enumerate(row["columns"])),
         )
         name = f"`{row['db_id']}`.`{row['table_name']}`"
