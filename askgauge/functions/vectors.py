@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +58,68 @@ def project(col: Column, directions: np.ndarray) -> Column:
     return dot_all(col)
 
 
+def project_by_key(key: Column, col: Column, directions: Mapping[object, np.ndarray]) -> Column:
+    """Like :func:`project`, with a set of directions of its own for every key."""
+    some = next(iter(directions.values()))
+    count, dim = some.shape
+    table = dict(directions)
+
+    @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+    def dot_own(keys: pa.Array, batch: pa.Array) -> pa.Array:
+        vectors = _as_matrix(batch, dim)
+        names = np.asarray(keys.to_pylist(), dtype=object)
+        out = np.empty((len(vectors), count))
+        for name in set(names.tolist()):
+            rows = names == name
+            out[rows] = vectors[rows] @ table[name].T
+        return _as_lists(out, pa.float64())
+
+    return dot_own(key, col)
+
+
+def second_moments(df: DataFrame, key: str, dim: int) -> DataFrame:
+    """``key, n, total, products``: count, sum and summed outer products of the vectors of each
+    key, one row per key and task batch; callers add the rows up."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.asarray(batch.column(0).to_pylist(), dtype=object)
+            vectors = _as_matrix(batch.column(1), dim)
+            found = sorted(set(names.tolist()))
+            rows = []
+            for name in found:
+                part = vectors[names == name]
+                rows.append(np.concatenate([[len(part)], part.sum(0), (part.T @ part).reshape(-1)]))
+            moments = _as_lists(np.array(rows).reshape(len(found), 1 + dim + dim * dim), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, type=batch.column(0).type), moments], names=[key, "moments"])
+
+    schema = T.StructType([df.schema[key], T.StructField("moments", T.ArrayType(T.DoubleType()))])
+    return df.select(key, "embedding").mapInArrow(sums, schema)
+
+
+def leading_directions(moments: Column, dim: int, k: int) -> Column:
+    """Top principal directions of summed second moments, flattened; largest loading positive."""
+
+    @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+    def solve(batch: pa.Array) -> pa.Array:
+        packed = _as_matrix(batch, 1 + dim + dim * dim)
+        out = np.empty((len(packed), k * dim))
+        for i, row in enumerate(packed):
+            mean = row[1 : 1 + dim] / row[0]
+            spread = row[1 + dim :].reshape(dim, dim) / row[0] - np.outer(mean, mean)
+            top = np.linalg.eigh(spread)[1][:, ::-1].T[:k]
+            out[i] = fix_signs(top).reshape(-1)
+        return _as_lists(out, pa.float64())
+
+    return solve(moments)
+
+
+def fix_signs(directions: np.ndarray) -> np.ndarray:
+    """Make the largest loading of every direction positive."""
+    peak = np.abs(directions).argmax(axis=1)
+    return directions * np.sign(directions[np.arange(len(directions)), peak])[:, None]
+
+
 def slot_of(col: Column, bounds: np.ndarray) -> Column:
     """For each projected value, the range slot it falls in (``bounds`` is one row per direction)."""
     count = bounds.shape[0]

@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from askgauge.functions.vectors import (
     array_sum,
     doubles,
+    fix_signs,
+    leading_directions,
     project,
+    project_by_key,
+    second_moments,
     slot_of,
     squared_gap,
     unit_directions,
@@ -33,6 +37,8 @@ DESCRIPTORS = ("mean_shift", "scale_shift", "dist_mean", "dist_std", "swd")
 ROWS_PER_SLOT = 1_000_000
 # Vectors sampled to place the slot borders; the borders steer balance only, never the result.
 BORDER_SAMPLE = 50_000
+# Widest vectors for which a D x D sum per key is formed.
+MAX_KEYED_DIM = 1024
 
 
 def two_sides(source: DataFrame, target: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -138,27 +144,25 @@ def distance_profile(vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _slot_borders(vectors: DataFrame, directions: np.ndarray, slots: int) -> np.ndarray:
+def _slot_borders(vectors: DataFrame, values: Column, slots: int) -> np.ndarray:
     """Quantiles of a small sample per direction; at most directions x slots numbers reach the driver."""
     total = vectors.count()
     fraction = min(1.0, BORDER_SAMPLE / max(total, 1))
     grid = [i / slots for i in range(1, slots)]
     rows = (
         vectors.sample(fraction, seed=11)
-        .select(F.posexplode_outer(project(F.col("embedding"), directions)).alias("dir", "p"))
+        .select(F.posexplode_outer(values).alias("dir", "p"))
         .groupBy("dir")
         .agg(F.percentile_approx("p", grid, 10_000).alias("borders"))
+        .orderBy("dir")
         .collect()
     )
-    borders = np.zeros((len(directions), slots - 1))
-    for row in rows:
-        borders[row["dir"]] = row["borders"]
-    return borders
+    return np.array([row["borders"] for row in rows])
 
 
 def rank_runs(
     vectors: DataFrame,
-    directions: np.ndarray,
+    directions: np.ndarray | dict,
     keys: Sequence[str] = (),
     slots: int | None = None,
 ) -> DataFrame:
@@ -179,7 +183,7 @@ def rank_runs(
     )
     if slots is None:
         slots = max(1, vectors.count() // ROWS_PER_SLOT)
-    values = project(F.col("embedding"), directions)
+    values = _project(keys, directions)
     if slots == 1:
         # Both sides of a direction land in the same task: one exchange serves every later window.
         lines = (
@@ -189,7 +193,7 @@ def rank_runs(
         order = Window.partitionBy(*keys, "dir", "side").orderBy("p")
         hi = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return lines.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("w"))
-    borders = _slot_borders(vectors.filter(F.col("embedding").isNotNull()), directions, slots)
+    borders = _slot_borders(vectors.filter(F.col("embedding").isNotNull()), values, slots)
     spot = [*keys, "dir", "side", "slot"]
     lines = (
         weighted.withColumn("ps", values)
@@ -267,11 +271,14 @@ def direction_gaps(runs: DataFrame, keys: Sequence[str] = (), block: int | None
 
 def sliced_distance(
     vectors: DataFrame,
-    directions: np.ndarray,
+    directions: np.ndarray | dict,
     keys: Sequence[str] = (),
     slots: int | None = None,
 ) -> DataFrame:
-    """Sliced Wasserstein distance with ranks cut to the shorter side."""
+    """Sliced Wasserstein distance with ranks cut to the shorter side.
+
+    ``directions`` is one matrix for all, or one per value of the only key.
+    """
     if slots is None:
         slots = max(1, vectors.count() // ROWS_PER_SLOT)
     runs = rank_runs(vectors, directions, keys, slots)
@@ -317,8 +324,41 @@ def pca_directions(vectors: DataFrame, k: int) -> np.ndarray:
     )
     k = min(k, dimension_of(vectors))
     loadings = PCA(k=k, inputCol="v", outputCol="o").fit(frame).pc.toArray().T
-    peak = np.abs(loadings).argmax(axis=1)
-    return loadings * np.sign(loadings[np.arange(len(loadings)), peak])[:, None]
+    return fix_signs(loadings)
+
+
+def pca_directions_by_key(
+    vectors: DataFrame, key: str, k: int, shared: DataFrame | None = None
+) -> dict[object, np.ndarray]:
+    """Principal directions of the vectors of every key.
+
+    Each task sums outer products per key, the sums add up in one shuffle and
+    are solved where they land; keys x k directions reach the driver.  The
+    vectors of ``shared`` count for every key but are summed only once.
+    """
+    dim = dimension_of(vectors)
+    if dim > MAX_KEYED_DIM:
+        raise ValueError(f"directions per key need a D x D sum per key; {dim} dimensions are too many")
+    known = F.col("embedding").isNotNull()
+    summed = lambda df, *by: df.groupBy(*by).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("moments"))).alias("moments")
+    )
+    per_key = summed(second_moments(vectors.filter(known), key, dim), key)
+    if shared is not None:
+        once = second_moments(shared.filter(known).select(F.lit(0).alias("all"), "embedding"), "all", dim)
+        per_key = per_key.withColumn("base", summed(once).scalar()).withColumn(
+            "moments", F.zip_with("moments", "base", lambda a, b: a + b)
+        )
+    k = min(k, dim)
+    solved = per_key.select(key, leading_directions(F.col("moments"), dim, k).alias("flat"))
+    found = {row[key]: np.array(row["flat"]).reshape(k, dim) for row in solved.collect()}
+    return found
+
+
+def _project(keys: Sequence[str], directions: np.ndarray | dict) -> Column:
+    if isinstance(directions, dict):
+        return project_by_key(F.col(keys[0]), F.col("embedding"), directions)
+    return project(F.col("embedding"), directions)
 
 
 def sliced_distance_hybrid(
@@ -327,15 +367,21 @@ def sliced_distance_hybrid(
     rand_r: int = 16,
     subsample: int | None = None,
     id_cols: Sequence[str] = ("embedding",),
+    keys: Sequence[str] = (),
     seed: int = 0,
 ) -> DataFrame:
-    """Sliced distance over principal directions followed by random ones."""
-    pool = vectors
-    if subsample:
-        pool = joint_subsample(vectors, subsample, id_cols, seed)
-    principal = pca_directions(pool, pca_k)
+    """Sliced distance over principal directions followed by random ones.
+
+    With a key every pair gets principal directions of its own, from all its vectors.
+    """
     random = unit_directions(dimension_of(vectors), rand_r, seed)
-    return sliced_distance(vectors, np.concatenate([principal, random], axis=0))
+    if keys:
+        (key,) = keys
+        principal = pca_directions_by_key(vectors, key, pca_k)
+        own = {name: np.concatenate([rows, random], axis=0) for name, rows in principal.items()}
+        return sliced_distance(vectors, own, keys)
+    pool = joint_subsample(vectors, subsample, id_cols, seed) if subsample else vectors
+    return sliced_distance(vectors, np.concatenate([pca_directions(pool, pca_k), random], axis=0))
 
 
 def delta(
@@ -352,9 +398,7 @@ def delta(
 ) -> DataFrame:
     """The five descriptors, one row per key (one row in all without keys)."""
     if hybrid:
-        if keys:
-            raise ValueError("principal directions are fitted for one pair at a time")
-        swd = sliced_distance_hybrid(vectors, pca_k, rand_r, subsample, id_cols, seed)
+        swd = sliced_distance_hybrid(vectors, pca_k, rand_r, subsample, id_cols, keys, seed)
     else:
         swd = sliced_distance(vectors, unit_directions(dimension_of(vectors), slices, seed), keys)
     spread = distance_profile(vectors, keys)

@@ -13,8 +13,10 @@ from askgauge.operators.shift import (
     ROWS_PER_SLOT,
     diagonal_distance,
     dimension_of,
+    direction_gaps,
     mean_shift,
     moments,
+    pca_directions_by_key,
     rank_runs,
     scale_shift,
 )
@@ -52,15 +54,21 @@ def shift_by_set(
     size: int,
     slices: int = 64,
     seed: int = 0,
+    *,
+    hybrid: bool = False,
+    pca_k: int = 8,
+    rand_r: int = 16,
 ) -> DataFrame:
     """The five descriptors of every subset against one source.
 
     ``membership`` holds ``set_id, rec_id`` and ``target`` ``rec_id, embedding``.
     What depends on a record alone (its distance from the source, its
     projections) is computed once per record, and the source side once in all,
-    whatever the number of subsets.
+    whatever the number of subsets.  With ``hybrid`` each subset also has
+    principal directions of its own, on which the source has to be projected
+    once per subset.
     """
-    directions = unit_directions(dimension_of(source), slices, seed)
+    directions = unit_directions(dimension_of(source), rand_r if hybrid else slices, seed)
     base = moments(source).select(F.struct("mean", "var").alias("m")).scalar()
     records = (
         target.filter(F.col("embedding").isNotNull())
@@ -89,16 +97,29 @@ def shift_by_set(
         "dist_std",
     )
     gap = F.col("p") - F.col("p_source")
-    sliced = (
+    gaps = (
         subset_ranks(placed, directions, size)
         .join(lowest_ranks(source, directions, size), ["dir", "rk"])
         .groupBy("set_id", "dir")
         .agg(F.sqrt(F.avg(gap * gap)).alias("gap"))
-        .groupBy("set_id")
-        .agg(F.avg("gap").alias("swd"))
     )
+    if hybrid:
+        gaps = gaps.unionByName(_own_gaps(placed, source, pca_k))
+    sliced = gaps.groupBy("set_id").agg(F.avg("gap").alias("swd"))
     return fixed.join(sliced, "set_id")
 
 
+def _own_gaps(placed: DataFrame, source: DataFrame, pca_k: int) -> DataFrame:
+    """Rank gaps of every subset along the principal directions of source and subset together."""
+    members = placed.select("set_id", F.lit("target").alias("side"), "embedding")
+    own = pca_directions_by_key(members, "set_id", pca_k, shared=source)
+    sets = F.array(*[F.lit(s) for s in sorted(own)])
+    copies = source.select(F.explode(sets).alias("set_id"), F.lit("source").alias("side"), "embedding")
+    vectors = members.unionByName(copies)
+    slots = max(1, source.count() // ROWS_PER_SLOT)
+    runs = rank_runs(vectors, own, ["set_id"], slots)
+    return direction_gaps(runs, ["set_id"], block=ROWS_PER_SLOT if slots > 1 else None)
+
+
 def training_rows(deltas: DataFrame, accuracy_by_set: DataFrame) -> DataFrame:
     return deltas.join(accuracy_by_set.select("set_id", "accuracy"), "set_id")

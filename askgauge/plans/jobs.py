@@ -124,6 +124,9 @@ def train_on_samples(
     slices: int = 64,
     seed: int = 0,
     kind: str = "gbt",
+    hybrid: bool = True,
+    pca_k: int = 8,
+    rand_r: int = 16,
     out_path: str | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Regressor trained on many subsets of one target workload.
@@ -131,7 +134,9 @@ def train_on_samples(
     ``source`` holds ``embedding``; ``target`` holds ``rec_id, embedding, accuracy``.
     """
     members = sampling.cut_sets(sampling.sample_sets(target, num_sets, size, seed=seed))
-    deltas = subsets.shift_by_set(members, target, source, size, slices, seed)
+    deltas = subsets.shift_by_set(
+        members, target, source, size, slices, seed, hybrid=hybrid, pca_k=pca_k, rand_r=rand_r
+    )
     rows = cut_lineage(subsets.training_rows(deltas, sampling.set_accuracy(members, target)))
     model = models.fit_accuracy(rows, kind=kind, calibrate=False, seed=seed)
     if out_path:
@@ -148,9 +153,10 @@ def train_on_pairs(
     kind: str = "gbt",
     calibrate: bool = True,
     out_path: str | None = None,
+    **options,
 ) -> PipelineModel:
     """Regressor trained on listed workload pairs (``pair_id, source, target, metric``)."""
-    found = shift.delta(vectors.pair_vectors(pairs, embeddings), slices, ["pair_id"])
+    found = shift.delta(vectors.pair_vectors(pairs, embeddings), slices, ["pair_id"], **options)
     rows = cut_lineage(found.join(pairs.select("pair_id", F.col("metric").alias("accuracy")), "pair_id"))
     model = models.fit_accuracy(rows, kind=kind, calibrate=calibrate, id_cols=["pair_id"])
     if out_path:

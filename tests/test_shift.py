@@ -134,6 +134,39 @@ def test_shift_by_set_against_numpy(spark, clouds):
         assert np.allclose(got[set_id], expected(source, target[sorted(picks)], unit_directions(DIM, 5)))
 
 
+def top_directions(joint, k):
+    basis = np.linalg.eigh(np.cov(np.asarray(joint, np.float32).astype(float).T))[1][:, ::-1].T[:k]
+    return basis * np.sign(basis[np.arange(k), np.abs(basis).argmax(1)])[:, None]
+
+
+def test_hybrid_by_key_has_directions_of_its_own(spark, clouds):
+    source, target = clouds
+    first = frame(spark, source, target).withColumn("pair_id", F.lit("x"))
+    second = frame(spark, target, source[30:]).withColumn("pair_id", F.lit("y"))
+    got = {r["pair_id"]: r["swd"] for r in shift.delta(first.unionByName(second), keys=["pair_id"], hybrid=True, pca_k=2, rand_r=3).collect()}
+    for name, (s, t) in {"x": (source, target), "y": (target, source[30:])}.items():
+        directions = np.vstack([top_directions(np.vstack([s, t]), 2), unit_directions(DIM, 3)])
+        assert got[name] == pytest.approx(expected(s, t, directions)[4], rel=1e-6)
+
+
+@pytest.mark.parametrize("slots", [1, 4])
+def test_hybrid_by_set_against_numpy(spark, clouds, slots, monkeypatch):
+    source, target = clouds
+    records = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(target)], "rec_id long, embedding array<float>")
+    base = spark.createDataFrame([([float(x) for x in v],) for v in source], "embedding array<float>")
+    members = sampling.sample_sets(records, 2, 17)
+    if slots > 1:
+        monkeypatch.setattr(subsets, "ROWS_PER_SLOT", len(source) // slots)
+    got = {r["set_id"]: r["swd"] for r in subsets.shift_by_set(members, records, base, 17, hybrid=True, pca_k=2, rand_r=3).collect()}
+    by_set = {}
+    for r in members.collect():
+        by_set.setdefault(r["set_id"], []).append(r["rec_id"])
+    for set_id, picks in by_set.items():
+        chosen = target[sorted(picks)]
+        directions = np.vstack([top_directions(np.vstack([source, chosen]), 2), unit_directions(DIM, 3)])
+        assert got[set_id] == pytest.approx(expected(source, chosen, directions)[4], rel=1e-6)
+
+
 def test_large_subsets_rank_by_slots(spark, clouds, monkeypatch):
     source, target = clouds
     records = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(target)], "rec_id long, embedding array<float>")
