@@ -115,3 +115,6 @@ STOP_WORDS = {
     "es": ["el", "los", "las", "que", "y", "en", "un", "una", "por", "con", "para", "del",
            "se", "su", "al", "lo", "como", "más", "pero", "de"],
 }
+
+# Prefix of generated database ids; five digits follow.
+DB_ID_PREFIX = "fusion_"

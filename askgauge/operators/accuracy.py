@@ -153,6 +153,10 @@ def view_runner(
     spark: SparkSession, databases: Mapping[str, Mapping[str, DataFrame]]
 ) -> Iterator[Runner]:
     """Databases are named groups of DataFrames, visible as views inside the ``with`` block."""
+    taken = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    clash = taken & {name.lower() for group in databases.values() for name in group}
+    if clash:
+        raise ValueError(f"temporary views of these names exist already: {sorted(clash)}")
     shown: list[str] = []
 
     def hide() -> None:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askgauge.functions.fixed_values import DB_ID_PREFIX
 from askgauge.functions.similarity import indel_ratio, sorted_tokens
 from askgauge.operators.cells import canonical_header
 from askgauge.session import cut_lineage
@@ -188,7 +189,7 @@ def cluster_tables(headers: DataFrame, threshold: float = 80.0) -> DataFrame:
     return groups.join(led, "node").select("table_id", F.col("leader").alias("leader_id"))
 
 
-def assign_db_ids(clusters: DataFrame, prefix: str = "fusion_") -> DataFrame:
+def assign_db_ids(clusters: DataFrame, prefix: str = DB_ID_PREFIX) -> DataFrame:
     """Number the clusters in leader order from zero: ``table_id, leader_id, db_id``.
 
     Leaders are numbered range by range: each range of leaders is counted, and

@@ -149,6 +149,14 @@ def shift_by_set(spark, d):
     return inputs.rounded(found, *shift.DESCRIPTORS)
 
 
+@register("shift_by_set_hybrid")
+def shift_by_set_hybrid(spark, d):
+    source = inputs.vectors(spark, d).filter("side = 'source'")
+    members = sampling.cut_sets(membership(spark, d))
+    found = subsets.shift_by_set(members, _target(spark, d), source, SET_SIZE, hybrid=True)
+    return inputs.rounded(found, *shift.DESCRIPTORS)
+
+
 @register("holdout_split")
 def holdout_split(spark, d):
     held = sampling.holdout_split(inputs.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askgauge.sources.tables import table_to_cells, union_cells
 
@@ -53,10 +54,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cell_text(df: DataFrame, name: str) -> Column:
+    """Text form that other engines write alike: money with two places, days without a clock."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DoubleType):
+        return F.col(name).cast("decimal(18,2)").cast("string")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.col(name).cast("date").cast("string")
+    return F.col(name).cast("string")
+
+
 def cells(spark: SparkSession, folder: str) -> DataFrame:
     """All star-schema tables as one cell frame."""
     return union_cells(
-        [table_to_cells(table(spark, folder, name), name, F.expr(key)) for name, key in ROW_KEYS.items()]
+        [
+            table_to_cells(table(spark, folder, name), name, F.expr(key), cell_text)
+            for name, key in ROW_KEYS.items()
+        ]
     )
 
 

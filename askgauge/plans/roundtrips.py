@@ -40,9 +40,9 @@ def csv_to_cells(spark, d):
     root = scratch_path(spark, "csv")
     for name in CSV_TABLES:
         plain = inputs.table(spark, d, name)
-        texts = plain.select(*[tables.cell_text(plain, c).alias(c) for c in plain.columns])
+        texts = plain.select(*[inputs.cell_text(plain, c).alias(c) for c in plain.columns])
         texts.write.option("header", True).csv(f"{root}/{name}")
-    found, _ = tables.load_first_tables(spark, [root], max_columns=16)
+    found, _ = tables.load_first_tables(spark, [root])
     return (
         found.withColumn("table_name", F.element_at(F.split("table_id", "/"), -2))
         .groupBy("table_name", "col_idx", "col_name")

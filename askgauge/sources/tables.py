@@ -7,7 +7,7 @@ tables that already have one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,17 +39,23 @@ def discover_csv_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
 def csv_to_cells(
     spark: SparkSession,
     paths: Sequence[str],
-    max_columns: int = 1000,
+    max_columns: int | None = None,
     multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Cells of many CSV files with unlike headers, and the files that could not be read.
 
-    All files go through one scan with a wide schema.  The first record of each
-    file is its header.  A file is left out, with an error row, when a record
-    has more fields than its header.  Files split into blocks unless
-    ``multi_line`` is set for values that contain line breaks.
+    All files go through one scan with a schema as wide as the widest line
+    (or ``max_columns``).  The first record of each file is its header.  A file
+    is left out, with an error row, when a record has more fields than its
+    header or the header more than ``max_columns``; nothing is cut off.  Files
+    split into blocks unless ``multi_line`` is set for values that contain line
+    breaks.
     """
-    names = [f"_c{i}" for i in range(max_columns)]
+    if max_columns is None:
+        commas = F.size(F.split("value", ","))
+        max_columns = spark.read.text(list(paths)).agg(F.max(commas)).head()[0] or 1
+    # One column more than allowed, so that a wider record shows.
+    names = [f"_c{i}" for i in range(max_columns + 1)]
     wide = T.StructType([T.StructField(n, T.StringType()) for n in names])
     scan = (
         spark.read.schema(wide)
@@ -71,12 +77,16 @@ def csv_to_cells(
         numbered.filter("line_no = 0").select("_file", _unique_names("fields").alias("header")), 100_000
     )
     body = numbered.filter("line_no > 0").join(headers, "_file")
-    errors = small_side(
+    wide_headers = headers.filter(F.size("header") > max_columns).select(
+        F.col("_file").alias("table_id"), F.lit("header has too many fields").alias("error")
+    )
+    wide_records = (
         body.filter(F.size("fields") > F.size("header"))
         .groupBy(F.col("_file").alias("table_id"))
         .agg(F.min("line_no").alias("line_no"))
         .select("table_id", F.concat(F.lit("record "), "line_no", F.lit(" has too many fields")).alias("error"))
     )
+    errors = small_side(wide_records.unionByName(wide_headers))
     value = F.get("fields", F.col("col_idx"))
     cells = (
         body.withColumnRenamed("_file", "table_id")
@@ -141,26 +151,25 @@ def read_wikisql_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cell_text(df: DataFrame, name: str) -> Column:
-    """Text of a value; whole-day timestamps lose their clock part, doubles keep two places."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.col(name).cast("decimal(18,2)").cast("string")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.col(name).cast("date").cast("string")
     return F.col(name).cast("string")
 
 
-def table_to_cells(df: DataFrame, table_id: str, row_idx: Column) -> DataFrame:
-    """Unpivot one table in a single narrow pass.
+def table_to_cells(
+    df: DataFrame,
+    table_id: str,
+    row_idx: Column,
+    text: Callable[[DataFrame, str], Column] = cell_text,
+) -> DataFrame:
+    """Unpivot one table in a single narrow pass; ``text`` says how a column reads as text.
 
     Rows are multiplied first and the value picked by position afterwards: a
     query that does not look at the values then reads only the row key.
     """
     names = F.array(*[F.lit(n) for n in df.columns])
     spot = F.col("col_idx")
-    value = F.when(spot == 0, cell_text(df, df.columns[0]))
+    value = F.when(spot == 0, text(df, df.columns[0]))
     for i, name in enumerate(df.columns[1:], start=1):
-        value = value.when(spot == i, cell_text(df, name))
+        value = value.when(spot == i, text(df, name))
     return df.select("*", F.posexplode(names).alias("col_idx", "col_name")).select(
         F.lit(table_id).alias("table_id"), row_idx.cast("bigint").alias("row_idx"), "col_idx", "col_name", value.alias("value")
     )

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from askgauge.functions.fixed_values import DB_ID_PREFIX
 from askgauge.operators import cells as C
 from askgauge.operators import dedup as D
 from askgauge.operators import workload as W
@@ -34,7 +35,7 @@ def test_csv_files_with_unlike_headers(spark, tmp_path):
     (tmp_path / "skip.txt").write_text("p,q\n")
     listed = [r["path"].rsplit("/", 1)[-1] for r in tables.discover_csv_files(spark, [str(tmp_path)]).collect()]
     assert listed == ["a.csv", "bad.csv", "b.csv"]
-    found, errors = tables.load_first_tables(spark, [str(tmp_path)], max_columns=8)
+    found, errors = tables.load_first_tables(spark, [str(tmp_path)])
     assert wide(found) == {
         "a.csv": [{"id": "1", "name": "x, y", "id.1": None}, {"id": "2", "name": None, "id.1": "7"}],
         "b.csv": [{"k": "5"}],
@@ -42,6 +43,9 @@ def test_csv_files_with_unlike_headers(spark, tmp_path):
     assert [r["table_id"].rsplit("/", 1)[-1] for r in errors.collect()] == ["bad.csv"]
     first, _ = tables.load_first_tables(spark, [str(tmp_path)], max_tables=1, max_columns=8)
     assert set(wide(first)) == {"a.csv"}
+    narrow, errors = tables.load_first_tables(spark, [str(tmp_path)], max_columns=2)
+    assert set(wide(narrow)) == {"b.csv"}
+    assert {r["table_id"].rsplit("/", 1)[-1] for r in errors.collect()} == {"a.csv", "bad.csv"}
 
 
 def test_csv_values_with_line_breaks(spark, tmp_path):
@@ -155,7 +159,7 @@ def test_near_duplicates_and_clusters_against_a_plain_walk(spark, threshold):
                     led[b] = a
     clusters = D.cluster_tables(headers, threshold)
     assert {r["table_id"]: r["leader_id"] for r in clusters.collect()} == led
-    numbers = {leader: f"fusion_{i:05d}" for i, leader in enumerate(sorted(set(led.values())))}
+    numbers = {leader: f"{DB_ID_PREFIX}{i:05d}" for i, leader in enumerate(sorted(set(led.values())))}
     got = {r["table_id"]: r["db_id"] for r in D.assign_db_ids(clusters).collect()}
     assert got == {t: numbers[leader] for t, leader in led.items()}
     assert {r[0] for r in D.near_dup_filter(clusters).collect()} == set(numbers)
@@ -250,8 +254,8 @@ def test_dataset_from_raw_tables(spark, tmp_path):
     dropped = cell_frame(spark, "/in/c.csv", ["q"], [["1"]])
     found = jobs.build_dataset(kept.unionByName(dropped), str(tmp_path / "out"), materialize=True).collect()
     assert len(found) == 2 * 4 * 8
-    assert {r["db_id"] for r in found} == {"fusion_00000"} and len({r["id"] for r in found}) == len(found)
-    assert spark.table("fusion_00000.a").columns == ["the_id", "name_of_it", "c", "d", "e"]
+    assert {r["db_id"] for r in found} == {f"{DB_ID_PREFIX}00000"} and len({r["id"] for r in found}) == len(found)
+    assert spark.table(f"{DB_ID_PREFIX}00000.a").columns == ["the_id", "name_of_it", "c", "d", "e"]
     assert sinks.read_dataset(spark, str(tmp_path / "out")).count() == len(found)
 
 
