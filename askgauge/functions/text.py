@@ -184,7 +184,9 @@ def sql_features(col: Column) -> Column:
 def feature_counts(queries: DataFrame, sql_col: str = "sql") -> DataFrame:
     """How many queries of a log use each feature."""
     return (
-        queries.select(F.explode(sql_features(F.col(sql_col))).alias("f"))
+        # The outer form keeps the optimizer from evaluating the features twice.
+        queries.select(F.explode_outer(sql_features(F.col(sql_col))).alias("f"))
+        .filter("f is not null")
         .groupBy(F.col("f.kind").alias("kind"), F.col("f.name").alias("name"))
         .agg(F.count(F.lit(1)).alias("queries"))
     )

@@ -54,9 +54,8 @@ def english_tables(headers: DataFrame, first: int = 5) -> DataFrame:
     return headers.filter(hit).select("table_id")
 
 
-def _words(value: Column) -> Column:
-    """Lower-case words of a cell.  Most cells are one word and skip the pattern split."""
-    low = F.lower(F.coalesce(value, F.lit("nan")))
+def _words(low: Column) -> Column:
+    """Words of a lower-case cell.  Most cells are one word and skip the pattern split."""
     several = F.filter(F.split(low, r"\s+"), lambda t: t != "")
     return F.when(low.rlike(r"\s"), several).when(low != "", F.array(low))
 
@@ -67,8 +66,10 @@ def semantic_richness(cells: DataFrame) -> DataFrame:
     Words are distinct per (table, word) before they meet by table, so one huge
     table spreads over all tasks.  A missing cell counts as the word ``nan``.
     """
-    words = cells.select("table_id", F.explode(_words(F.col("value"))).alias("word"))
-    distinct = words.distinct().groupBy("table_id").agg(F.count(F.lit(1)).alias("n_words"))
+    # The outer form: a plain explode makes the optimizer split every cell once more to test it.
+    low = cells.select("table_id", F.lower(F.coalesce("value", F.lit("nan"))).alias("low"))
+    words = low.select("table_id", F.explode_outer(_words(F.col("low"))).alias("word"))
+    distinct = words.filter("word is not null").distinct().groupBy("table_id").agg(F.count(F.lit(1)).alias("n_words"))
     sizes = cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_cells"))
     return sizes.join(distinct, "table_id", "left").select(
         "table_id",

@@ -49,7 +49,7 @@ def _letter_pairs(nodes: DataFrame) -> DataFrame:
         lambda i: F.shiftleft(F.ascii(F.substring("text", i, F.lit(1))).cast("bigint"), 42)
         + F.shiftleft(F.ascii(F.substring("text", i + 1, F.lit(1))).cast("bigint"), 21),
     )
-    grams = nodes.filter("len > 1").select("node", "len", F.explode(pair).alias("pair"))
+    grams = nodes.filter("len > 1").select("node", "len", F.explode_outer(pair).alias("pair"))
     twin = Window.partitionBy("node", "pair").orderBy(F.lit(0))
     return grams.select("node", "len", (F.col("pair") + F.row_number().over(twin)).alias("g"))
 

@@ -152,7 +152,8 @@ def question_prompts(
 
 def model_examples(answers: DataFrame, per_sql: int = 4, output_col: str = "output") -> DataFrame:
     """Examples out of model answers, one per kept line."""
-    lines = answers.select("*", F.posexplode(output_lines(F.col(output_col), per_sql)).alias("idx", "question"))
+    lines = answers.select("*", F.posexplode_outer(output_lines(F.col(output_col), per_sql)).alias("idx", "question"))
+    lines = lines.filter("idx is not null")
     sql_id = F.concat_ws(":", stable_id(F.col("sql")), F.col("idx").cast("string"))
     return lines.select(
         F.concat_ws(":", "db_id", "table_name", F.lit("llm"), sql_id).alias("id"),
@@ -192,8 +193,8 @@ def rewrite_examples(answers: DataFrame, output_col: str = "output") -> DataFram
         "table_name",
         "kind",
         stable_id(F.col("gold_sql"), F.col("question")).alias("base"),
-        F.posexplode(qa_pairs(F.col(output_col))).alias("place", "pair"),
-    )
+        F.posexplode_outer(qa_pairs(F.col(output_col))).alias("place", "pair"),
+    ).filter("place is not null")
     made = example_id(F.lit("rw"), F.col("base"), F.col("kind"), F.col("place").cast("string"), F.col("pair.answer"))
     return pairs.select(
         made.alias("id"),

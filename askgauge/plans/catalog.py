@@ -353,13 +353,15 @@ def chat_prompts(spark, d):
 @register("output_lines")
 def output_lines(spark, d):
     turns = inputs.table(spark, d, "conversations")
-    return turns.select("conv_id", "turn", F.posexplode(texts.output_lines(F.col("text"), 4)).alias("idx", "line"))
+    lines = F.posexplode_outer(texts.output_lines(F.col("text"), 4)).alias("idx", "line")
+    return turns.select("conv_id", "turn", lines).filter("idx is not null")
 
 
 @register("qa_pairs")
 def qa_pairs(spark, d):
     answers = inputs.qa_answers(spark, d)
-    return answers.select("conv_id", "turn", F.inline(texts.qa_pairs(F.col("output"))))
+    pair = F.explode_outer(texts.qa_pairs(F.col("output"))).alias("pair")
+    return answers.select("conv_id", "turn", pair).filter("pair is not null").select("conv_id", "turn", "pair.*")
 
 
 # --- cells -------------------------------------------------------------------------------
