@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
 from .mixing import OP5_SQL, op5_source_mix
+from .packed_ids import op4_token_ids
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op4_token_ids": op4_token_ids,
     "op5_source_mix": op5_source_mix,
 }
 
