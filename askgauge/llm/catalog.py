@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
+from .contamination import OP7_SQL, op7_contamination
 from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
 
@@ -10,9 +11,11 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_token_ids": op4_token_ids,
     "op5_source_mix": op5_source_mix,
+    "op7_contamination": op7_contamination,
 }
 
 ORACLE = {
     "op1_chat_format": OP1_SQL,
     "op5_source_mix": OP5_SQL,
+    "op7_contamination": OP7_SQL,
 }
