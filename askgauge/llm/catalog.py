@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
 from .contamination import OP7_SQL, op7_contamination
+from .lang_kernel import op8_language
 from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
+from .toxic_kernel import op10_toxicity
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_token_ids": op4_token_ids,
     "op5_source_mix": op5_source_mix,
     "op7_contamination": op7_contamination,
+    "op8_language": op8_language,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
