@@ -7,10 +7,12 @@ from .contamination import OP7_SQL, op7_contamination
 from .lang_kernel import op8_language
 from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
+from .simhash import op2_fingerprints
 from .toxic_kernel import op10_toxicity
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_fingerprints": op2_fingerprints,
     "op4_token_ids": op4_token_ids,
     "op5_source_mix": op5_source_mix,
     "op7_contamination": op7_contamination,
