@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
 from .contamination import OP7_SQL, op7_contamination
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .lang_kernel import op8_language
 from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op4_token_ids": op4_token_ids,
     "op5_source_mix": op5_source_mix,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_contamination": op7_contamination,
     "op8_language": op8_language,
     "op10_toxicity": op10_toxicity,
@@ -23,5 +25,6 @@ QUERIES = {
 ORACLE = {
     "op1_chat_format": OP1_SQL,
     "op5_source_mix": OP5_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op7_contamination": OP7_SQL,
 }
