@@ -322,11 +322,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     """
     own = labels.select(F.col(key).alias("id"), F.col("toxic").cast("int").alias("toxic")).groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     own = own.where((F.col("toxic") == F.col("most")) & F.col("toxic").isin(0, 1)).drop("most")
-    text = text_or_empty()
-    rows = docs.select(F.col(key).alias("id"), text.alias("text")).where(keep).join(own, "id")
-    order = [F.xxhash64("id", "text"), "id", "text"]
+    texts = docs.select(F.col(key).alias("id"), text_or_empty().alias("text"))
+    # Only ids and hashes are joined and ordered; the chosen rows, so many at most, then fetch their texts.
+    rows = texts.select("id", F.xxhash64("text").alias("h")).where(keep).join(own, "id")
+    order = [F.xxhash64("id", "h"), "id", "h"]
     toxic = rows.where("toxic = 1").orderBy(*order).limit(max_toxic)
-    return toxic.unionByName(rows.where("toxic = 0").orderBy(*order).limit(max_clean))
+    chosen = stored(toxic.unionByName(rows.where("toxic = 0").orderBy(*order).limit(max_clean)).distinct(), "toxic-chosen")
+    return texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "h"]).select("id", "text", "toxic")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_toxic: int = 1200, max_clean: int = 3600, landmarks: int = 160, key: str = "doc_id") -> ToxicModel:
