@@ -9,6 +9,7 @@ from .lang_kernel import op8_language
 from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
 from .simhash import op2_fingerprints
+from .suffix_dedup import op9_suffix_dedup
 from .toxic_kernel import op10_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_contamination": op7_contamination,
     "op8_language": op8_language,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
