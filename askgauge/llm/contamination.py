@@ -199,6 +199,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
+def _clean_rows(group, window: int):
+    loaded = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not loaded:
+            loaded.append(Windows(pickle.loads(group.value), window))
+        for batch in batches:
+            clean = []
+            for _, _, buf, offsets in text_blocks(batch, "text"):
+                spans, _ = mark_shard(*word_hashes(buf, offsets, ALNUM), loaded[0])
+                clean += [len(s) == 0 for s in spans]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS, item_key: str = "item_id") -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs; no text is shuffled."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
+    for group in item_passes(benchmark, window, pass_words, item_key):
+        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(group))
+        packed = packed.mapInArrow(_clean_rows(sent, window), packed.schema)
+    return packed.select("row.*")
+
+
 def _longest(group):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = pickle.loads(group.value)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_words import NOT_BLANK, mix, shingles, text_blocks, word_hashes
 from .graph import Forest, components
@@ -349,21 +350,9 @@ def _split_large(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(large, key, "left").withColumn("at", F.explode(pairs)).select(*rows.columns, "at.i", "at.j")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, bits_log2: int = 26, key: str = "doc_id") -> DataFrame:
-    """Per row of docs: key, n_shingles and component_id, the smallest key that its links lead to.
-
-    Words are runs of characters other than ASCII blanks, A-Z lower-cased; a text's set holds its distinct
-    stretches of ``width`` words, or its whole word sequence when it has fewer. Two texts are linked when
-    100 x intersection >= percent x union. Equal sets are one node from the start. A text without words has
-    n_shingles 0 and its own key as component_id. A row with a null key is linked like any other but names no
-    component (null if no row of its component has a key). Rows with equal keys stay apart unless linked.
-    Other columns take no part.
-
-    Shingles are 56-bit hashes, sets are named by 128 bits.
-    """
-    spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
-    rows = docs.select(F.col(key).alias("id"), text_or_empty().alias("text"))
+def jaccard_labels(rows: DataFrame, width: int, percent: int, bits_log2: int) -> DataFrame:
+    """For rows (id, text): id, n (shingles) and label, equal for all texts that links connect; null without words."""
+    send = rows.sparkSession.sparkContext.broadcast
     levels = send(frequency_levels(rows, width).tobytes())
     kind = f"id {rows.schema['id'].dataType.simpleString()}, n long, node binary, short long, vector binary, head array<long>"
     profiles = stored(rows.mapInArrow(_profiles(levels, width, percent), kind), "profiles")
@@ -385,13 +374,60 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, bits_
     gathered = gathered.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     exact = gathered.select("label", "i", "j", "node", "tokens").mapInArrow(_verify(percent), "a binary, b binary")
     named = components(exact)
-    own = profiles.select("id", "n", "node").join(named, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
-    own = own.withColumn("label", F.when(F.col("n") > 0, F.col("label")))
+    own = profiles.select("id", "n", "node").join(named, "node", "left")
+    return own.select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, bits_log2: int = 26, key: str = "doc_id") -> DataFrame:
+    """Per row of docs: key, n_shingles and component_id, the smallest key that its links lead to.
+
+    Words are runs of characters other than ASCII blanks, A-Z lower-cased; a text's set holds its distinct
+    stretches of ``width`` words, or its whole word sequence when it has fewer. Two texts are linked when
+    100 x intersection >= percent x union. Equal sets are one node from the start. A text without words has
+    n_shingles 0 and its own key as component_id. A row with a null key is linked like any other but names no
+    component (null if no row of its component has a key). Rows with equal keys stay apart unless linked.
+    Other columns take no part.
+
+    Shingles are 56-bit hashes, sets are named by 128 bits.
+    """
+    own = jaccard_labels(docs.select(F.col(key).alias("id"), text_or_empty().alias("text")), width, percent, bits_log2)
     least = own.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
     out = own.join(least, "label", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _may_hold(sent, bits_log2: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << bits_log2) - 1
+        for batch in batches:
+            at = batch.column("name").to_numpy() & mask
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("name"), pa.array(hit)], names=["row", "name", "hit"])
+
+    return run
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bits_log2: int = 26, key: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: the one with the smallest key.
+
+    Null keys come last; among rows with equal keys the smallest text hash stays, of equal rows one. Rows without
+    words all stay. Only rows that may be dropped are shuffled.
+    """
+    tagged = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("k"), F.xxhash64(text_or_empty()).alias("tag"))
+    labels = stored(jaccard_labels(docs.select(tagged.alias("id"), text_or_empty().alias("text")), width, percent, bits_log2).where("label IS NOT NULL"), "labels")
+    counted = labels.groupBy("id", "label").agg(F.count("*").alias("rows"))
+    least = labels.groupBy("label").agg(F.min("id").alias("best"))
+    touched = counted.join(least, "label").withColumn("keep", F.col("id") == F.col("best")).where("NOT keep OR rows > 1")
+    touched = stored(touched.select(F.xxhash64("id").alias("name"), "keep"), "touched")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(touched, "name", bits_log2))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(tagged).alias("name"))
+    kind = T.StructType([*packed.schema.fields, T.StructField("hit", T.BooleanType())])
+    rows = packed.mapInArrow(_may_hold(sent, bits_log2), kind)
+    maybe = rows.where("hit").join(touched, "name", "left")
+    once = maybe.where("keep").groupBy("name").agg(F.first("row").alias("row"))
+    return rows.where("NOT hit").select("row").unionByName(maybe.where("keep IS NULL").select("row")).unionByName(once.select("row")).select("row.*")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 

@@ -65,64 +65,84 @@ def water_fill(sources: DataFrame, total: float) -> DataFrame:
     return sources.withColumn("target", F.when(open_, F.least(F.col("cap"), F.col("weight") * F.lit(level))).otherwise(F.lit(0.0)))
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
-    share: float = 1.5,
-    max_epochs: float = 2.0,
-    seed: int = 17,
-    key: str = "doc_id",
-) -> DataFrame:
-    """Per document: size in words, source_size, its source's target, and how often the mix takes it.
+def _source(column: str = "source") -> Column:
+    """Source as a key that sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("t"))
 
-    Sources, in code point order with null last, get the weights in turn; all targets together are
-    ``share`` of all words, none above ``max_epochs`` of its source (``water_fill``). A source is taken
-    whole as often as its target allows; the rest comes from its documents in seeded hash order, up to
-    the document nearest to the target. Rows with equal keys are ordered by size and text hash; equal
-    rows are interchangeable. Empty documents have size 0 and copies as their place says. Other columns
-    of the input take no part.
 
-    Columns: key, size, source_size, target, copies, taken (words: copies x size), text_hash.
-    """
+_PLACE = ("h", "size", "tie")
+
+
+def _measured(docs: DataFrame, seed: int, key: str) -> DataFrame:
+    """Add src, size, and the place in hash order (h, size, tie) to a frame with columns key, text and source."""
     text = F.col("text").cast("string")
-    base = stored(
-        docs.select(
-            F.col(key).alias("id"),
-            F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("src"),
-            word_count(text).alias("size"),
-            row_hash(F.col(key), seed).alias("h"),
-            F.xxhash64(text).alias("tie"),
-        ),
-        "mix-sizes",
-    )
+    return docs.withColumns({"src": _source(), "size": word_count(text), "h": row_hash(F.col(key), seed), "tie": F.xxhash64(text)})
+
+
+def mix_plan(base: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """One row per source: source_size, target, rounds (whole repetitions) and where in hash order the rest ends.
+
+    ``base`` holds src, h, size and tie. A source's rows are summed by hash bucket; only the bucket in which the
+    target falls is ordered. Every row whose (h, size, tie) comes up to (cut_b, cut) is taken once more.
+    """
     bucket = F.shiftright("h", HASH_BITS - BUCKETS_LOG2)
-    cells = stored(base.groupBy("src", bucket.alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mix-cells")
+    cells = stored(base.groupBy("src", bucket.alias("b")).agg(F.sum("size").alias("words")), "mix-cells")
     sources = cells.groupBy("src").agg(F.sum("words").alias("source_size"))
     all_words = cells.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
     ranked = numbered(sources, "src")
     cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", cycle).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    plan = stored(water_fill(ranked, share * all_words), "mix-targets")
+    filled = water_fill(ranked, share * all_words)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    need = F.col("target") - rounds * F.col("source_size")
+    plan = stored(filled.withColumn("rounds", rounds).withColumn("need", F.col("target") - F.col("rounds") * F.col("source_size")).select("src", "source_size", "target", "rounds", "need"), "mix-targets")
     up_to = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        cells.withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
-        .join(plan.select("src", "source_size", "target", rounds.alias("rounds"), need.alias("need")), "src")
-        .select("src", "b", "words", "before", "source_size", "target", "rounds", "need")
-    )
-    joined = base.withColumn("b", bucket).join(cells, ["src", "b"])
-    # Twice a document's middle against twice the need: the middle decides, so the cut is the nearest one.
-    all_in = F.col("before") + F.col("words") <= F.col("need")
-    none_in = F.col("before") > F.col("need")
-    run = Window.partitionBy("src", "b").orderBy("h", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = joined.where(~all_in & ~none_in).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    extra = (F.col("ahead") * 2 + F.col("size") <= F.col("need") * 2).cast("long")
-    whole = joined.where(all_in | none_in).withColumn("copies", F.col("rounds") + all_in.cast("long"))
-    out = whole.unionByName(at_cut.withColumn("copies", F.col("rounds") + extra).drop("ahead"))
-    return out.select(
-        F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("tie").alias("text_hash")
-    )
+    cells = cells.withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0))).join(plan, "src")
+    # The first bucket that does not fit whole.
+    cut = cells.where(F.col("before") + F.col("words") > F.col("need")).groupBy("src").agg(F.min(F.struct("b", "before", "need")).alias("c"))
+    cut = stored(cut.select("src", F.col("c.b").alias("b"), F.col("c.before").alias("before"), F.col("c.need").alias("need")), "mix-cuts")
+    run = Window.partitionBy("src", "b").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    at_cut = base.withColumn("b", bucket).join(cut, ["src", "b"])
+    ahead = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
+    # Up to the row whose middle lies before the target: the nearest place to cut.
+    inside = at_cut.withColumn("ahead", ahead).where(F.col("ahead") * 2 + F.col("size") <= F.col("need") * 2)
+    last = inside.groupBy("src").agg(F.max(F.struct(*_PLACE)).alias("cut"))
+    return stored(plan.drop("need").join(cut.select("src", F.col("b").alias("cut_b")), "src", "left").join(last, "src", "left"), "mix-plan")
+
+
+def copies_taken() -> Column:
+    """How often the mix takes a row with h, size and tie, given its source's plan."""
+    bucket = F.shiftright("h", HASH_BITS - BUCKETS_LOG2)
+    more = F.col("cut_b").isNull() | (bucket < F.col("cut_b")) | ((bucket == F.col("cut_b")) & F.coalesce(F.struct(*_PLACE) <= F.col("cut"), F.lit(False)))
+    return F.col("rounds") + more.cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, key: str = "doc_id") -> DataFrame:
+    """Per document: size in words, source_size, its source's target, and how often the mix takes it.
+
+    Sources, in code point order with null last, get the weights in turn; all targets together are
+    ``share`` of all words, none above ``max_epochs`` of its source (``water_fill``). A source is taken
+    whole as often as its target allows; the rest comes from its documents in seeded hash order, up to
+    the document nearest to the target. Rows with equal keys are ordered by size and text hash, and rows
+    that are equal in all of this are taken alike. Empty documents have size 0. Other columns take no part.
+
+    Columns: key, size, source_size, target, copies, taken (words: copies x size).
+    """
+    base = stored(_measured(docs.select(F.col(key).alias("id"), "text", "source"), seed, "id").select("id", "src", *_PLACE), "mix-sizes")
+    out = base.join(mix_plan(base, weights, share, max_epochs), "src").withColumn("copies", copies_taken())
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, key: str = "doc_id") -> DataFrame:
+    """The mix itself: every row of docs with all its columns, as often as ``mix_sources`` takes it.
+
+    Texts are joined with one row per source; nothing but sizes and hashes is shuffled unless there are
+    too many sources to broadcast them.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), "text", "source")
+    rows = _measured(packed, seed, "id").select("row", "src", *_PLACE)
+    plan = mix_plan(stored(rows.select("src", *_PLACE), "mix-sizes"), weights, share, max_epochs)
+    taken = rows.join(plan, "src").withColumn("copies", copies_taken()).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

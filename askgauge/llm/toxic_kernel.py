@@ -370,6 +370,26 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, key: str = "doc_id") -> D
     return rows.mapInArrow(_scores(sent), kind).withColumnRenamed("doc_id", key)
 
 
+def _clean_rows(sent, threshold: float):
+    loaded = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not loaded:
+            loaded.append(ToxicModel.unpacked(sent.value))
+        for batch in batches:
+            score = [loaded[0].score(loaded[0].inputs(buf, offsets)) for _, _, buf, offsets in text_blocks(batch, "text")]
+            yield batch.filter(pa.array(np.concatenate([*score, np.zeros(0)]) < threshold)).select(["row"])
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; one pass, no shuffle."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model.packed())
+    return packed.mapInArrow(_clean_rows(sent, threshold), packed.select("row").schema).select("row.*")
+
+
 def held_out(column: str, parts: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the fold that is kept from training; a null id does not."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == fold, F.lit(False))
