@@ -94,44 +94,89 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _profiles(sent, width: int, percent: int):
+def _profiles(sent, width: int):
+    """Per row: size and name of its set; the name's first half is enough to look sets up, not to tell them apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sent.value, dtype=np.uint8)
         for batch in batches:
             for first, end, tokens, sizes in _token_blocks(batch, width):
                 sets = row_sets(tokens, sizes, levels)
-                heads = [s[: _prefix(len(s), percent)].astype(np.int64) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
-                at = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(first, end - first),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_node(s) for s in sets], pa.binary()),
-                        pa.array([int.from_bytes(_node(s)[:8], "big", signed=True) for s in sets], pa.int64()),
-                        pa.array([count_vector(s) for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, dtype=np.int64))),
-                    ],
-                    names=["id", "n", "node", "short", "vector", "head"],
-                )
+                own = batch.column("id").slice(first, end - first)
+                nodes = [_node(s) for s in sets]
+                columns = [own, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([_short(x) for x in nodes], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "node", "short"])
 
     return run
 
 
-def _shared_heads(sent, bits_log2: int):
+def _short(node: bytes) -> int:
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
+def _first_sets(batch: pa.RecordBatch, levels: np.ndarray, reps: np.ndarray, mask: int, width: int, seen: set[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(name, set) of the rows that stand for their set, each set once per task as far as memory allows."""
+    ids = batch.column("hash").to_pylist()
+    for first, _, tokens, sizes in _token_blocks(batch, width):
+        for i, own in enumerate(row_sets(tokens, sizes, levels)):
+            if not len(own):
+                continue
+            node = _node(own)
+            at = (ids[first + i] ^ _short(node)) & mask
+            if reps[at >> 3] >> (at & 7) & 1 and node not in seen:
+                if len(seen) < 500_000:
+                    seen.add(node)
+                yield node, own
+
+
+def _heads(sent, reps, bits_log2: int, width: int, percent: int):
+    """The rarest shingles of each set; twice when two sets of a batch have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << bits_log2) - 1
+        levels, bits, mask = np.frombuffer(sent.value, dtype=np.uint8), np.frombuffer(reps.value, dtype=np.uint8), (1 << bits_log2) - 1
+        seen: set[bytes] = set()
         for batch in batches:
-            head = batch.column("head")
-            values = head.flatten().to_numpy(zero_copy_only=False)
-            at = values & mask
-            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(head).to_numpy(zero_copy_only=False))
-            values, row = values[hit], row[hit]
-            kept = np.unique(row)
-            sizes = np.bincount(row, minlength=batch.num_rows)[kept]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
-            take = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("n").take(take), batch.column("vector").take(take), lists], names=["node", "n", "vector", "head"])
+            heads = [own[: _prefix(len(own), percent)] for _, own in _first_sets(batch, levels, bits, mask, width, seen)]
+            values, times = np.unique(np.concatenate(heads) if heads else np.zeros(0, dtype=np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(values, np.minimum(times, 2)).view(np.int64))], names=["token"])
+
+    return run
+
+
+def repeated_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values that a partition of one column holds more than once."""
+    own = [batch.column(0).to_numpy() for batch in batches]
+    values = np.sort(np.concatenate(own)) if own else np.zeros(0, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(values[1:][values[1:] == values[:-1]]))], names=["token"])
+
+
+def _members(sent, reps, hits, bits_log2: int, width: int, percent: int):
+    """A row for each set and each of its rarest shingles that another set may have among its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, bits, mask = np.frombuffer(sent.value, dtype=np.uint8), np.frombuffer(reps.value, dtype=np.uint8), (1 << bits_log2) - 1
+        shared = np.frombuffer(hits.value, dtype=np.uint8)
+        seen: set[bytes] = set()
+        for batch in batches:
+            tokens, shorts, sizes, vectors = [], [], [], []
+            for node, own in _first_sets(batch, levels, bits, mask, width, seen):
+                head = own[: _prefix(len(own), percent)].view(np.int64)
+                at = head & mask
+                head = head[(shared[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+                if len(head):
+                    tokens.append(head)
+                    shorts.append(_short(node))
+                    sizes.append(len(own))
+                    vectors.append(count_vector(own))
+            repeat = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]) if tokens else np.zeros(0, dtype=np.int64)
+            take = pa.array(repeat)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)), pa.array(shorts, pa.int64()).take(take),
+                    pa.array(sizes, pa.int64()).take(take), pa.array(vectors, pa.binary()).take(take),
+                ],
+                names=["token", "node", "n", "vector"],
+            )
 
     return run
 
@@ -221,12 +266,12 @@ def _trees(percent: int):
     """Over rows sorted by (token, i, j): connect the members of each tree; each link is reported once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
+        number: dict[int, int] = {}
         forest = Forest(0)
         held: pa.Table | None = None
 
         def solve(table: pa.Table) -> pa.RecordBatch:
-            nodes = table.column("node").to_pylist()
+            nodes = table.column("node").to_numpy().tolist()
             sizes = table.column("n").to_numpy()
             points = _points(table.column("vector").to_pylist())
             keys = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
@@ -248,7 +293,7 @@ def _trees(percent: int):
                 if forest.join(*own):
                     left.append(nodes[p])
                     right.append(nodes[q])
-            return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -268,29 +313,31 @@ def _trees(percent: int):
     return run
 
 
-def _wanted_sets(sent, filtered, bits_log2: int, width: int):
+def _wanted_sets(sent, reps, wanted, bits_log2: int, width: int):
+    """Sets whose short name may be among the wanted ones, as 48-bit shingles, six bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, bits, mask = np.frombuffer(sent.value, dtype=np.uint8), np.frombuffer(filtered.value, dtype=np.uint8), (1 << bits_log2) - 1
+        levels, bits, mask = np.frombuffer(sent.value, dtype=np.uint8), np.frombuffer(reps.value, dtype=np.uint8), (1 << bits_log2) - 1
+        asked = np.frombuffer(wanted.value, dtype=np.uint8)
         seen: set[bytes] = set()
         for batch in batches:
-            for _, _, tokens, sizes in _token_blocks(batch, width):
-                nodes, sets = [], []
-                for own in row_sets(tokens, sizes, levels):
-                    if not len(own):
-                        continue
-                    node = _node(own)
-                    at = int.from_bytes(node[:8], "big") & mask
-                    if bits[at >> 3] >> (at & 7) & 1 and node not in seen:
-                        # Copies in the same task are sent once; others meet in the join.
-                        if len(seen) < 500_000:
-                            seen.add(node)
-                        nodes.append(node)
-                        sets.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+            rows = []
+            for node, own in _first_sets(batch, levels, bits, mask, width, seen):
+                at = _short(node) & mask
+                if asked[at >> 3] >> (at & 7) & 1:
+                    rows.append((_short(node), node, np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
+            short, node, own = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64()), pa.array(node, pa.binary()), pa.array(own, pa.binary())], names=["node", "name", "tokens"])
 
     return run
 
 
+def unpack_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return np.unique(out.view("<u8").reshape(-1))
+
+
 def verified_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of sets that reach the threshold exactly, enough to connect all that any such pairs connect."""
     sizes = np.array([len(s) for s in sets])
@@ -319,11 +366,11 @@ def _verify(percent: int):
             # The same set may come from several tasks.
             own = dict(zip(nodes, sets, strict=True))
             names = sorted(own)
-            links = verified_links([np.frombuffer(own[n], dtype=np.uint64) for n in names], percent) if len(names) > 1 else []
+            links = verified_links([unpack_set(own[n]) for n in names], percent) if len(names) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in links], pa.binary()), pa.array([names[y] for _, y in links], pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "node", "tokens")]
+            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "name", "tokens")]
             for label, i, j, node, own in zip(*columns, strict=True):
                 if (label, i, j) != key:
                     if len(nodes) > 1:
@@ -342,7 +389,8 @@ def _split_large(rows: DataFrame, key: str) -> DataFrame:
 
     All pairs of a group still meet, each group of the result has about SPLIT rows.
     """
-    large = rows.groupBy(key).count().where(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") * 2 / SPLIT).cast("int").alias("parts"))
+    # Stored, so that Spark sees its size: mostly it is tiny, and the rows need no shuffle for it.
+    large = stored(rows.groupBy(key).count().where(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") * 2 / SPLIT).cast("int").alias("parts")), "large")
     own = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, own).alias("i"), F.greatest(p, own).alias("j")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
@@ -354,25 +402,26 @@ def jaccard_labels(rows: DataFrame, width: int, percent: int, bits_log2: int) ->
     """For rows (id, text): id, n (shingles) and label, equal for all texts that links connect; null without words."""
     send = rows.sparkSession.sparkContext.broadcast
     levels = send(frequency_levels(rows, width).tobytes())
-    kind = f"id {rows.schema['id'].dataType.simpleString()}, n long, node binary, short long, vector binary, head array<long>"
-    profiles = stored(rows.mapInArrow(_profiles(levels, width, percent), kind), "profiles")
-    # Shingles among the rarest of two unlike sets, as a bitmap; a false hit only costs a tree of one.
-    heads = profiles.select("short", F.explode("head").alias("token"))
-    shared = heads.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a <> b")
-    hits = send(bit_filter(shared, "token", bits_log2))
-    points = profiles.select("node", "n", "vector", "head").mapInArrow(_shared_heads(hits, bits_log2), "node binary, n long, vector binary, head array<long>")
-    points = points.groupBy("node").agg(F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("head").alias("head"))
-    members = stored(points.select("node", "n", "vector", F.explode("head").alias("token")), "tree-members")
+    hashed = rows.select(F.xxhash64("id").alias("hash"), "text")
+    kind = T.StructType([rows.schema["id"], T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("short", T.LongType())])
+    profiles = stored(rows.mapInArrow(_profiles(levels, width), kind), "profiles")
+    # One row of each set goes on: a bitmap tells which, and lets few others pass.
+    first = profiles.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("short").alias("short"))
+    first = stored(first.select(F.xxhash64("id").bitwiseXOR(F.col("short")).alias("h"), "n"), "first-sets")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    reps = send(bit_filter(first, "h", bits_log2))
+    # Shingles among the rarest of two sets, as a bitmap; a false hit only costs a tree of one.
+    parts = max(8, int(total * (100 - percent) / 100 / 1_000_000) + 1)
+    heads = hashed.mapInArrow(_heads(levels, reps, bits_log2, width, percent), "token long").repartition(parts, "token")
+    hits = send(bit_filter(heads.mapInArrow(repeated_values, "token long"), "token", bits_log2))
+    members = stored(hashed.mapInArrow(_members(levels, reps, hits, bits_log2, width, percent), "token long, node long, n long, vector binary"), "tree-members")
     trees = _split_large(members, "token").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    links = trees.select("token", "i", "j", "node", "n", "vector").mapInArrow(_trees(percent), "a binary, b binary")
-    groups = components(links)
-    small = min(bits_log2, 24)
-    first = F.conv(F.hex(F.substring("node", 6, 3)), 16, 10).cast("long")
-    wanted = send(bit_filter(groups.select(first.alias("h")), "h", small))
-    sets = rows.select("text").mapInArrow(_wanted_sets(levels, wanted, small, width), "node binary, tokens binary")
-    gathered = _split_large(groups.select("node", "label"), "label").join(sets, "node")
-    gathered = gathered.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    exact = gathered.select("label", "i", "j", "node", "tokens").mapInArrow(_verify(percent), "a binary, b binary")
+    links = trees.select("token", "i", "j", "node", "n", "vector").mapInArrow(_trees(percent), "a long, b long")
+    groups = stored(components(links), "groups")
+    wanted = send(bit_filter(groups, "node", bits_log2))
+    sets = hashed.mapInArrow(_wanted_sets(levels, reps, wanted, bits_log2, width), "node long, name binary, tokens binary")
+    gathered = _split_large(groups, "label").join(sets, "node").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    exact = gathered.select("label", "i", "j", "name", "tokens").mapInArrow(_verify(percent), "a binary, b binary")
     named = components(exact)
     own = profiles.select("id", "n", "node").join(named, "node", "left")
     return own.select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
@@ -388,7 +437,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, bits_
     component (null if no row of its component has a key). Rows with equal keys stay apart unless linked.
     Other columns take no part.
 
-    Shingles are 56-bit hashes, sets are named by 128 bits.
+    Shingles are 56-bit hashes (48 bits when two sets are compared), sets are named by 128 bits.
     """
     own = jaccard_labels(docs.select(F.col(key).alias("id"), text_or_empty().alias("text")), width, percent, bits_log2)
     least = own.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
