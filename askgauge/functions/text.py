@@ -18,8 +18,13 @@ from askgauge.functions.fixed_values import (
 )
 
 EDGE_SPACE = r"^\s+|\s+$"
-# Group 1 keeps quoted text; the other branches are line and block comments.
-QUOTED_OR_COMMENT = r"('(?:[^']|'')*')|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
+# Text in single or double quotes or in backticks, a doubled quote being part of it.
+QUOTED = r"""'[^']*+(?:''[^']*+)*+'|"[^"]*+(?:""[^"]*+)*+"|`[^`]*+`"""
+COMMENT = r"--[^\n]*+|/\*(?s:.*?)\*/"
+# A query as quoted texts, comments and stretches of everything else.
+QUERY_PARTS = rf"{QUOTED}|{COMMENT}|(?:(?!--|/\*)[^'\"`])++|['\"`]|/\*"
+# A backslash before a quote ends the quoted text in some dialects and not in others.
+ESCAPED_QUOTE = r"""\\['"`]"""
 NAME_AFTER_SOURCE = r"""(?i)\b(?:FROM|JOIN)\s+[`"]?([A-Za-z_][A-Za-z_0-9]*)"""
 QUOTED_NAME = r"""[`"]([^`"]+)[`"]"""
 
@@ -45,15 +50,21 @@ def filled(col: Column) -> Column:
 
 def sql_key(col: Column) -> Column:
     """Canonical text of a query: no comments, no trailing semicolon, one blank between
-    words and lower case outside quotes.  Equal keys mean the same query text."""
-    bare = F.regexp_replace(or_blank(col), QUOTED_OR_COMMENT, "$1 ")
+    words and lower case outside quotes.  Text in single quotes, double quotes or backticks
+    stays as it is: a double-quoted text may be a value.  Equal keys mean the same query text;
+    a text with a backslash before a quote is only trimmed."""
+    raw = or_blank(col)
+    parts = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    bare = F.transform(parts(raw, QUERY_PARTS), lambda p: F.when(p.rlike(rf"^(?:{COMMENT})$"), " ").otherwise(p))
+    # Once more without comments, so that the blanks around one count as one run.
     pieces = F.transform(
-        F.split(bare, "'"),
-        lambda part, i: F.when(
-            i % 2 == 0, F.lower(F.regexp_replace(part, r"\s+", " "))
-        ).otherwise(part),
+        parts(F.array_join(bare, ""), rf"{QUOTED}|[^'\"`]++|['\"`]"),
+        lambda p: F.when(F.substring(p, 1, 1).isin("'", '"', "`"), p).otherwise(
+            F.lower(F.regexp_replace(p, r"\s+", " "))
+        ),
     )
-    return F.regexp_replace(F.array_join(pieces, "'"), r"^\s+|[\s;]+$", "")
+    plain = F.when(raw.rlike(ESCAPED_QUOTE), raw).otherwise(F.array_join(pieces, ""))
+    return F.regexp_replace(plain, r"^\s+|[\s;]+$", "")
 
 
 def clean_name(col: Column) -> Column:

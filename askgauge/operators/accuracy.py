@@ -83,14 +83,13 @@ def bag_counts(result: DataFrame, query_id: str) -> DataFrame:
 def bag_digest(result: DataFrame, query_id: str) -> DataFrame:
     """One row per result: its size and two sums over the 120 leading bits of the row digests.
 
-    Sums do not depend on row order and count duplicates, so equal digests mean
-    equal bags.  They are formed in the map tasks: comparing two results moves
+    Sums do not depend on row order and count duplicates: equal bags have equal digests,
+    and unlike bags differ but for a collision of 120-bit hashes.  They are formed in the map tasks: comparing two results moves
     one record per task, however large the results are.
     """
     plain = _nameless(result)
     part = lambda start: (
-        f"coalesce(cast(sum(cast(conv(substr(k, {start}, 15), 16, 10) as decimal(20,0))) as decimal(38,0)),"
-        " cast(0 as decimal(38,0)))"
+        f"coalesce(sum(cast(conv(substr(k, {start}, 15), 16, 10) as decimal(28,0))), cast(0 as decimal(38,0)))"
     )
     return plain.selectExpr(f"{_row_key(plain, plain.columns)} as k").selectExpr(
         f"'{query_id}' as query_id", "count(1) as n", f"{part(1)} as head", f"{part(16)} as tail"

@@ -47,9 +47,10 @@ def header_hash(headers: DataFrame) -> DataFrame:
     return headers.select("table_id", F.sha1(canonical_header(F.col("header"), "\t")).alias("header_hash"))
 
 
-def english_tables(headers: DataFrame, first: int = 5) -> DataFrame:
-    """Tables where at least one of the first headers reads as English."""
-    words = F.transform(F.slice("header", 1, first), lambda h: F.regexp_replace(h, r"[_\W]+", " "))
+def english_tables(headers: DataFrame, first: int | None = None) -> DataFrame:
+    """Tables where at least one header (of the first so many, if given) reads as English."""
+    looked = F.col("header") if first is None else F.slice("header", 1, first)
+    words = F.transform(looked, lambda h: F.regexp_replace(h, r"[_\W]+", " "))
     hit = F.exists(words, lambda h: F.coalesce(detect_language(h) == "en", F.lit(False)))
     return headers.filter(hit).select("table_id")
 
@@ -113,10 +114,10 @@ def first_rows(cells: DataFrame, count: int) -> DataFrame:
 
 
 def infer_foreign_keys(
-    cells: DataFrame, sample: int = 1000, overlap: float = 0.8, within: Sequence[str] = ()
+    cells: DataFrame, sample: int | None = None, overlap: float = 0.8, within: Sequence[str] = ()
 ) -> DataFrame:
-    """Column pairs of two tables whose sampled values overlap by more than ``overlap``
-    of the smaller set.
+    """Column pairs of two tables whose values overlap by more than ``overlap`` of the smaller
+    set.  With ``sample`` only that many first rows of each table are compared.
 
     Candidates come from the rare end of each column: two sets can only overlap
     that much if the larger one holds one of the smaller one's rarest values,
@@ -125,11 +126,11 @@ def infer_foreign_keys(
     (for example one database).
     """
     values = (
-        first_rows(cells, sample)
+        (cells if sample is None else first_rows(cells, sample))
         .select(*within, "table_id", "col_idx", "col_name", F.coalesce("value", F.lit("nan")).alias("value"))
         .distinct()
     )
-    # At most ``sample`` values per column, read by several joins below.
+    # Distinct values, read by several joins below.
     values = cut_lineage(values)
     sizes = values.groupBy(*within, "table_id", "col_idx").agg(F.count(F.lit(1)).alias("size"))
     spread = values.groupBy(*within, "value").agg(F.count(F.lit(1)).alias("df"))

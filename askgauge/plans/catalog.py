@@ -57,9 +57,7 @@ def shift_swd(spark, d):
 
 @register("shift_swd_hybrid")
 def shift_swd_hybrid(spark, d):
-    found = shift.sliced_distance_hybrid(
-        inputs.vectors(spark, d), subsample=JOINT_CAP, id_cols=("vec_id",)
-    )
+    found = shift.sliced_distance_hybrid(inputs.vectors(spark, d), id_cols=("vec_id",))
     return inputs.rounded(found, "swd")
 
 
@@ -353,7 +351,7 @@ def chat_prompts(spark, d):
 @register("output_lines")
 def output_lines(spark, d):
     turns = inputs.table(spark, d, "conversations")
-    lines = F.posexplode_outer(texts.output_lines(F.col("text"), 4)).alias("idx", "line")
+    lines = F.posexplode_outer(texts.output_lines(F.col("text"))).alias("idx", "line")
     return turns.select("conv_id", "turn", lines).filter("idx is not null")
 
 
@@ -383,7 +381,7 @@ def semantic_richness(spark, d):
 
 @register("header_hash")
 def header_hash(spark, d):
-    return cells.header_hash(cells.table_headers(inputs.cells(spark, d)))
+    return cells.header_hash(inputs.page_headers(spark, d))
 
 
 @register("infer_foreign_keys")
@@ -447,7 +445,7 @@ def tmpl_nested_having(spark, d):
 
 
 def _workload(spark, d):
-    return workload.sql_workload(workload.catalog_of(inputs.cells(spark, d))).withColumn("db_id", F.lit("tpc"))
+    return workload.sql_workload(inputs.page_catalog(spark, d)).withColumn("db_id", F.lit("web"))
 
 
 @register("sqlgen_workload")

@@ -47,6 +47,15 @@ QUERY_PAIRS = [
      " FROM orders) AS t WHERE r <= 10"),
     ("16", "tpc", "SELECT o_custkey, SUM(o_totalprice) > 0 FROM orders GROUP BY o_custkey",
      "select o_custkey, sum(o_totalprice) > 0   from orders group by o_custkey ;"),
+    # Double-quoted values: the same words in another case, with other blanks, or with a comment mark inside.
+    ("17", "tpc", 'SELECT COUNT(*) FROM customer WHERE c_mktsegment = "BUILDING"',
+     'SELECT COUNT(*) FROM customer WHERE c_mktsegment = "building"'),
+    ("18", "tpc", """SELECT COUNT(*) FROM part WHERE p_name <> "it's" AND p_brand = 'Brand#11'""",
+     """SELECT COUNT(*) FROM part WHERE p_name <> "it's" AND p_brand = 'brand#11'"""),
+    ("19", "tpc", 'SELECT "a  b" AS x FROM region', 'SELECT "a b" AS x FROM region'),
+    ("20", "tpc", 'SELECT "a -- b" AS x FROM region', 'SELECT "a" AS x FROM region'),
+    ("21", "tpc", 'SELECT COUNT(*) FROM customer WHERE c_mktsegment = "BUILDING"',
+     "select count(*) from customer /* all */ where c_mktsegment = 'BUILDING' -- end"),
 ]
 
 
@@ -87,7 +96,7 @@ def query_log(spark: SparkSession, folder: str) -> DataFrame:
     sql = (
         F.when(kind == "click", text("SELECT  user_id,\tvalue FROM events WHERE user_id = ", user, " ;"))
         .when(kind == "view", text("select \"value\" from \"events\" WHERE event_type = 'View -- All'  -- event ", F.col("event_id").cast("string")))
-        .when(kind == "purchase", text("SELECT COUNT(*), AVG(value) FROM events JOIN users ON events.user_id = users.user_id WHERE value > ", user))
+        .when(kind == "purchase", text("SELECT COUNT(*), AVG(value) FROM events JOIN users ON events.user_id = users.user_id WHERE note = \"It's  A -- /* B\" AND value > ", user))
         .when(kind == "error", text("SELECT MAX(\"value\") FROM \"events\" /* user ", user, " */ GROUP BY user_id HAVING SUM(\"value\") >= 10;"))
         .otherwise(text("SELECT user_id FROM Events WHERE value BETWEEN 1 AND ", user, " OR user_id IN (1, 2)"))
     )
@@ -108,6 +117,12 @@ def page_headers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select(F.inline(both))
 
 
+def page_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as tables whose columns are the words of their titles."""
+    name = F.concat(F.lit("page "), F.col("table_id").cast("string"))
+    return page_headers(spark, folder).select(name.alias("table_name"), F.col("header").alias("columns"))
+
+
 def model_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns in the forms a model answers in: fenced, bare, chatty or empty."""
     said, turn = F.col("text"), F.col("turn") % 5

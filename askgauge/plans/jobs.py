@@ -89,20 +89,24 @@ def shift_from_records(
     *,
     source_field: str = "prompt",
     target_field: str = "prompt",
-    target_limit: int | None = 500,
+    target_limit: int | None = None,
     make_fn: Callable | None = None,
     dim: int = 256,
     **options,
 ) -> DataFrame:
-    """Descriptors between the texts of two record sets, with used and skipped counts."""
+    """Descriptors between the texts of two record sets, with used and skipped counts.
+
+    With ``target_limit`` that many target records are drawn by hash, the same in every run.
+    """
     texts = {}
     for side, frame, name, limit in (
         ("source", source, source_field, None),
         ("target", target, target_field, target_limit),
     ):
-        scanned = frame if limit is None else frame.limit(limit)
-        text = records.field_text(frame, name)
-        texts[side] = scanned.select(F.lit(side).alias("side"), text.alias("text"))
+        scanned = frame.select(records.field_text(frame, name).alias("text"))
+        if limit is not None:
+            scanned = sampling.smallest_by_hash(scanned, limit, id_cols=("text",))
+        texts[side] = scanned.select(F.lit(side).alias("side"), "text")
     both = texts["source"].unionByName(texts["target"])
     known = both.filter("text is not null")
     embedded = models.embed_texts(known, make_fn, dim=dim).select("side", "embedding")

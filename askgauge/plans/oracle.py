@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from askgauge.functions.fixed_values import (
     AGGREGATE_NAMES,
     CHAT_SYSTEM,
@@ -14,7 +16,7 @@ from askgauge.functions.fixed_values import (
     SQL_START_WORDS,
     STOP_WORDS,
 )
-from askgauge.functions.text import NAME_AFTER_SOURCE, QUOTED_NAME, QUOTED_OR_COMMENT
+from askgauge.functions.text import NAME_AFTER_SOURCE, QUOTED_NAME
 from askgauge.functions.vectors import unit_directions
 from askgauge.plans.inputs import QUERY_PAIRS
 
@@ -121,16 +123,19 @@ ORACLE["embed_texts_hashed"] = """SELECT conv_id, turn, 64::INTEGER AS dim,
 # --- execution accuracy ------------------------------------------------------------------
 
 # Scores that no engine needs to be asked for: unknown column, blank text, unknown database, command.
-GIVEN_SCORES = {"04": 0, "05": 0, "07": 0, "12": 1, "13": 0}
+GIVEN_SCORES = {"04": 0, "07": 0, "12": 1, "13": 0}
 # Pairs whose bags differ in width or column types, with both sizes compared instead.
 EMPTY_PAIRS = {"06"}
 
 
 def _pair_score(pair: tuple[str, str, str, str]) -> str:
     name, db_id, gold, pred = pair
-    gold, pred = gold.rstrip(" ;"), pred.rstrip(" ;")
+    # Double-quoted values are written in single quotes here, where double quotes mean names.
+    gold, pred = (re.sub('"([^"]*)"', lambda m: lit(m[1]), q.removesuffix(" -- end").rstrip(" ;")) for q in (gold, pred))
     if name in GIVEN_SCORES:
         same = str(bool(GIVEN_SCORES[name])).lower()
+    elif not pred:
+        same = f"(SELECT count(*) FROM ({gold})) = 0"
     elif name in EMPTY_PAIRS:
         same = f"(SELECT count(*) FROM ({gold})) = 0 AND (SELECT count(*) FROM ({pred})) = 0"
     elif name == "03":
@@ -159,14 +164,16 @@ SELECT pair_id, bool_and(diff = 0)::INTEGER AS equal FROM r GROUP BY pair_id"""
 LOG = """lg AS (SELECT event_id, 'db' || (user_id % 5) AS db_id, CASE event_type
   WHEN 'click' THEN 'SELECT  user_id,' || chr(9) || 'value FROM events WHERE user_id = ' || user_id || ' ;'
   WHEN 'view' THEN 'select "value" from "events" WHERE event_type = ''View -- All''  -- event ' || event_id
-  WHEN 'purchase' THEN 'SELECT COUNT(*), AVG(value) FROM events JOIN users ON events.user_id = users.user_id WHERE value > ' || user_id
+  WHEN 'purchase' THEN 'SELECT COUNT(*), AVG(value) FROM events JOIN users ON events.user_id = users.user_id WHERE note = "It''s  A -- /* B" AND value > ' || user_id
   WHEN 'error' THEN 'SELECT MAX("value") FROM "events" /* user ' || user_id || ' */ GROUP BY user_id HAVING SUM("value") >= 10;'
   ELSE 'SELECT user_id FROM Events WHERE value BETWEEN 1 AND ' || user_id || ' OR user_id IN (1, 2)' END AS sql
   FROM events)"""
-NORM = rf"""regexp_replace(array_to_string(list_transform(string_split(
-  regexp_replace(coalesce(sql, ''), {lit(QUOTED_OR_COMMENT)}, '\1 ', 'g'), ''''),
-  lambda part, i: CASE WHEN i % 2 = 1 THEN lower(regexp_replace(part, '\s+', ' ', 'g')) ELSE part END), ''''),
-  '^\s+|[\s;]+$', '', 'g')"""
+# Two passes over a query: comments become blanks, then what is not quoted is folded.
+NORM = r"""regexp_replace(array_to_string(list_transform(regexp_extract_all(
+    array_to_string(list_transform(regexp_extract_all(coalesce(sql, ''), '''[^'']*''|"[^"]*"|--[^\n]*|/\*[^*]*\*/|[^''"/-]+|[''"/-]'),
+      lambda p: CASE WHEN p[1:2] IN ('--', '/*') THEN ' ' ELSE p END), ''),
+    '''[^'']*''|"[^"]*"|[^''"]+|[''"]'),
+  lambda p: CASE WHEN p[1] IN ('''', '"') THEN p ELSE lower(regexp_replace(p, '\s+', ' ', 'g')) END), ''), '^\s+|[\s;]+$', '', 'g')"""
 ORACLE["sql_normalize"] = f"WITH {LOG} SELECT event_id, {NORM} AS norm FROM lg"
 ORACLE["unique_queries"] = f"""WITH {LOG}, n AS (SELECT db_id, sql, {NORM} AS norm FROM lg)
 SELECT md5(db_id || '|' || norm) AS query_id, db_id, norm, min(sql) AS sql, count(*) AS uses
@@ -259,7 +266,7 @@ def split_lines(source: str, column: str) -> str:
 ORACLE["output_lines"] = f"""WITH l AS ({split_lines("conversations", "text")}),
 r AS (SELECT conv_id, turn, line, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS idx
   FROM l WHERE line <> '')
-SELECT conv_id, turn, idx::INTEGER AS idx, line FROM r WHERE idx < 4"""
+SELECT conv_id, turn, idx::INTEGER AS idx, line FROM r"""
 ORACLE["qa_pairs"] = rf"""WITH a AS (SELECT conv_id, turn, CASE turn % 3
   WHEN 0 THEN 'Q: ' || replace(text, chr(10), ' ') || chr(10) || chr(10) || 'note' || chr(10) || ' A: SELECT 1' || chr(10) || 'A: SELECT 2'
   WHEN 1 THEN 'A: none' || chr(10) || 'Q: first' || chr(10) || 'Q: ' || replace(text, chr(10), ' ') || chr(10) || 'A: '
@@ -319,11 +326,9 @@ w AS (SELECT table_id, unnest(string_split_regex(lower(coalesce(value, 'nan')),
 d AS (SELECT table_id, count(DISTINCT w) AS n FROM w WHERE w <> '' GROUP BY table_id),
 c AS (SELECT table_id, count(*) AS n FROM cells GROUP BY table_id)
 SELECT table_id, round(least(1.0::DOUBLE, coalesce(d.n, 0)::DOUBLE / c.n), 6) AS richness FROM c LEFT JOIN d USING (table_id)"""
-ORACLE["header_hash"] = f"""WITH {CELLS}, h AS (SELECT DISTINCT table_id, col_idx, col_name FROM cells)
-SELECT table_id, sha1(string_agg(lower(trim(col_name)), chr(9) ORDER BY col_idx)) AS header_hash FROM h GROUP BY table_id"""
 ORACLE["infer_foreign_keys"] = f"""WITH {CELLS},
-f AS (SELECT *, row_number() OVER (PARTITION BY table_id, col_idx ORDER BY row_idx) AS r FROM cells),
-v AS (SELECT DISTINCT table_id, col_name, coalesce(value, 'nan') AS value FROM f WHERE r <= 1000),
+f AS (SELECT * FROM cells),
+v AS (SELECT DISTINCT table_id, col_name, coalesce(value, 'nan') AS value FROM f ),
 s AS (SELECT table_id, col_name, count(*) AS n FROM v GROUP BY ALL),
 j AS (SELECT a.table_id AS left_table, a.col_name AS left_column, b.table_id AS right_table,
     b.col_name AS right_column, count(*) AS shared
@@ -363,33 +368,29 @@ ORACLE["tmpl_nested_having"] = """SELECT o_custkey FROM orders WHERE o_custkey I
   SELECT o_custkey FROM orders GROUP BY o_custkey HAVING COUNT(*) > 1)"""
 
 
-def _texts(table: str, columns: list[str]) -> list[tuple[str, str]]:
-    a, b, t = f'"{columns[0]}"', f'"{columns[1]}"', f'"{table}"'
-    return [
-        ("select", f"SELECT {a} FROM {t}"),
-        ("count", f"SELECT COUNT(*) FROM {t}"),
-        ("group", f"SELECT {a}, AVG({b}) FROM {t} GROUP BY {a}"),
-        ("nested", f"SELECT {a} FROM {t} WHERE {a} IN (SELECT {a} FROM {t} GROUP BY {a} HAVING COUNT(*) > 1)"),
-    ]
-
-
-WORK = "wl(table_name, columns, first_column, kind, sql) AS (VALUES " + ", ".join(
-    f"({lit(t)}, {lit(', '.join(columns))}, {lit(columns[0])}, {lit(kind)}, {lit(sql)})"
-    for t, columns in COLUMNS.items()
-    for kind, sql in _texts(t, columns)
-) + ")"
+HEADERS = """hd AS (SELECT page_id * 2 AS table_id, string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') AS header FROM pages
+  UNION ALL SELECT page_id * 2 + 1, list_append(list_transform(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' '), lambda x: upper(replace(x, 'ß', 'SS'))), 'id') FROM pages)"""
+WORK = HEADERS + """, nm AS (SELECT 'page ' || table_id AS table_name, header, '"page ' || table_id || '"' AS t,
+    '"' || replace(header[1], '"', '""') || '"' AS a, '"' || replace(header[2], '"', '""') || '"' AS b FROM hd),
+wl AS (SELECT table_name, array_to_string(header, ', ') AS columns, header[1] AS first_column, kind, sql FROM (
+  SELECT *, 'select' AS kind, 'SELECT ' || a || ' FROM ' || t AS sql FROM nm
+  UNION ALL SELECT *, 'count', 'SELECT COUNT(*) FROM ' || t FROM nm
+  UNION ALL SELECT *, 'group', 'SELECT ' || a || ', AVG(' || b || ') FROM ' || t || ' GROUP BY ' || a FROM nm WHERE len(header) > 1
+  UNION ALL SELECT *, 'nested', 'SELECT ' || a || ' FROM ' || t || ' WHERE ' || a || ' IN (SELECT ' || a || ' FROM ' || t || ' GROUP BY ' || a || ' HAVING COUNT(*) > 1)' FROM nm))"""
+ORACLE["header_hash"] = f"""WITH {HEADERS}
+SELECT table_id, sha1(array_to_string(list_transform(header, lambda x: lower(trim(x))), chr(9))) AS header_hash FROM hd"""
 ORACLE["sqlgen_workload"] = f"WITH {WORK} SELECT table_name, kind, sql FROM wl"
-ORACLE["dataset_ids"] = f"WITH {WORK} SELECT 'tpc:' || table_name || ':' || kind || ':' || md5(sql) AS id FROM wl"
+ORACLE["dataset_ids"] = f"WITH {WORK} SELECT 'web:' || table_name || ':' || kind || ':' || md5(sql) AS id FROM wl"
 STYLES = "st(style, template) AS (VALUES " + ", ".join(
     f"({lit(s)}, {lit(t)})" for s, t in QUESTION_STYLES.items()
 ) + ")"
 ORACLE["question_templates"] = f"""WITH {WORK}, {STYLES},
-x AS (SELECT *, 'tpc:' || table_name || ':' || style || ':' || md5(sql) AS id FROM wl, st)
-SELECT id, 'tpc' AS db_id, replace(template, '{{ask}}', table_name || ' ' || first_column) || ' '
+x AS (SELECT *, 'web:' || table_name || ':' || style || ':' || md5(sql) AS id FROM wl, st)
+SELECT id, 'web' AS db_id, replace(template, '{{ask}}', table_name || ' ' || first_column) || ' '
   || [{", ".join(lit(x) for x in DISTRACTORS)}][1 + ('0x' || substr(md5(id), 1, 8))::BIGINT % 4] AS question,
   sql AS gold_sql FROM x"""
 QUESTION_TEXT = filled(
-    QUESTION_PROMPT, num="'4'", styles=lit(", ".join(QUESTION_STYLES)), db_id="'tpc'",
+    QUESTION_PROMPT, num="'4'", styles=lit(", ".join(QUESTION_STYLES)), db_id="'web'",
     table="table_name", columns="columns", sql="sql",
 )
 ORACLE["render_templates"] = f"WITH {WORK} SELECT table_name, kind, {QUESTION_TEXT} AS prompt FROM wl"

@@ -69,16 +69,44 @@ def align_by_position(gold: DataFrame, pred: DataFrame, position: str = "line_no
     return align_by_id(gold, pred.select(position, "pred_sql"), position)
 
 
+def read_lines_or_array(spark: SparkSession, path: str | Sequence[str], schema: str = RECORD_SCHEMA) -> DataFrame:
+    """Records of JSON lines or of one top-level array, told apart by the first character.
+
+    Malformed input raises in either form.
+    """
+    start = spark.read.text(path).filter(filled(F.col("value"))).limit(1).collect()
+    if start and start[0]["value"].lstrip("\ufeff \t\r\n").startswith("["):
+        return read_json_array(spark, path, schema)
+    return read_records(spark, path, schema)
+
+
+def _check_ids(records: DataFrame, side: str) -> None:
+    """Raise on a missing or repeated id: either would score records against the wrong query."""
+    bad = records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("id is null or n > 1").limit(1).collect()
+    if bad:
+        what = "no id" if bad[0]["id"] is None else f"the id {bad[0]['id']!r} {bad[0]['n']} times"
+        raise ValueError(f"the {side} records have {what}; align by position or give every record its own id")
+
+
 def load_aligned(
     spark: SparkSession,
     gold_path: str,
     pred_path: str,
     fields: Mapping[str, Sequence[str]] = DATASET_FIELDS["spider"],
-    by: str = "id",
+    by: str | None = None,
 ) -> DataFrame:
-    """``id, db_id, question, gold_sql, pred_sql`` from a gold and a prediction file."""
-    gold = spark.read.schema(RECORD_SCHEMA).json(gold_path)
-    pred = spark.read.schema(RECORD_SCHEMA).json(pred_path)
+    """``id, db_id, question, gold_sql, pred_sql`` from a gold and a prediction file.
+
+    Files hold JSON lines or one array.  ``by`` is ``id`` or ``position``; by default ids are
+    used unless no gold record has one.  Missing or repeated ids raise.
+    """
+    gold = read_lines_or_array(spark, gold_path)
+    pred = read_lines_or_array(spark, pred_path)
+    if by is None:
+        by = "position" if gold.filter("id is not null").isEmpty() else "id"
+    if by == "id":
+        _check_ids(gold, "gold")
+        _check_ids(pred, "predicted")
     if by == "position":
         gold, pred = dense_position(mark_position(gold)), dense_position(mark_position(pred))
         key = "line_no"
@@ -96,7 +124,7 @@ def load_aligned(
 
 
 def load_dataset(
-    spark: SparkSession, dataset: str, gold_path: str, pred_path: str, by: str = "id"
+    spark: SparkSession, dataset: str, gold_path: str, pred_path: str, by: str | None = None
 ) -> DataFrame:
     """Aligned records of a named benchmark dataset."""
     return load_aligned(spark, gold_path, pred_path, DATASET_FIELDS[dataset], by)

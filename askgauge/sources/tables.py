@@ -103,16 +103,19 @@ def csv_to_cells(
 
 
 def with_running_suffix(names: Column, joiner: str) -> Column:
-    """Make the names of an array distinct: each repeat gets the number of earlier ones."""
+    """Make the names of an array distinct: a repeat gets the number of earlier ones, or the
+    next number whose name is still free.  The first of equal names keeps its own."""
 
-    def distinct(bound: Column) -> Column:
-        def one(name: Column, i: Column) -> Column:
-            earlier = F.size(F.filter(F.slice(bound, F.lit(1), i), lambda other: other == name))
-            return F.when(earlier > 0, F.concat_ws(joiner, name, earlier.cast("string"))).otherwise(name)
+    def add(done: Column, name: Column) -> Column:
+        numbered = lambda k: F.concat_ws(joiner, name, k.cast("string"))
+        # Among so many numbers one is free: at most all names are taken.
+        tries = F.sequence(F.lit(1), F.size(names) + 1)
+        repeats = F.size(F.filter(F.slice(names, 1, F.size(done)), lambda other: other == name))
+        free = F.filter(tries, lambda k: (k >= repeats) & ~F.array_contains(done, numbered(k)) & ~F.array_contains(names, numbered(k)))
+        taken = (repeats > 0) | F.array_contains(done, name)
+        return F.array_append(done, F.when(taken, numbered(F.get(free, F.lit(0)))).otherwise(name))
 
-        return F.transform(bound, one)
-
-    return F.get(F.transform(F.array(names), distinct), F.lit(0))
+    return F.aggregate(names, F.array().cast("array<string>"), add)
 
 
 def _unique_names(header: str) -> Column:
@@ -127,15 +130,29 @@ def _unique_names(header: str) -> Column:
 
 
 def load_first_tables(
-    spark: SparkSession, roots: Sequence[str], max_tables: int = 500, **options
+    spark: SparkSession, roots: Sequence[str], max_tables: int | None = None, **options
 ) -> tuple[DataFrame, DataFrame]:
-    """Cells of the first ``max_tables`` files by path."""
-    listed = discover_csv_files(spark, roots).limit(max_tables)
+    """Cells of all CSV files below the roots, or of the first ``max_tables`` by path."""
+    listed = discover_csv_files(spark, roots)
+    if max_tables is not None:
+        listed = listed.limit(max_tables)
     return csv_to_cells(spark, [row["path"] for row in listed.collect()], **options)
 
 
+def wikisql_errors(tables: DataFrame) -> DataFrame:
+    """``table_id, error`` of the records with a row longer than their header."""
+    long = F.exists("rows", lambda r: F.coalesce(F.size(r) > F.size("header"), F.lit(False)))
+    return tables.filter(long).select(F.col("id").alias("table_id"), F.lit("a row has too many fields").alias("error"))
+
+
 def wikisql_to_cells(tables: DataFrame) -> DataFrame:
-    """Cells of records that hold a whole table each."""
+    """Cells of records that hold a whole table each.
+
+    A record with a row longer than its header is left out as a whole, as with CSV files;
+    ``wikisql_errors`` names it.
+    """
+    long = F.exists("rows", lambda r: F.coalesce(F.size(r) > F.size("header"), F.lit(False)))
+    tables = tables.filter(~F.coalesce(long, F.lit(False)))
     rows = tables.select("id", "header", F.posexplode("rows").alias("row_idx", "fields"))
     cells = rows.select(
         F.col("id").alias("table_id"),
