@@ -43,14 +43,21 @@ def write_shift_samples(sets: DataFrame, membership: DataFrame, path: str, **set
 
 
 def table_stems(tables: DataFrame) -> DataFrame:
-    """Catalog name of each table: its file stem, suffixed where two stems of one database collide."""
+    """Catalog name of each table: its file stem, numbered where two stems of one database collide.
+
+    A number that would give another table's name is followed by a hash of the table's own id.
+    """
     stem = F.regexp_extract(F.col("table_id"), r"([^/]+?)(?:\.[^./]*)?$", 1)
     safe = F.regexp_replace(F.lower(stem), r"[^a-z0-9_]", "_")
     twin = Window.partitionBy("db_id", "stem").orderBy("table_id")
     nth = F.row_number().over(twin)
-    return tables.withColumn("stem", safe).withColumn(
-        "table_name", F.when(nth > 1, F.concat_ws("_", "stem", nth.cast("string"))).otherwise(F.col("stem"))
-    ).drop("stem")
+    numbered = F.when(nth > 1, F.concat_ws("_", "stem", nth.cast("string"))).otherwise(F.col("stem"))
+    named = tables.withColumn("stem", safe).withColumn("table_name", numbered)
+    shared = F.count(F.lit(1)).over(Window.partitionBy("db_id", "table_name")) > 1
+    told = F.concat_ws("_", "table_name", F.substring(F.md5("table_id"), 1, 12))
+    return named.withColumn("shared", shared).withColumn(
+        "table_name", F.when(F.col("shared") & (F.col("table_name") != F.col("stem")), told).otherwise(F.col("table_name"))
+    ).drop("stem", "shared")
 
 
 def clean_header(header: Column) -> Column:
