@@ -338,21 +338,46 @@ def unpack_set(raw: bytes) -> np.ndarray:
     return np.unique(out.view("<u8").reshape(-1))
 
 
+def _fine_points(sets: list[np.ndarray]) -> np.ndarray:
+    """Count vectors with about a group for every four shingles: whole sets are at hand here, so bounds can be tight."""
+    middle = int(np.median([len(s) for s in sets]))
+    groups = int(min(4096, max(GROUPS, 1 << (middle // 4).bit_length())))
+    out = np.zeros((len(sets), groups), dtype=np.uint16)
+    for i, own in enumerate(sets):
+        out[i] = np.minimum(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535)
+    return out
+
+
 def verified_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of sets that reach the threshold exactly, enough to connect all that any such pairs connect."""
+    """Pairs of sets that reach the threshold exactly, enough to connect all that any such pairs connect.
+
+    Sets are taken by size, each against the earlier ones that its size, its tree's bound and a finer count
+    vector leave, and that are not connected with it already.
+    """
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
-    points = _points([count_vector(s) for s in sets])
-    tree, forest, found = CountTree(sizes, points) if len(sets) > LEAF else None, Forest(len(sets)), []
-    everyone = np.arange(len(sets))
+    tree = CountTree(sizes, _points([count_vector(s) for s in sets])) if len(sets) > LEAF else None
+    coarse = _points([count_vector(s) for s in sets])
+    fine = _fine_points(sets)
+    group, found = np.arange(len(sets)), []
     for x in range(1, len(sets)):
-        near = tree.order[tree.near(int(sizes[x]), points[x], percent)] if tree else everyone
-        for y in near[near < x][::-1].tolist():
-            if forest.find(x) == forest.find(y) or 100 * min(sizes[x], sizes[y]) < percent * max(sizes[x], sizes[y]):
-                continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
-                forest.join(x, y)
-                found.append((x, y))
+        near = tree.order[tree.near(int(sizes[x]), coarse[x], percent)] if tree else np.arange(x)
+        near = np.sort(near[near < x])[::-1]
+        near = near[(group[near] != group[x]) & (100 * sizes[near] >= percent * sizes[x])]
+        for at in range(0, len(near), 256):
+            some = near[at : at + 256]
+            some = some[group[some] != group[x]]
+            bound = np.minimum(fine[some], fine[x]).sum(axis=1, dtype=np.int64)
+            some = some[(bound >= _need(sizes[some], sizes[x], percent)) | (fine[x].max() == 65535)]
+            for y in some.tolist():
+                if group[y] == group[x]:
+                    continue
+                place = np.searchsorted(sets[x], sets[y])
+                both = int((sets[x][np.minimum(place, len(sets[x]) - 1)] == sets[y]).sum())
+                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                    group[group == group[y]] = group[x]
+                    found.append((order[x], order[y]))
     return found
 
 
