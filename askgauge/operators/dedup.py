@@ -74,18 +74,22 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     many that two similar texts must meet in one of them.  A band of text length
     is part of the join key.  Where two texts meet, three bounds that need no
     further lookup drop most pairs: their lengths, the grams left after the
-    meeting point, and the grams whose bit the other text does not have.  Texts
-    too short to owe a shared gram are indexed under a blank gram as well.
+    meeting point, and the grams whose bit the other text does not have.  The
+    shorter of two texts owes more, so its side of the join holds fewer of its
+    grams.  Texts too short to owe a shared gram are indexed under a blank gram as well.
     Survivors are scored exactly.
     """
+    # At or below two thirds no shared gram is owed: all pairs would have to be scored.
     if not 200.0 / 3 < threshold <= 100.0:
-        raise ValueError("the gram filter needs a threshold above 66.7")
+        raise ValueError("unsupported: the gram filter needs a threshold above 66.7")
     nodes = nodes.select("node", "text", F.length("text").alias("len"))
     reach = (200.0 - threshold) / threshold
     # Shortest joint length a partner of this text can bring.
     least_total = F.col("len") + F.ceil(F.col("len") / reach - 1e-9)
     # Whole subsequence lengths make the exact count dip here and there; this line below it does not.
     owed = F.ceil(least_total * (3 * threshold / 200.0 - 1) - 1 - 1e-9)
+    # As the shorter of two it meets a joint length of twice its own at least.
+    owed_alone = F.ceil(2 * F.col("len") * (3 * threshold / 200.0 - 1) - 1 - 1e-9)
     grams = cut_lineage(_letter_pairs(nodes))
     rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     rare_first = Window.partitionBy("node").orderBy("df", "g")
@@ -93,11 +97,12 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
         grams.join(rarity, "g")
         .withColumn("place", F.row_number().over(rare_first))
         .filter(F.col("place") <= F.col("len") - 1 - owed + 1)
-        .select("node", "len", "g", "place")
+        .withColumn("leads", F.col("place") <= F.col("len") - F.greatest(owed_alone, F.lit(1)) + F.when(owed_alone <= 0, F.col("len")).otherwise(F.lit(0)))
+        .select("node", "len", "g", "place", "leads")
     )
     # A short text can owe nothing to a partner that owes it nothing either.
     short = nodes.filter(owed <= 0).select(
-        "node", "len", F.lit(0).cast("bigint").alias("g"), F.lit(0).alias("place")
+        "node", "len", F.lit(0).cast("bigint").alias("g"), F.lit(0).alias("place"), F.lit(True).alias("leads")
     )
     marks = [f"m{w}" for w in range(MARK_WORDS)]
     indexed = (
@@ -106,12 +111,13 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
         .fillna(0, marks)
         .withColumn("band", F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / (math.log(reach) + 1e-6)).cast("int"))
     )
-    end = lambda side: indexed.select(
+    end = lambda side, keep=F.lit(True): indexed.filter(keep).select(
         "g", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "len", "place", *marks)]
     )
-    # Lengths that can pair differ by at most one band.
-    nearby = F.explode(F.array(*[F.col("band") + step for step in (-1, 0, 1)]))
-    met = end("a").join(end("b").withColumn("band", nearby), ["g", "band"])
+    # The longer text lies in the shorter one's band or in the next; of equal lengths the smaller node leads.
+    nearby = F.explode(F.array(F.col("band"), F.col("band") + 1))
+    shorter = end("a", F.col("leads")).withColumn("band", nearby)
+    met = shorter.join(end("b"), ["g", "band"])
     total = F.col("len_a") + F.col("len_b")
     due = _shared_grams(total, threshold)
     grams_of = lambda side: F.greatest(F.col(f"len_{side}") - 1, F.lit(0))
@@ -120,12 +126,12 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
         (F.bit_count(F.col(f"{m}_{x}").bitwiseAND(F.bitwise_not(f"{m}_{y}"))) for m in marks), F.lit(0)
     )
     candidates = (
-        met.filter("node_a < node_b")
+        met.filter("len_a < len_b OR (len_a = len_b AND node_a < node_b)")
         .filter(F.least("len_a", "len_b") * 200.0 >= total * threshold)
         .filter((F.col("g") == 0) | (1 + F.least(after("a"), after("b")) >= due))
         .filter(grams_of("a") - unmatched("a", "b") >= due)
         .filter(grams_of("b") - unmatched("b", "a") >= due)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .distinct()
     )
     text = lambda side: nodes.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))

@@ -71,10 +71,22 @@ def sample_sets(
     have = records.count()
     if size > have:
         raise ValueError(f"subset size {size} exceeds the {have} records")
-    tries = records.select(
-        F.explode(F.sequence(F.lit(0), F.lit(num_sets - 1))).alias("set_id"),
-        F.col(id_col).alias("rec_id"),
-    ).withColumn("_h", draw_hash(seed, "set_id", "rec_id"))
+    share = 1.25 * size / max(have, 1) + 20 / max(have, 1)
+    while True:
+        # Most records are out of most sets: only those under the cut leave the array.
+        cut = F.lit(f"{min(int(share * 16**12), 16**12 - 1):012x}") if share < 1 else None
+        every = F.sequence(F.lit(0), F.lit(num_sets - 1))
+        drawn = lambda s: F.struct(s.alias("set_id"), draw_hash(seed, s, F.col(id_col)).alias("_h"))
+        pairs = F.transform(every, drawn)
+        if cut is not None:
+            pairs = F.filter(pairs, lambda p: F.substring(p["_h"], 1, 12) < cut)
+        tries = records.select(F.inline(pairs), F.col(id_col).alias("rec_id"))
+        if cut is None:
+            break
+        enough = tries.groupBy("set_id").count().filter(F.col("count") >= size).count() == num_sets
+        if enough or size == 0:
+            break
+        share *= 2
     return _pick_smallest(tries, ["set_id"], F.lit(size)).select("set_id", "rec_id")
 
 
@@ -102,8 +114,7 @@ def holdout_split(df: DataFrame, id_cols: Sequence[str], seed: int = 0) -> DataF
     """Add ``is_holdout``; the split has an exact size and repeats run after run."""
     hashed = df.withColumn("_h", draw_hash(seed, *id_cols))
     size = df.agg(holdout_size(F.count(F.lit(1))).alias("k")).scalar()
-    slim = hashed.select(*id_cols, "_h")
-    held = _pick_smallest(slim, [], size).select(*id_cols, F.lit(True).alias("is_holdout"))
-    return df.join(held, list(id_cols), "left").withColumn(
-        "is_holdout", F.coalesce("is_holdout", F.lit(False))
-    )
+    # The last row held out is one value; every row compares itself with it.
+    place = F.struct("_h", *id_cols)
+    last = _pick_smallest(hashed.select(*id_cols, "_h"), [], size).agg(F.max(place).alias("last")).scalar()
+    return hashed.withColumn("is_holdout", F.coalesce(place <= last, F.lit(False))).drop("_h")

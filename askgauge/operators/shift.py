@@ -168,39 +168,41 @@ def rank_runs(
 ) -> DataFrame:
     """Projected values with the half-open rank interval they take on their side.
 
-    Columns: keys, ``dir``, ``side``, ``p``, ``lo``, ``hi``.  Equal vectors are
-    first collapsed to one weighted row, so a third of all rows being copies of
-    one vector costs one row per direction.  Long directions are sorted slot by
+    Columns: keys, ``dir``, ``side``, ``p``, ``lo``, ``hi``.  Vectors are projected
+    where they are read and only numbers move: equal values of a direction are
+    counted in the map tasks, so a third of all rows being copies of one vector
+    costs one row per direction and task.  Long directions are sorted slot by
     slot: slot totals give each slot its starting rank.
 
     The outer form of explode is used throughout because the plain form makes
     the optimizer add a size filter that evaluates the projection once more.
     """
-    weighted = (
-        vectors.filter(F.col("embedding").isNotNull())
-        .groupBy(*keys, "side", "embedding")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
+    known = vectors.filter(F.col("embedding").isNotNull())
+    weight = F.count(F.lit(1)).alias("w")
     if slots is None:
         slots = max(1, vectors.count() // ROWS_PER_SLOT)
     values = _project(keys, directions)
     if slots == 1:
         # Both sides of a direction land in the same task: one exchange serves every later window.
         lines = (
-            weighted.select(*keys, "side", "w", F.posexplode_outer(values).alias("dir", "p"))
+            known.select(*keys, "side", F.posexplode_outer(values).alias("dir", "p"))
+            .groupBy(*keys, "side", "dir", "p")
+            .agg(weight)
             .repartition(*keys, "dir")
         )
         order = Window.partitionBy(*keys, "dir", "side").orderBy("p")
         hi = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return lines.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("w"))
-    borders = _slot_borders(vectors.filter(F.col("embedding").isNotNull()), values, slots)
+    borders = _slot_borders(known, values, slots)
     spot = [*keys, "dir", "side", "slot"]
     lines = (
-        weighted.withColumn("ps", values)
+        known.withColumn("ps", values)
         .withColumn("zipped", F.arrays_zip("ps", slot_of(F.col("ps"), borders).alias("slots")))
-        .select(*keys, "side", "w", F.posexplode_outer("zipped").alias("dir", "z"))
-        .select(*keys, "side", "w", "dir", F.col("z.ps").alias("p"), F.col("z.slots").alias("slot"))
+        .select(*keys, "side", F.posexplode_outer("zipped").alias("dir", "z"))
+        .select(*keys, "side", "dir", F.col("z.ps").alias("p"), F.col("z.slots").alias("slot"))
         .filter("slot is not null")
+        .groupBy(*spot, "p")
+        .agg(weight)
         .repartition(*spot)
     )
     before = Window.partitionBy(*keys, "dir", "side").orderBy("slot").rowsBetween(

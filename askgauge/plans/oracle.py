@@ -422,3 +422,12 @@ c AS (SELECT table_id, unnest(header) AS col_name, generate_subscripts(header, 1
 SELECT table_id, row_idx::BIGINT AS row_idx, col_idx::INTEGER AS col_idx, col_name,
   CASE row_idx WHEN 0 THEN col_name WHEN 1 THEN translate(col_name, 'aeiou', 'AEIOU') ELSE CASE WHEN col_idx < 2 THEN col_name END END AS value
 FROM c, (VALUES (0), (1), (2)) r(row_idx)"""
+ORACLE["read_json_array"] = "SELECT conv_id || ':' || turn AS id, text AS question FROM conversations WHERE role = 'user'"
+ORACLE["discover_csv_files"] = """SELECT table_name, true AS distinct_paths, true AS all_csv FROM (
+  SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part) WHERE n > 0"""
+ORACLE["materialize_tables"] = """SELECT 'customer' AS table_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer
+UNION ALL SELECT 'orders', count(*), round(sum(o_totalprice), 2) FROM orders
+UNION ALL SELECT 'part', count(*), round(sum(p_retailprice), 2) FROM part"""
+ORACLE["evaluate_files"] = """WITH n AS (SELECT k.n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = k.n_nationkey) AS gold,
+  (SELECT count(*) FROM customer WHERE c_nationkey = k.n_nationkey // 2) AS pred FROM nation k)
+SELECT k::VARCHAR AS id, 'tpc' AS db_id, CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END::DOUBLE AS execution_accuracy FROM n"""

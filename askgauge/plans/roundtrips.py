@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askgauge.operators import accuracy, models, shift
-from askgauge.plans import catalog, inputs
+from askgauge.operators import accuracy, cells, models, shift
+from askgauge.plans import catalog, inputs, jobs
 from askgauge.plans.catalog import register
-from askgauge.session import scratch_path
+from askgauge.session import cut_lineage, scratch_path
 from askgauge.sources import records, sinks, tables, vectors
 
 CSV_TABLES = ("customer", "orders", "part")
@@ -37,11 +37,7 @@ def load_aligned(spark, d):
 
 @register("csv_to_cells")
 def csv_to_cells(spark, d):
-    root = scratch_path(spark, "csv")
-    for name in CSV_TABLES:
-        plain = inputs.table(spark, d, name)
-        texts = plain.select(*[inputs.cell_text(plain, c).alias(c) for c in plain.columns])
-        texts.write.option("header", True).csv(f"{root}/{name}")
+    root = _csv_folder(spark, d)
     found, _ = tables.load_first_tables(spark, [root])
     return (
         found.withColumn("table_name", F.element_at(F.split("table_id", "/"), -2))
@@ -114,3 +110,70 @@ def model_roundtrip(spark, d):
     models.save_model(models.fit_accuracy(rows, calibrate=False), path)
     scored = models.predict_accuracy(models.load_model(path), rows)
     return scored.select("set_id", F.round("predicted", 6).alias("predicted"))
+
+
+def _csv_folder(spark, d):
+    root = scratch_path(spark, "csv")
+    for name in CSV_TABLES:
+        plain = inputs.table(spark, d, name)
+        texts = plain.select(*[inputs.cell_text(plain, c).alias(c) for c in plain.columns])
+        texts.write.option("header", True).csv(f"{root}/{name}")
+    return root
+
+
+@register("read_json_array")
+def read_json_array(spark, d):
+    """User turns written as one array per conversation file, read back with the array reader."""
+    path = scratch_path(spark, "arrays")
+    record = F.struct(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("question"))
+    turns = inputs.table(spark, d, "conversations").filter("role = 'user'")
+    turns.groupBy("conv_id").agg(F.to_json(F.collect_list(record)).alias("value")).select("value").repartition("value").write.partitionBy().option(
+        "maxRecordsPerFile", 1
+    ).text(path)
+    return records.read_json_array(spark, path).select("id", "question")
+
+
+@register("discover_csv_files")
+def discover_csv_files(spark, d):
+    """Folders below the root and whether each holds files."""
+    found = tables.discover_csv_files(spark, [_csv_folder(spark, d)])
+    name = F.element_at(F.split("path", "/"), -2).alias("table_name")
+    return found.groupBy(name).agg((F.countDistinct("path") == F.count(F.lit(1))).alias("distinct_paths"), F.bool_and(F.col("path").endswith(".csv")).alias("all_csv"))
+
+
+@register("materialize_tables")
+def materialize_tables(spark, d):
+    """Three tables saved to the catalog from their cells and read back: rows and one sum each."""
+    kept = inputs.cells(spark, d).filter(F.col("table_id").isin(*CSV_TABLES))
+    db_id = "saved_" + scratch_path(spark, "db").rsplit("-", 1)[1]
+    members = kept.select("table_id").distinct().withColumn("db_id", F.lit(db_id))
+    sinks.materialize_tables(kept, members)
+    sums = {"customer": "c_acctbal", "orders": "o_totalprice", "part": "p_retailprice"}
+    parts = [
+        spark.table(f"{db_id}.{name}").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(column), 2).alias("total")).select(F.lit(name).alias("table_name"), "n", "total")
+        for name, column in sums.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("english_tables")
+def english_tables(spark, d):
+    return cells.english_tables(inputs.page_headers(spark, d))
+
+
+@register("evaluate_files")
+def evaluate_files(spark, d):
+    """Execution accuracy of queries over every customer, read from an array file and a line file."""
+    gold_path, pred_path = scratch_path(spark, "gold"), scratch_path(spark, "pred")
+    few = inputs.table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("string").alias("id"),
+        F.lit("tpc").alias("db_id"),
+        F.concat(F.lit("SELECT COUNT(*) FROM customer WHERE c_nationkey = "), F.col("n_nationkey").cast("string")).alias("query"),
+        F.concat(F.lit("select count(c_custkey) from customer where c_nationkey = "), F.floor(F.col("n_nationkey") / 2).cast("string")).alias("prediction"),
+    )
+    gold = F.to_json(F.collect_list(F.struct("id", "db_id", "query")))
+    few.agg(gold.alias("value")).write.text(gold_path)
+    few.select("id", "prediction").write.json(pred_path)
+    with accuracy.view_runner(spark, inputs.databases(spark, d)) as run:
+        samples, _ = jobs.evaluate(spark, gold_path, pred_path, run)
+        return cut_lineage(samples)
