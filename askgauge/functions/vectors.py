@@ -97,6 +97,30 @@ def second_moments(df: DataFrame, key: str, dim: int) -> DataFrame:
     return df.select(key, "embedding").mapInArrow(sums, schema)
 
 
+def sketched_moments(df: DataFrame, key: str, dim: int, bases: Mapping[object, np.ndarray], shared: bool = False) -> DataFrame:
+    """``key, moments``: count, sum, and the summed outer products times each key's basis (m x D).
+
+    One row per key and task batch with 1 + D + D x m numbers.  ``shared`` vectors count for every key.
+    """
+    table = dict(bases)
+    m = len(next(iter(table.values())))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.asarray(batch.column(0).to_pylist(), dtype=object)
+            vectors = _as_matrix(batch.column(1), dim)
+            found = sorted(table) if shared else sorted(set(names.tolist()))
+            rows = []
+            for name in found:
+                part = vectors if shared else vectors[names == name]
+                rows.append(np.concatenate([[len(part)], part.sum(0), (part.T @ (part @ table[name].T)).reshape(-1)]))
+            moments = _as_lists(np.array(rows).reshape(len(found), 1 + dim + dim * m), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, type=batch.column(0).type), moments], names=[key, "moments"])
+
+    schema = T.StructType([df.schema[key], T.StructField("moments", T.ArrayType(T.DoubleType()))])
+    return df.select(key, "embedding").mapInArrow(sums, schema)
+
+
 def leading_directions(moments: Column, dim: int, k: int) -> Column:
     """Top principal directions of summed second moments, flattened; largest loading positive."""
 

@@ -25,11 +25,13 @@ from askgauge.functions.vectors import (
     project,
     project_by_key,
     second_moments,
+    sketched_moments,
     slot_of,
     squared_gap,
     unit_directions,
 )
 from askgauge.operators.sampling import smallest_by_hash
+from askgauge.session import cut_lineage
 
 EPS = 1e-8
 DESCRIPTORS = ("mean_shift", "scale_shift", "dist_mean", "dist_std", "swd")
@@ -37,8 +39,10 @@ DESCRIPTORS = ("mean_shift", "scale_shift", "dist_mean", "dist_std", "swd")
 ROWS_PER_SLOT = 1_000_000
 # Vectors sampled to place the slot borders; the borders steer balance only, never the result.
 BORDER_SAMPLE = 50_000
-# Widest vectors for which a D x D sum per key is formed.
+# Widest vectors for which a D x D sum per key is formed; wider ones are sketched.
 MAX_KEYED_DIM = 1024
+# A sketch carries this many directions more than asked for and is refined in so many passes.
+SKETCH_EXTRA, SKETCH_PASSES = 8, 6
 
 
 def two_sides(source: DataFrame, target: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -340,7 +344,7 @@ def pca_directions_by_key(
     """
     dim = dimension_of(vectors)
     if dim > MAX_KEYED_DIM:
-        raise ValueError(f"directions per key need a D x D sum per key; {dim} dimensions are too many")
+        return _sketched_directions(vectors, key, min(k, dim), dim, shared)
     known = F.col("embedding").isNotNull()
     summed = lambda df, *by: df.groupBy(*by).agg(
         vector_to_array(Summarizer.sum(array_to_vector("moments"))).alias("moments")
@@ -357,6 +361,43 @@ def pca_directions_by_key(
     return found
 
 
+def _sketched_directions(
+    vectors: DataFrame, key: str, k: int, dim: int, shared: DataFrame | None
+) -> dict[object, np.ndarray]:
+    """Principal directions of wide vectors by subspace iteration.
+
+    Every pass multiplies each key's covariance with a basis of a few directions, as one sum of
+    D x (k + few) numbers per key; only these sums reach the driver.
+    """
+    known = F.col("embedding").isNotNull()
+    width = min(dim, k + SKETCH_EXTRA)
+    start = np.linalg.qr(unit_directions(dim, width, 1).T)[0].T
+    names = [row[key] for row in vectors.filter(known).select(key).distinct().collect()]
+    bases = {name: start for name in names}
+    frame = cut_lineage(vectors.filter(known).select(key, "embedding"))
+    common = None
+    if shared is not None and names:
+        common = shared.filter(known).select(F.lit(names[0]).cast(frame.schema[key].dataType).alias(key), "embedding")
+    found: dict[object, np.ndarray] = {}
+    for step in range(SKETCH_PASSES if names else 0):
+        sums = sketched_moments(frame, key, dim, bases)
+        if common is not None:
+            sums = sums.unionByName(sketched_moments(common, key, dim, bases, shared=True))
+        total = sums.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector("moments"))).alias("moments"))
+        for row in total.toLocalIterator():
+            packed = np.array(row["moments"])
+            n, mean = packed[0], packed[1 : 1 + dim] / packed[0]
+            basis = bases[row[key]]
+            spread = packed[1 + dim :].reshape(dim, width) / n - np.outer(mean, basis @ mean)
+            if step == SKETCH_PASSES - 1:
+                # The covariance within the basis is small enough to be solved here.
+                turn = np.linalg.eigh((basis @ spread + (basis @ spread).T) / 2)[1][:, ::-1].T[:k]
+                found[row[key]] = fix_signs(turn @ basis)
+            else:
+                bases[row[key]] = np.linalg.qr(spread)[0].T
+    return found
+
+
 def _project(keys: Sequence[str], directions: np.ndarray | dict) -> Column:
     if isinstance(directions, dict):
         return project_by_key(F.col(keys[0]), F.col("embedding"), directions)

@@ -8,12 +8,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgauge.functions.vectors import doubles, project, unit_directions
+from askgauge.functions.vectors import doubles, project, project_by_key, unit_directions
 from askgauge.operators.shift import (
     ROWS_PER_SLOT,
     diagonal_distance,
     dimension_of,
-    direction_gaps,
     mean_shift,
     moments,
     pca_directions_by_key,
@@ -65,8 +64,8 @@ def shift_by_set(
     What depends on a record alone (its distance from the source, its
     projections) is computed once per record, and the source side once in all,
     whatever the number of subsets.  With ``hybrid`` each subset also has
-    principal directions of its own, on which the source has to be projected
-    once per subset.
+    principal directions of its own; the source is projected on all of them in
+    one pass and keeps the ranks that a subset can reach.
     """
     directions = unit_directions(dimension_of(source), rand_r if hybrid else slices, seed)
     base = moments(source).select(F.struct("mean", "var").alias("m")).scalar()
@@ -104,21 +103,30 @@ def shift_by_set(
         .agg(F.sqrt(F.avg(gap * gap)).alias("gap"))
     )
     if hybrid:
-        gaps = gaps.unionByName(_own_gaps(placed, source, pca_k))
+        gaps = gaps.unionByName(_own_gaps(placed, source, pca_k, size))
     sliced = gaps.groupBy("set_id").agg(F.avg("gap").alias("swd"))
     return fixed.join(sliced, "set_id")
 
 
-def _own_gaps(placed: DataFrame, source: DataFrame, pca_k: int) -> DataFrame:
+def _own_gaps(placed: DataFrame, source: DataFrame, pca_k: int, size: int) -> DataFrame:
     """Rank gaps of every subset along the principal directions of source and subset together."""
-    members = placed.select("set_id", F.lit("target").alias("side"), "embedding")
+    members = placed.select("set_id", "embedding")
     own = pca_directions_by_key(members, "set_id", pca_k, shared=source)
-    sets = F.array(*[F.lit(s) for s in sorted(own)])
-    copies = source.select(F.explode(sets).alias("set_id"), F.lit("source").alias("side"), "embedding")
-    vectors = members.unionByName(copies)
-    slots = max(1, source.count() // ROWS_PER_SLOT)
-    runs = rank_runs(vectors, own, ["set_id"], slots)
-    return direction_gaps(runs, ["set_id"], block=ROWS_PER_SLOT if slots > 1 else None)
+    names = sorted(own)
+    low = lowest_ranks(source, np.concatenate([own[s] for s in names]), size)
+    # The directions of the n-th set follow those of the sets before it.
+    before = np.cumsum([0, *[len(own[s]) for s in names]]).tolist()
+    start = F.create_map(*[F.lit(v) for pair in zip(names, before) for v in pair])
+    ranks = subset_ranks(members.withColumn("projected", project_by_key(F.col("set_id"), F.col("embedding"), own)), own, size)
+    all_dirs = F.element_at(start, F.col("set_id")) + F.col("dir")
+    gap = F.col("p") - F.col("p_source")
+    return (
+        ranks.withColumn("own_dir", F.col("dir"))
+        .withColumn("dir", all_dirs.cast("int"))
+        .join(low, ["dir", "rk"])
+        .groupBy("set_id", F.col("own_dir").alias("dir"))
+        .agg(F.sqrt(F.avg(gap * gap)).alias("gap"))
+    )
 
 
 def training_rows(deltas: DataFrame, accuracy_by_set: DataFrame) -> DataFrame:

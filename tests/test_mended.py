@@ -1,10 +1,12 @@
 import json
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
 from askgauge.functions.text import sql_key
-from askgauge.operators import accuracy, cells
+from askgauge.operators import accuracy, cells, shift
 from askgauge.plans import inputs
 from askgauge.sources import records, tables
 
@@ -108,3 +110,17 @@ def test_foreign_keys_beyond_the_first_rows(spark):
     df = spark.createDataFrame(rows, "table_id string, row_idx long, col_idx int, col_name string, value string")
     assert cells.infer_foreign_keys(df).first()["shared"] == 1500
     assert cells.infer_foreign_keys(df, sample=1000).count() == 0
+
+
+def test_wide_directions_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    scale = np.concatenate([[9, 7, 5, 3], np.full(2044, 0.05)])
+    rows = [(k, (rng.normal(size=2048) * np.roll(scale, 3 * k)).tolist()) for k in range(2) for _ in range(60)]
+    vectors = spark.createDataFrame(rows, "pair_id int, embedding array<double>")
+    base = [(rng.normal(size=2048) * scale * 0.1).tolist() for _ in range(30)]
+    shared = spark.createDataFrame([(b,) for b in base], "embedding array<double>")
+    got = shift.pca_directions_by_key(vectors, "pair_id", 3, shared=shared)
+    for k in range(2):
+        own = np.array([v for key, v in rows if key == k] + base)
+        want = np.linalg.svd(own - own.mean(0), full_matrices=False)[2][:3]
+        assert np.allclose(np.abs((got[k] * want).sum(axis=1)), 1, atol=1e-3)
