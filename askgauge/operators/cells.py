@@ -64,17 +64,20 @@ def _words(low: Column) -> Column:
 def semantic_richness(cells: DataFrame) -> DataFrame:
     """Distinct words per cell, at most 1.
 
-    Words are distinct per (table, word) before they meet by table, so one huge
-    table spreads over all tasks.  A missing cell counts as the word ``nan``.
+    One pass: the first word of a cell, or its blank, carries the cell's mark.  Marks are
+    summed per (table, word) before they meet by table, so one huge table spreads
+    over all tasks.  A missing cell counts as the word ``nan``.
     """
     # The outer form: a plain explode makes the optimizer split every cell once more to test it.
     low = cells.select("table_id", F.lower(F.coalesce("value", F.lit("nan"))).alias("low"))
-    words = low.select("table_id", F.explode_outer(_words(F.col("low"))).alias("word"))
-    distinct = words.filter("word is not null").distinct().groupBy("table_id").agg(F.count(F.lit(1)).alias("n_words"))
-    sizes = cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_cells"))
-    return sizes.join(distinct, "table_id", "left").select(
-        "table_id",
-        F.least(F.lit(1.0), F.coalesce("n_words", F.lit(0)) / F.col("n_cells")).alias("richness"),
+    words = low.select("table_id", F.posexplode_outer(_words(F.col("low"))).alias("pos", "word"))
+    mark = F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("marks")
+    return (
+        words.groupBy("table_id", "word")
+        .agg(mark)
+        .groupBy("table_id")
+        .agg(F.sum("marks").alias("n_cells"), F.count("word").alias("n_words"))
+        .select("table_id", F.least(F.lit(1.0), F.col("n_words") / F.col("n_cells")).alias("richness"))
     )
 
 

@@ -61,11 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Mark a narrow lookup for broadcast only when its counted size allows it.
+def small_side(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Mark a lookup for broadcast only when its counted rows and bytes allow it.
 
     The rows are stored first, so counting them does not compute them twice.
     Beyond the bound the join is left to the planner.
     """
     stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stored.columns]))))
+    rows, length = stored.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).head()
+    return F.broadcast(stored) if rows <= max_rows and length <= max_bytes else stored

@@ -101,10 +101,11 @@ def materialize_tables(cells: DataFrame, databases: DataFrame, typed: bool = Tru
         .select("db_id", "table_name", clean_header(F.col("header")).alias("columns"))
         .orderBy("db_id", "table_name")
     )
-    # One pass sorts the cells into a folder per table; each table then reads its own folder.
+    # One pass sorts the cells into a folder per table, a few files each; each table then reads its own folder.
     staged = scratch_path(spark, "tables")
     small = small_side(names)
-    cells.join(small, "table_id").select("db_id", "table_name", "row_idx", "col_idx", "value").write.partitionBy(
+    placed = cells.join(small, "table_id").select("db_id", "table_name", "row_idx", "col_idx", "value")
+    placed.repartition("db_id", "table_name", F.pmod("row_idx", F.lit(8))).write.partitionBy(
         "db_id", "table_name"
     ).parquet(staged)
     saved = []
