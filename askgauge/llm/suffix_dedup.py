@@ -24,7 +24,7 @@ from .tables import bit_filter, read_table, stored, text_or_empty
 WIDTH = 50
 GRAM = 16
 #: Windows that are sorted at a time in a bucket; more only when one anchor has more.
-CHUNK = 250_000
+CHUNK = 150_000
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 #: Stands for a null id: after all others.
 _LAST_ID = (1 << 63) - 1
@@ -79,7 +79,8 @@ def _blocks(batch: pa.RecordBatch, reps: np.ndarray, mask: int) -> Iterator[tupl
     if not keep.all():
         batch = batch.filter(pa.array(keep))
     ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
-    for first, end, buf, offsets in text_blocks(batch, "text"):
+    # A dozen arrays of eight bytes per byte of text are alive at a time.
+    for first, end, buf, offsets in text_blocks(batch, "text", 1_000_000):
         yield buf, offsets, ids[first:end], tags[first:end]
 
 
