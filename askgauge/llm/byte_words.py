@@ -6,6 +6,7 @@ bytes of all other characters are 0x80 and above, so byte rules and character ru
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after a stage that needed much."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Split a batch into blocks of about max_bytes of text, at least one row each.
 
@@ -57,6 +66,7 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2_
         end = min(end, n)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_words import NOT_BLANK, mix, shingles, text_blocks, word_hashes
+from .byte_words import NOT_BLANK, give_back, mix, shingles, text_blocks, word_hashes
 from .graph import Forest, components
 from .tables import bit_filter, read_table, stored, text_or_empty
 
@@ -28,13 +28,13 @@ GROUPS = 64
 #: Frequencies are counted in 2**SLOTS slots, by the top bits of the shingle hash.
 SLOTS = 22
 #: Trees and groups of connected texts beyond this many members are split over several tasks.
-SPLIT = 4096
+SPLIT = 2048
 LEAF = 16
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
 def _token_blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for first, end, buf, offsets in text_blocks(batch, "text"):
+    for first, end, buf, offsets in text_blocks(batch, "text", 1_000_000):
         words, counts = word_hashes(buf, offsets, NOT_BLANK)
         tokens, sizes = shingles(words, counts, width)
         yield first, end, tokens, sizes
@@ -307,6 +307,7 @@ def _trees(percent: int):
             held = table.slice(cut)
             if cut:
                 yield solve(table.slice(0, cut))
+            give_back()
         if held is not None and held.num_rows:
             yield solve(held)
 
@@ -341,7 +342,7 @@ def unpack_set(raw: bytes) -> np.ndarray:
 def _fine_points(sets: list[np.ndarray]) -> np.ndarray:
     """Count vectors with about a group for every four shingles: whole sets are at hand here, so bounds can be tight."""
     middle = int(np.median([len(s) for s in sets]))
-    groups = int(min(4096, max(GROUPS, 1 << (middle // 4).bit_length())))
+    groups = int(min(2048, max(GROUPS, 1 << (middle // 4).bit_length())))
     out = np.zeros((len(sets), groups), dtype=np.uint16)
     for i, own in enumerate(sets):
         out[i] = np.minimum(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535)
@@ -395,14 +396,16 @@ def _verify(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in links], pa.binary()), pa.array([names[y] for _, y in links], pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "name", "tokens")]
-            for label, i, j, node, own in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "name")]
+            packed = batch.column("tokens")
+            for row, (label, i, j, node) in enumerate(zip(*columns, strict=True)):
                 if (label, i, j) != key:
                     if len(nodes) > 1:
                         yield solve()
                     key, nodes, sets = (label, i, j), [], []
                 nodes.append(node)
-                sets.append(own)
+                sets.append(packed[row].as_py())
+            give_back()
         if len(nodes) > 1:
             yield solve()
 
