@@ -85,9 +85,15 @@ def _node(own: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
+def groups_for(n: int) -> int:
+    """Larger sets need more groups for a useful bound; groups are nested, so vectors fold onto shorter ones."""
+    return GROUPS if n < 512 else 4 * GROUPS if n < 6000 else 16 * GROUPS
+
+
 def count_vector(own: np.ndarray) -> bytes:
     """Shingles by group; 255 stands for 255 or more."""
-    return np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+    groups = groups_for(len(own))
+    return np.minimum(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -181,10 +187,24 @@ def _members(sent, reps, hits, bits_log2: int, width: int, percent: int):
     return run
 
 
-def _points(vectors: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(vectors), dtype=np.uint8).reshape(-1, GROUPS).astype(np.int32)
-    raw[raw == 255] = 1 << 24
-    return raw
+def _points(vectors: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    """Count vectors folded onto the first so many groups; an open count stands for more than any other."""
+    out = np.zeros((len(vectors), groups), dtype=np.int32)
+    lengths = np.array([len(v) for v in vectors])
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        for at in range(0, len(mine), 20_000):
+            some = mine[at : at + 20_000]
+            raw = np.frombuffer(b"".join([vectors[i] for i in some.tolist()]), dtype=np.uint8).reshape(len(some), length // groups, groups).astype(np.int32)
+            raw[raw == 255] = 1 << 20
+            out[some] = raw.sum(axis=1)
+    return out
+
+
+def _bound_holds(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool:
+    """Whether two sets may reach the threshold, by their vectors at the finer of their common lengths."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(*_points([a, b], groups)).sum()) >= _need(size_a, size_b, percent)
 
 
 def _need(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -230,15 +250,20 @@ class CountTree:
         return live[np.minimum(self.points[live], point).sum(axis=1) >= _need(self.sizes[live], size, percent)]
 
 
-def tree_links(sizes: np.ndarray, points: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def tree_links(sizes: np.ndarray, points: np.ndarray, vectors: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Pairs that connect whatever pairs within the bound connect, at most one fewer than points."""
-    tree, forest, found = CountTree(sizes, points), Forest(len(sizes)), []
+    tree, group, found = CountTree(sizes, points), np.arange(len(sizes)), []
+    groups = min(len(v) for v in vectors)
+    fine = _points(vectors, groups) if groups > GROUPS else points
     for x in range(len(sizes)):
-        for y in tree.order[tree.near(int(sizes[x]), points[x], percent)].tolist():
-            if forest.join(x, y):
+        near = tree.order[tree.near(int(sizes[x]), points[x], percent)]
+        near = near[(near < x) & (group[near] != group[x])]
+        if groups > GROUPS and len(near):
+            near = near[np.minimum(fine[near], fine[x]).sum(axis=1) >= _need(sizes[near], int(sizes[x]), percent)]
+        for y in near.tolist():
+            if group[y] != group[x] and _bound_holds(vectors[x], vectors[y], int(sizes[x]), int(sizes[y]), percent):
+                group[group == group[y]] = group[x]
                 found.append((x, y))
-        if len(found) == len(sizes) - 1:
-            break
     return found
 
 
@@ -273,7 +298,8 @@ def _trees(percent: int):
         def solve(table: pa.Table) -> pa.RecordBatch:
             nodes = table.column("node").to_numpy().tolist()
             sizes = table.column("n").to_numpy()
-            points = _points(table.column("vector").to_pylist())
+            vectors = table.column("vector").to_pylist()
+            points = _points(vectors)
             keys = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
             starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
             lengths = np.diff(np.append(starts, len(nodes)))
@@ -281,7 +307,7 @@ def _trees(percent: int):
             x, y = _small_pairs(starts[small], lengths[small], sizes, points, percent)
             pairs = list(zip(x.tolist(), y.tolist(), strict=True))
             for at, m in zip(starts[lengths > LEAF].tolist(), lengths[lengths > LEAF].tolist(), strict=True):
-                pairs += [(at + p, at + q) for p, q in tree_links(sizes[at : at + m], points[at : at + m], percent)]
+                pairs += [(at + p, at + q) for p, q in tree_links(sizes[at : at + m], points[at : at + m], vectors[at : at + m], percent)]
             left, right = [], []
             for p, q in pairs:
                 own = []
@@ -290,6 +316,8 @@ def _trees(percent: int):
                         number[node] = len(forest.parent)
                         forest.parent.append(len(forest.parent))
                     own.append(number[node])
+                if forest.find(own[0]) == forest.find(own[1]) or not _bound_holds(vectors[p], vectors[q], int(sizes[p]), int(sizes[q]), percent):
+                    continue
                 if forest.join(*own):
                     left.append(nodes[p])
                     right.append(nodes[q])
