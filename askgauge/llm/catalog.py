@@ -9,12 +9,14 @@ from .lang_kernel import op8_language
 from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
 from .simhash import op2_fingerprints
+from .site_lines import OP3_SQL, op3_site_lines
 from .suffix_dedup import op9_suffix_dedup
 from .toxic_kernel import op10_toxicity
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprints": op2_fingerprints,
+    "op3_site_lines": op3_site_lines,
     "op4_token_ids": op4_token_ids,
     "op5_source_mix": op5_source_mix,
     "op6_jaccard_join": op6_jaccard_join,
@@ -26,6 +28,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_chat_format": OP1_SQL,
+    "op3_site_lines": OP3_SQL,
     "op5_source_mix": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_contamination": OP7_SQL,
