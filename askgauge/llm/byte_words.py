@@ -45,7 +45,7 @@ def give_back() -> None:
         trim(0)
 
 
-def text_blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Split a batch into blocks of about max_bytes of text, at least one row each.
 
     Yields (first row, end row, UTF-8 bytes, row offsets into them). Null texts are empty.
