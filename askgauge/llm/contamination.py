@@ -165,7 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Words are lower-cased (A-Z) runs of digits, letters and characters beyond ASCII. A window is ``window``
     consecutive words of an item, or a whole shorter item. Every task cuts its texts into shards of about
-    2 MB, builds the suffix array of a shard and binary-searches all benchmark suffixes in it; no text is
+    1 MB, builds the suffix array of a shard and binary-searches all benchmark suffixes in it; no text is
     shuffled. A benchmark of more than ``pass_words`` words is searched in several passes. Matches are by 64-bit
     word hashes. Null texts have no words, items with a null id count as hits but are not listed, repeated
     rows and items are fine; other columns take no part.

@@ -58,7 +58,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
     """Encode every whole text and write the ids in ascending key order.
 
     Rows are range-partitioned by key, each task streams its rows in order (null keys first, equal keys by
-    text) and writes rows of FILE_SCHEMA: about 2 MB of text each, its ids coded by ``simple8b`` in blocks of
+    text) and writes rows of FILE_SCHEMA: about 1 MB of text each, its ids coded by ``simple8b`` in blocks of
     1024, ``block_words`` (unsigned 32-bit) giving each block's first word. ``start`` counts ids within the
     shard, shards follow key order. Null and empty texts have the end id only. Other columns take no part.
     The tokenizer file must lie at the same path on every executor; a row takes up one text at least.
