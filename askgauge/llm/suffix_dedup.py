@@ -6,6 +6,9 @@ window of ``WIDTH`` bytes the stretch of ``GRAM`` bytes with the smallest hash i
 equal anchors, and an anchor that no second document has takes no further part. The other anchors'
 suffixes are range-partitioned by their leading bytes with sampled splitters; each bucket sorts the windows
 around equal anchors by multikey quicksort, eight bytes at a time, and equal neighbours are repeats.
+
+An anchor of very many windows would fill one bucket. Its windows are not gathered: each moves as a 128-bit hash,
+the smallest id of each hash is an aggregate, and what has a larger id than that is a repeat.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import hash_spans, mix, text_blocks
-from .tables import bit_filter, read_table, stored, text_or_empty
+from .tables import bit_filter, bit_filters, read_table, stored, text_or_empty
 
 WIDTH = 50
 GRAM = 16
-#: Windows that are sorted at a time in a bucket; more only when one anchor has more.
+#: Windows that are sorted at a time in a bucket; more only when one anchor has more, but never more than HEAVY.
 CHUNK = 150_000
+#: Anchors of more windows than this are not gathered in a bucket; their windows are compared by hash.
+HEAVY = 300_000
+#: log2 of the bits of the bitmap of such anchors.
+_HEAVY_BITS = 23
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 #: Stands for a null id: after all others.
 _LAST_ID = (1 << 63) - 1
@@ -85,13 +92,13 @@ def _blocks(batch: pa.RecordBatch, reps: np.ndarray, mask: int) -> Iterator[tupl
 
 
 def _anchor_hashes(sent, bits_log2: int, width: int):
-    """Anchor hashes, each once per block of documents, twice when two documents of the block have it."""
+    """Anchor hashes, each once per block of documents, twice when two documents of the block have it, and their windows there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << bits_log2) - 1
         for batch in batches:
             for buf, offsets, ids, _ in _blocks(batch, reps, mask):
-                first, _, _, hashes = anchor_runs(buf, offsets, width)
+                first, last, _, hashes = anchor_runs(buf, offsets, width)
                 doc = ids[np.searchsorted(offsets, first, side="right") - 1]
                 order = np.lexsort((doc, hashes))
                 h, doc = hashes[order], doc[order]
@@ -100,17 +107,37 @@ def _anchor_hashes(sent, bits_log2: int, width: int):
                 at = np.flatnonzero(new)
                 twice = np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, dtype=bool)
                 own = np.concatenate([h[at], h[at][twice]])
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["h"])
+                windows = np.add.reduceat((last - first + 1)[order], at) if len(at) else at
+                windows = np.concatenate([windows, np.zeros(len(own) - len(at), dtype=np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(windows)], names=["h", "windows"])
+
+    return run
+
+
+def _repeated(heavy: int):
+    """Of a partition's hashes those that it holds more than once (kind 0) and those of more than so many windows (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if not own:
+            return
+        h, windows = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.argsort(h)
+        h = h[order]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        if not len(at):
+            return
+        twice = h[at][np.diff(np.append(at, len(h))) > 1]
+        many = h[at][np.add.reduceat(windows[order].astype(np.int64), at) > heavy]
+        kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(twice), len(many)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([twice, many])), pa.array(kind)], names=["h", "kind"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes that a partition holds more than once."""
-    own = [batch.column(0).to_numpy() for batch in batches]
-    h = np.sort(np.concatenate(own)) if own else np.zeros(0, dtype=np.int64)
-    same = h[1:] == h[:-1]
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[1:][same]))], names=["h"])
+def _holds(bits: np.ndarray, bits_log2: int, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64((1 << bits_log2) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -122,8 +149,8 @@ _RUN_SCHEMA = "lead long, next long, context binary, ahead int, id long, tag lon
 _RUN_NAMES = ["lead", "next", "context", "ahead", "id", "tag", "start", "end"]
 
 
-def _contexts(sent, bits_log2: int, hits, hit_bits: int, width: int):
-    """Runs of windows whose anchor may be repeated, with their bytes.
+def _contexts(sent, bits_log2: int, hits, hit_bits: int, width: int, heavy=None):
+    """Runs of windows whose anchor may be repeated and is not heavy, with their bytes.
 
     Equal runs of a block meet here already: only the smallest id's go on, the others are repeats for certain
     and are passed on as removed ranges, without bytes.
@@ -131,12 +158,14 @@ def _contexts(sent, bits_log2: int, hits, hit_bits: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << bits_log2) - 1
-        bits, hit_mask = np.frombuffer(hits.value, dtype=np.uint8), np.uint64((1 << hit_bits) - 1)
+        bits = np.frombuffer(hits.value, dtype=np.uint8)
+        many = None if heavy is None else np.frombuffer(heavy.value, dtype=np.uint8)
         for batch in batches:
             for buf, offsets, ids, tags in _blocks(batch, reps, mask):
                 first, last, anchor, hashes = anchor_runs(buf, offsets, width)
-                at = (hashes & hit_mask).astype(np.int64)
-                keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                keep = _holds(bits, hit_bits, hashes)
+                if many is not None:
+                    keep &= ~_holds(many, _HEAVY_BITS, hashes)
                 first, last, anchor = first[keep], last[keep], anchor[keep]
                 if not len(first):
                     continue
@@ -168,6 +197,78 @@ def _contexts(sent, bits_log2: int, hits, hit_bits: int, width: int):
     return run
 
 
+_WINDOW_SCHEMA = "w1 long, w2 long, id long, tag long, starts array<int>, ends array<int>"
+_WINDOW_NAMES = ["w1", "w2", "id", "tag", "starts", "ends"]
+
+
+def window_hashes(buf: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the windows from each place on, as two arrays."""
+    load = _loads(buf, big=False)
+    one, two = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
+    for k in (*range(0, width - 8, 8), width - 8):
+        part = load[at + k].astype(np.uint64)
+        one, two = mix((one ^ part) * _A), mix((two + part) * _B)
+    return one.view(np.int64), two.view(np.int64)
+
+
+def _listed(at: np.ndarray, fresh: np.ndarray, width: int, offsets: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(first of each entry, starts, ends): the ranges of the windows at ``at``, in a list per entry; windows side by side are one range."""
+    begin = np.flatnonzero(fresh | np.append(True, at[1:] != at[:-1] + 1))
+    stop = np.append(begin[1:], len(at)) - 1
+    cuts = pa.array(np.append(np.flatnonzero(fresh[begin]), len(begin)).astype(np.int32))
+    own = offsets[row[begin]]
+    starts, ends = (pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (at[begin] - own, at[stop] - own + width))
+    return np.flatnonzero(fresh), starts, ends
+
+
+def _windows(sent, bits_log2: int, heavy, width: int):
+    """Hashes of all windows of heavy anchors with the ranges of each in a document.
+
+    Equal windows of a block meet here: those of the smallest id go on, the others are repeats for certain and
+    are passed on without a hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << bits_log2) - 1
+        many = np.frombuffer(heavy.value, dtype=np.uint8)
+        for batch in batches:
+            for buf, offsets, ids, tags in _blocks(batch, reps, mask):
+                first, last, _, hashes = anchor_runs(buf, offsets, width)
+                keep = _holds(many, _HEAVY_BITS, hashes)
+                if not keep.any():
+                    continue
+                at = _gather(first[keep], (last - first + 1)[keep])
+                w1, w2 = window_hashes(buf, at, width)
+                # Stable: the places of equal windows stay in order.
+                order = np.lexsort((w2, w1))
+                w1, w2, at = w1[order], w2[order], at[order]
+                row = np.searchsorted(offsets, at, side="right") - 1
+                new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
+                least = np.minimum.reduceat(ids[row], np.flatnonzero(new))[np.cumsum(new) - 1]
+                sure = ids[row] > least
+                new |= np.append(True, row[1:] != row[:-1])
+                open_row = row[~sure]
+                entry, starts, ends = _listed(at[~sure], new[~sure], width, offsets, open_row)
+                own = open_row[entry]
+                yield pa.RecordBatch.from_arrays([pa.array(w1[~sure][entry]), pa.array(w2[~sure][entry]), pa.array(ids[own]), pa.array(tags[own]), starts, ends], names=_WINDOW_NAMES)
+                if sure.any():
+                    at = np.sort(at[sure])
+                    row = np.searchsorted(offsets, at, side="right") - 1
+                    entry, starts, ends = _listed(at, np.append(True, row[1:] != row[:-1]), width, offsets, row)
+                    own, none = row[entry], pa.nulls(len(entry), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[own]), pa.array(tags[own]), starts, ends], names=_WINDOW_NAMES)
+
+    return run
+
+
+def late_windows(windows: DataFrame) -> DataFrame:
+    """Ranges (id, tag, start, end) of the windows that a smaller id has, too. No window's rows meet in one task: the smallest id is summed up in the map tasks."""
+    least = windows.where("w1 is not null").groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    late = windows.join(least, ["w1", "w2"]).where("id > least").select("id", "tag", "starts", "ends")
+    every = late.unionByName(windows.where("w1 is null").select("id", "tag", "starts", "ends"))
+    return every.select("id", "tag", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select("id", "tag", F.col("r.starts").cast("long").alias("start"), F.col("r.ends").cast("long").alias("end"))
+
+
 def multikey_order(keys: list) -> tuple[np.ndarray, np.ndarray]:
     """Sort by several keys, one after the other, each only among what is still tied.
 
@@ -316,11 +417,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["id", "tag", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key: str = "doc_id") -> DataFrame:
-    """Ranges (id, tag, start, end) of bytes covered by strings of ``width`` bytes that also start under a smaller id.
+def suffix_runs(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key: str = "doc_id", heavy: int = HEAVY) -> tuple[DataFrame, DataFrame | None]:
+    """Runs of windows around repeated anchors, and the hashed windows of anchors with more than ``heavy`` windows (None when there are none).
 
-    ``tag`` is the hash of a row's text, ``id`` its key (null keys stand as the largest number). Texts equal
-    to one under a smaller id have no ranges here: all of them is repeated, when they are long enough.
+    No anchor has more than ``heavy`` windows among the runs.
     """
     send = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST_ID)).alias("id"), text_or_empty().alias("text")).withColumn("tag", F.xxhash64("text"))
@@ -331,14 +431,26 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key
     parts = max(8, int(total / 16 / 1_000_000) + 1)
     reps = send(bit_filter(first, "name", bits_log2))
     texts = rows.withColumn("name", F.xxhash64("id", "tag"))
-    hashes = texts.mapInArrow(_anchor_hashes(reps, bits_log2, width), "h long").repartition(parts, "h").mapInArrow(_repeated, "h long")
-    hits = send(bit_filter(hashes, "h", bits_log2 + 1))
-    runs = texts.mapInArrow(_contexts(reps, bits_log2, hits, bits_log2 + 1, width), _RUN_SCHEMA)
+    hashes = texts.mapInArrow(_anchor_hashes(reps, bits_log2, width), "h long, windows int").repartition(parts, "h").mapInArrow(_repeated(heavy), "h long, kind int")
+    twice, many = bit_filters(hashes, "h", "kind", [bits_log2 + 1, _HEAVY_BITS])
+    found = send(many) if any(many) else None
+    runs = texts.mapInArrow(_contexts(reps, bits_log2, send(twice), bits_log2 + 1, width, found), _RUN_SCHEMA)
+    return runs, None if found is None else stored(texts.mapInArrow(_windows(reps, bits_log2, found, width), _WINDOW_SCHEMA), "windows")
+
+
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
+    """Ranges (id, tag, start, end) of bytes covered by strings of ``width`` bytes that also start under a smaller id.
+
+    ``tag`` is the hash of a row's text, ``id`` its key (null keys stand as the largest number). Texts equal
+    to one under a smaller id have no ranges here: all of them is repeated, when they are long enough.
+    """
+    runs, windows = suffix_runs(docs, width, bits_log2, key, heavy)
     ordered = runs.repartitionByRange("lead", "next").sortWithinPartitions("lead", "next")
-    return stored(ordered.mapInArrow(_buckets(width), "id long, tag long, start long, end long"), "ranges")
+    ranges = ordered.mapInArrow(_buckets(width), "id long, tag long, start long, end long")
+    return stored(ranges if windows is None else ranges.unionByName(late_windows(windows)), "ranges")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
     """Per row of docs: key, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of what is left.
 
     A byte goes when a string of ``width`` bytes that covers it also starts in a row with a smaller key; strings
@@ -347,7 +459,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key
     ``width`` bytes stay whole. Other columns take no part.
     """
     send = docs.sparkSession.sparkContext.broadcast
-    ranges = repeated_bytes(docs, width, bits_log2, key)
+    ranges = repeated_bytes(docs, width, bits_log2, key, heavy)
     hit = send(bit_filter(ranges, "tag", min(bits_log2, 24)))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST_ID)).alias("id"), text_or_empty().alias("text")).withColumn("tag", F.xxhash64("text"))
     texts = rows.select("id", "tag", "text").mapInArrow(_rows_hit(hit, min(bits_log2, 24)), "id long, tag long, text string")

@@ -29,13 +29,19 @@ def bit_filter(df: DataFrame, hash_col: str, bits_log2: int = 26) -> bytes:
     Built in Spark from 4 KB pieces; what reaches the driver is at most 2**bits_log2 / 8 bytes,
     whatever the number of rows. The caller broadcasts it and must treat a hit as "perhaps".
     """
-    at = F.col(hash_col).bitwiseAND(F.lit((1 << bits_log2) - 1))
+    return bit_filters(df.select(hash_col, F.lit(0).alias("kind")), hash_col, "kind", [bits_log2])[0]
+
+
+def bit_filters(df: DataFrame, hash_col: str, kind_col: str, bits_log2: list[int]) -> list[bytes]:
+    """One such bitmap for each kind 0, 1, ... of rows, of 2**bits_log2[kind] bits, in one pass."""
+    mask = F.element_at(F.array(*[F.lit((1 << b) - 1).cast("long") for b in bits_log2]), F.col(kind_col) + 1)
+    at = F.col(hash_col).bitwiseAND(mask)
     pieces = (
-        df.select(F.shiftright(at, 15).alias("piece"), at.bitwiseAND(F.lit(32767)).alias("bit"))
-        .groupBy("piece")
+        df.select(F.col(kind_col).alias("kind"), F.shiftright(at, 15).alias("piece"), at.bitwiseAND(F.lit(32767)).alias("bit"))
+        .groupBy("kind", "piece")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
-    out = bytearray(1 << (bits_log2 - 3))
+    out = [bytearray(1 << (b - 3)) for b in bits_log2]
     for row in pieces.toLocalIterator():
-        out[row["piece"] * 4096 : (row["piece"] + 1) * 4096] = row["bits"]
-    return bytes(out)
+        out[row["kind"]][row["piece"] * 4096 : (row["piece"] + 1) * 4096] = row["bits"]
+    return [bytes(x) for x in out]

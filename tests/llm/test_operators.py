@@ -96,6 +96,19 @@ def test_repeats_in_small_chunks(spark, monkeypatch):
     assert counted(got) == Counter((k, n, r, s, hashlib.sha256(kept).hexdigest()) for k, n, r, s, kept in brute.remove_repeats(rows))
 
 
+def test_no_anchor_is_gathered_beyond_the_bound(spark):
+    """A passage of many documents between unlike neighbours, and a long stretch of one letter."""
+    shared = nasty.prose(60, 12)
+    rows = [(i % 35, nasty.prose(i, 12) + shared + nasty.prose(100 + i, 12) + "-" * (i % 3) * 120) for i in range(40)] + [(None, "x" + shared), (50, "a" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    runs, windows = suffix_dedup.suffix_runs(docs, heavy=200)
+    sizes = runs.where("length(context) > 0").groupBy("lead", "next").agg(F.sum(F.col("end") - F.col("start") - 49).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 200 and windows.count() > 0
+    want = Counter((k, n, r, s, hashlib.sha256(kept).hexdigest()) for k, n, r, s, kept in brute.remove_repeats(rows))
+    for heavy in (0, 200):
+        assert counted(suffix_dedup.remove_repeats(docs, heavy=heavy).collect()) == want
+
+
 def test_token_files_round_trip(spark):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
