@@ -216,6 +216,28 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == want
 
 
+def test_near_copies_are_found(spark):
+    """One word in 50 changed: beyond 7 bits, found nearly always; exactly the pairs with two equal blocks."""
+    rows = []
+    for i in range(60):
+        words = nasty.prose(i, 200).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(w if j % 50 else f"new{j}" for j, w in enumerate(words)))]
+    prints = {r[0]: r[1] for r in simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame([(p,) for p in prints.values()], "fingerprint string")
+    got = {(r["query"], r["fingerprint"]): r["distance"] for r in simhash.near_prints(df, df).collect()}
+    value = {p: np.frombuffer(bytes.fromhex(p), dtype=">u8").astype(np.uint64)[None] for p in set(prints.values())}
+    keys = {p: simhash.table_keys(v)[0] for p, v in value.items()}
+    want = {}
+    for p, x in value.items():
+        for o, y in value.items():
+            d = int(np.bitwise_count(x ^ y).sum())
+            if 0 < d <= simhash.RADIUS and (keys[p] == keys[o]).any():
+                want[(p, o)] = d
+    assert got == want
+    own = [(prints[2 * i], prints[2 * i + 1]) for i in range(60)]
+    assert sum(p in got for p in own) >= 55 and sum(got.get(p, 0) > 7 for p in own) >= 50
+
+
 def test_language_on_held_out_texts(spark, folder):
     docs = spark.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet")
     out = lang_kernel.op8_language(spark, folder.replace("sf0.001", "sf0.01")).join(docs.select("doc_id", "lang"), "doc_id")
