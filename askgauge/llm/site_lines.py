@@ -12,8 +12,13 @@ RATIO, MIN_PAGES = 0.5, 3
 
 
 def host_of(url: Column) -> Column:
-    """Host of a URL in lower case, without user and port; empty for anything else."""
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+    """Host of a URL in lower case, without user and port; empty for anything else.
+
+    The scheme may be missing ('//a.org/x'), the slashes too when the first part is a name with a dot ('a.org/x').
+    """
+    full = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    bare = F.regexp_extract(url, r"^([^/?#:@.\s]+(?:\.[^/?#:@.\s]+)+)\.?(?::[0-9]*)?(?:[/?#]|$)", 1)
+    return F.lower(F.coalesce(F.when(full != "", full).otherwise(bare), F.lit("")))
 
 
 def html_lines(html: Column) -> Column:

@@ -27,6 +27,15 @@ def test_lines_of_most_pages_of_a_host_go(spark):
     assert got == brute(rows)
 
 
+def test_urls_without_a_scheme_have_hosts(spark):
+    urls = {"example.com/x": "example.com", "//Example.com:8/x": "example.com", "www.é.org?q": "www.é.org", "a.org:80": "a.org", "mailto:me@a.org": "", "../a.html": "", "no url": "", "http://me@b.org/a.b": "b.org", "": ""}
+    rows = [(i, url, "") for i, url in enumerate(urls)]
+    assert [r["host"] for r in run(spark, rows).orderBy("page_id").collect()] == list(urls.values())
+    # Boilerplate of one site is not thinned out by the pages of others.
+    rows = [(i, f"a.org/{i}", f"menu<br>{i}") for i in range(4)] + [(10 + i, f"b{i}.org/x", f"own {i}") for i in range(9)]
+    assert {tuple(r["kept"]) for r in run(spark, rows).where("host = 'a.org'").collect()} == {(str(i),) for i in range(4)}
+
+
 def test_empty_table_and_markup(spark):
     assert run(spark, []).count() == 0
     row = run(spark, [(1, "http://x.org", "<p>A <b>b</b><script>t</script><!-- c --><style>s</style>\r\n <li> d")]).first()
