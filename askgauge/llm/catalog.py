@@ -10,6 +10,7 @@ from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
 from .simhash import op2_fingerprints
 from .site_lines import OP3_SQL, op3_site_lines
+from .spelling import op12_spelling_variants
 from .suffix_dedup import op9_suffix_dedup
 from .toxic_kernel import op10_toxicity
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE = {
