@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_chat_format
 from .contamination import OP7_SQL, op7_contamination
 from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .lang_kernel import op8_language
+from .minhash_join import OP13_SQL, op13_minhash_dedup
 from .mixing import OP5_SQL, op5_source_mix
 from .packed_ids import op4_token_ids
 from .simhash import op2_fingerprints
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLE = {
@@ -34,4 +36,5 @@ ORACLE = {
     "op5_source_mix": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_contamination": OP7_SQL,
+    "op13_minhash_dedup": OP13_SQL,
 }
