@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP1_SQL, op1_chat_format
 from .contamination import OP7_SQL, op7_contamination
 from .jaccard_join import OP6_SQL, op6_jaccard_join
+from .k2_treap import OP11_SQL, op11_ranked_search
 from .lang_kernel import op8_language
 from .minhash_join import OP13_SQL, op13_minhash_dedup
 from .mixing import OP5_SQL, op5_source_mix
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_minhash_dedup": op13_minhash_dedup,
 }
@@ -36,5 +38,6 @@ ORACLE = {
     "op5_source_mix": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_contamination": OP7_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op13_minhash_dedup": OP13_SQL,
 }
