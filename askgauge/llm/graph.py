@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +63,52 @@ class Forest:
 
     def roots(self, members: np.ndarray) -> np.ndarray:
         return np.array([self.find(int(x)) for x in members], dtype=np.int64)
+
+
+def _own_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of a task's edges; label is the smallest node of the task's component."""
+    number: dict = {}
+    forest = Forest(0)
+    kind = pa.int64()
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            own = []
+            for node in pair:
+                if node not in number:
+                    number[node] = len(number)
+                    forest.parent.append(len(forest.parent))
+                own.append(number[node])
+            forest.join(*own)
+    nodes = list(number)
+    least: dict = {}
+    roots = [forest.find(i) for i in range(len(nodes))]
+    for node, root in zip(nodes, roots, strict=True):
+        least[root] = min(node, least.get(root, node))
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([least[r] for r in roots], kind)], names=["node", "label"])
+
+
+def group_labels(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
+    """What ``components`` returns, in fewer steps: the graph is contracted instead of relabelled.
+
+    Tasks connect the edges they hold (about ``per_task``, dealt by their smaller node); a node that several tasks
+    know connects their labels, which are the nodes of a smaller graph, treated alike. Where a step leaves more than half of
+    the edges, as in long paths over many tasks, the rest is left to ``components``.
+    """
+    own = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    kind = own.schema["a"].dataType.simpleString()
+    many = own.count()
+    parts = -(-many // per_task)
+    local = own.repartition(max(parts, 1), "b").mapInArrow(_own_components, f"node {kind}, label {kind}")
+    if parts <= 1:
+        return stored(local, "labels")
+    local = stored(local, "labels")
+    least = stored(local.groupBy("node").agg(F.min("label").alias("least")), "labels")
+    between = stored(local.join(least, "node").where(F.col("label") != F.col("least")).select(F.col("label").alias("a"), F.col("least").alias("b")).distinct(), "edges")
+    left = between.count()
+    if not left:
+        return least.withColumnRenamed("least", "label")
+    higher = components(between) if 2 * left > many else group_labels(between, per_task)
+    higher = higher.select(F.col("node").alias("least"), F.col("label").alias("final"))
+    return least.join(higher, "least", "left").select("node", F.coalesce("final", "least").alias("label"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_words import NOT_BLANK, SEED, give_back, mix, shingles, text_blocks, word_hashes
-from .graph import Forest, components
+from .graph import Forest, group_labels
 from .tables import bit_filter, read_table, stored, text_or_empty
 
 BITS = 16
@@ -243,7 +243,7 @@ def candidate_groups(sets: DataFrame, partitions: int) -> DataFrame:
     keyed = stored(sets.mapInArrow(_keyed, "key long, node long, brief binary, other long"), "minhash-keys")
     own = keyed.where("key IS NOT NULL").select("key", "node", "brief").repartition(partitions, "key").sortWithinPartitions("key")
     links = own.mapInArrow(_candidates, "a long, b long")
-    return components(links.unionByName(keyed.where("key IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))))
+    return group_labels(links.unionByName(keyed.where("key IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))))
 
 
 def _wanted(sent, bits_log2: int, width: int):
@@ -384,7 +384,7 @@ def confirmed_links(members: DataFrame, sets: DataFrame, percent: int, heavy: in
     pivots = _pivots(large).join(parts, "label").select("label", "name", every, F.lit(True).alias("ask"))
     rows = placed.select("label", "name", "part", F.lit(True).alias("ask"))
     first = stored(linked(rows.unionByName(pivots)), "links")
-    inside = large.select("label", "name", "n", "parts").join(components(first).withColumnRenamed("node", "name").withColumnRenamed("label", "part_of"), "name", "left")
+    inside = large.select("label", "name", "n", "parts").join(group_labels(first).withColumnRenamed("node", "name").withColumnRenamed("label", "part_of"), "name", "left")
     inside = stored(inside.withColumn("part_of", F.coalesce("part_of", "name")), "connected")
     most = inside.groupBy("label", "part_of").count().groupBy("label").agg(F.max(F.struct("count", "part_of")).alias("most")).select("label", F.col("most.part_of").alias("most"))
     outside = stored(inside.join(most, "label").where("part_of <> most").select("label", "name", "n", "parts"), "outside")
@@ -431,7 +431,7 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, percent: int = 85
     sent = spark.sparkContext.broadcast(bit_filter(chosen, "hash", bits_log2))
     found = rows.select(F.xxhash64("id").alias("hash"), "text").mapInArrow(_wanted(sent, bits_log2, width), "name binary, tokens binary")
     links = confirmed_links(members.select("label", "name", "n", "sign"), found, percent, heavy)
-    named = components(links)
+    named = group_labels(links)
     own = profiles.select("id", "n", "name").join(named.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "name")))
     own = stored(own.select("id", "n", "label"), "labels")
     least = own.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))

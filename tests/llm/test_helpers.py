@@ -6,6 +6,7 @@ import pytest
 
 from askgauge.llm import simple8b
 from askgauge.llm.byte_words import ALNUM, NOT_BLANK, shingles, text_blocks, word_hashes
+from askgauge.llm.graph import components, group_labels
 from askgauge.llm.piece_tokens import PieceTokenizer
 from askgauge.llm.suffix_array import search, suffix_array, with_stops
 from tests.llm import brute
@@ -79,3 +80,25 @@ def test_pieces_give_the_librarys_ids():
     for _, _, ids, counts in tokenizer.encode(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])):
         got += [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])]
     assert got == [tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("per_task", [7, 40, 250_000])
+def test_contracted_graph_has_the_same_components(spark, per_task):
+    rng = random.Random(per_task)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = [tuple(r) for r in group_labels(spark.createDataFrame(edges, "a long, b long"), per_task).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in parent)
+    named = spark.createDataFrame([(bytes([a % 256]), bytes([b % 256])) for a, b in edges[:20]], "a binary, b binary")
+    assert sorted(map(tuple, group_labels(named, per_task).collect())) == sorted(map(tuple, components(named).collect()))
+    assert group_labels(spark.createDataFrame([], "a long, b long"), per_task).count() == 0
