@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import simple8b
+from .byte_words import give_back
 from .piece_tokens import PieceTokenizer
 from .tables import read_table, text_or_empty
 
@@ -50,6 +51,7 @@ def _coder(path: str, end_id: int | None):
                     names=["shard", "start", "n_ids", "doc_ids", "lengths", "block_words", "words"],
                 )
                 start += len(ids)
+        give_back()
 
     return code
 

@@ -61,9 +61,9 @@ def ends_before(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class PieceTokenizer:
-    """Encodes Arrow text columns; keeps the ids of at most ``max_pieces`` pieces."""
+    """Encodes Arrow text columns; keeps the ids of at most ``max_pieces`` pieces (some 32 bytes each) until ``forget``."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000) -> None:
+    def __init__(self, path: str, max_pieces: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,29 +74,46 @@ class PieceTokenizer:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.starts: list[int] = [0]
-
-    def _piece(self, raw: bytes) -> list[int]:
-        text = raw.decode("utf-8")
-        body = text[1:] if text[0] == " " else text
-        # One pre-token for certain: the model alone, without the pattern.
-        if body.isalpha() and max(body) < "ɐ":
-            return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _add(self, new_ids: list[int]) -> None:
-        end = self.used + len(new_ids)
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of all pieces."""
+        #: Hashes of known pieces in ascending order, and the number of each piece.
+        self.keys, self.slots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        #: Where each piece's ids begin, and the ids, with room for more.
+        self.starts, self.pieces = np.zeros(1 << 12, dtype=np.int32), 0
+        self.ids, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
+
+    def _piece_ids(self, raw: list[bytes]) -> list[list[int]]:
+        """Ids of pieces: those that are one pre-token for certain by the model alone, without the pattern, the others in one call."""
+        out: list[list[int]] = [[]] * len(raw)
+        rest = []
+        for i, piece in enumerate(raw):
+            text = piece.decode("utf-8")
+            body = text[1:] if text[0] == " " else text
+            if body.isalpha() and max(body) < "ɐ":
+                out[i] = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.alphabet))]
+            else:
+                rest.append((i, text))
+        for (i, _), found in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            out[i] = found.ids
+        return out
+
+    def _append(self, raw: list[bytes]) -> np.ndarray:
+        """The numbers of new pieces."""
+        found = self._piece_ids(raw)
+        lengths = np.array([len(x) for x in found])
+        flat = np.fromiter((t for x in found for t in x), dtype=np.uint32, count=int(lengths.sum()))
+        end, last = self.used + len(flat), self.pieces + len(found)
         if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(new_ids)), dtype=np.uint32)])
-        self.ids[self.used : end] = new_ids
-        self.used = end
-        self.starts.append(end)
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, 2 * len(flat)), dtype=np.uint32)])
+        if last >= len(self.starts):
+            self.starts = np.concatenate([self.starts[: self.pieces + 1], np.zeros(max(self.pieces, 2 * len(found)), dtype=np.int32)])
+        self.ids[self.used : end] = flat
+        self.starts[self.pieces + 1 : last + 1] = self.used + np.cumsum(lengths)
+        own = np.arange(self.pieces, last)
+        self.used, self.pieces = end, last
+        return own
 
     def _block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = cut_points(buf, offsets)
@@ -104,24 +121,24 @@ class PieceTokenizer:
         keep = ends > starts
         starts, ends = starts[keep], ends[keep]
         keys, first, where = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.max_pieces or self.used > 8 * self.max_pieces:
-            self._clear()
-        known, data = self.known, buf.tobytes()
+        if self.pieces + len(keys) > self.max_pieces or self.used > 8 * self.max_pieces:
+            self.forget()
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
         slots = np.empty(len(keys), dtype=np.int64)
-        for i, key in enumerate(keys.tolist()):
-            slot = known.get(key)
-            if slot is None:
-                a, b = int(starts[first[i]]), int(ends[first[i]])
-                slot = len(self.starts) - 1
-                self._add(self._piece(data[a:b]))
-                # Long pieces hardly repeat; they are encoded each time they come up.
-                if b - a < _LONG:
-                    known[key] = slot
-            slots[i] = slot
-        bounds = np.array(self.starts)
-        lengths = (bounds[1:] - bounds[:-1])[slots][where]
+        slots[known] = self.slots[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            data, at, stop = buf.tobytes(), starts[first[new]], ends[first[new]]
+            slots[new] = self._append([data[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)])
+            # Long pieces hardly repeat; they are encoded each time they come up.
+            kept = new[stop - at < _LONG]
+            self.keys, self.slots = np.insert(self.keys, place[kept], keys[kept]), np.insert(self.slots, place[kept], slots[kept])
+        lengths = (self.starts[slots + 1] - self.starts[slots]).astype(np.int64)[where]
         total = np.cumsum(lengths)
-        at = np.repeat(bounds[slots][where] - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)
+        at = np.repeat(self.starts[slots].astype(np.int64)[where] - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)
         ids = self.ids[at]
         row_end = np.searchsorted(starts, offsets[1:])
         counts = np.diff(np.concatenate([[0], np.concatenate([[0], total])[row_end]]))
