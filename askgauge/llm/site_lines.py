@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, stored
 
-#: A line is boilerplate when more than this share of its host's pages hold it, on hosts of so many pages at least.
-RATIO, MIN_PAGES = 0.5, 3
+#: A line is boilerplate when more than this share of its host's pages hold it, on hosts of so many pages at least:
+#: on a host of one page every line is on all pages.
+RATIO, MIN_PAGES = 0.5, 2
+#: Rows of a frequent line are dealt to so many tasks.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -33,19 +36,21 @@ def drop_site_lines(pages: DataFrame, lines: Column, host: Column, ratio: float
     """Add ``host``, ``lines`` and ``kept`` (the lines that are no boilerplate of their host) to the rows of pages.
 
     A line counts once per page. It is dropped from every page of a host when the pages that hold it, divided by
-    the host's pages, exceed ``ratio``; hosts of fewer than ``min_pages`` pages keep everything. Counts are summed in
-    the map tasks, per host and line, so neither a host nor a line of many pages meets in one task; lines move as
-    64-bit hashes. Null pages have no lines, a null URL is the empty host, repeated rows count as pages of their
-    own. Other columns stay; existing ones of these names are replaced.
+    the host's pages, exceed ``ratio``; hosts of fewer than ``min_pages`` pages keep everything. Pages are cut into
+    lines once for counting, as a stored table of 64-bit hashes, and once for the result. Counts are summed in the map tasks,
+    per host and line; the rows of a frequent line meet its verdict in SALTS parts. Null pages have no lines, a null URL is the
+    empty host, repeated rows count as pages of their own. Other columns stay; existing ones of these names are replaced.
     """
     packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), lines.alias("lines"), host.alias("host"))
-    rows = packed.withColumn("page", F.xxhash64("row")).withColumn("hashes", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))))
-    held = rows.select("page", "host", F.explode("hashes").alias("h"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    rows = packed.withColumn("page", F.xxhash64("row"))
+    hashed = stored(rows.select("page", "host", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("hashes")), "page-lines")
+    held = hashed.select("page", "host", F.explode("hashes").alias("h"))
+    totals = hashed.groupBy("host").agg(F.count("*").alias("pages"))
     often = held.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1").join(totals, "host")
     often = often.where((F.col("pages") >= min_pages) & (F.col("n") > F.lit(ratio) * F.col("pages"))).select("host", "h")
-    gone = held.join(often, ["host", "h"]).groupBy("page").agg(F.collect_set("h").alias("gone"))
-    out = rows.drop("hashes").join(gone, "page", "left")
+    salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gone = held.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"]).groupBy("page").agg(F.collect_set("h").alias("gone"))
+    out = rows.join(gone, "page", "left")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(x))))
     names = [c for c in pages.columns if c not in ("host", "lines", "kept")]
     return out.select(*[F.col("row").getField(c).alias(c) for c in names], "host", "lines", kept.alias("kept"))
@@ -62,7 +67,8 @@ def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH p AS (
-    SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+    SELECT row_number() OVER () AS r, page_id, lower(coalesce(nullif(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), ''),
+            regexp_extract(coalesce(url, ''), '^([^/?#:@.\s]+(?:\.[^/?#:@.\s]+)+)\.?(?::[0-9]*)?(?:[/?#]|$)', 1))) AS host,
         list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
             '(?is)<script\b.*?</script>', chr(10), 'g'), '(?is)<style\b.*?</style>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), '[\r\n]+'),
             lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM pages
@@ -70,7 +76,7 @@ WITH p AS (
 totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 often AS (
     SELECT host, line FROM (SELECT host, line, count(DISTINCT r) AS n FROM l GROUP BY host, line) JOIN totals USING (host)
-    WHERE n > 1 AND pages >= 3 AND n > 0.5 * pages
+    WHERE n > 1 AND pages >= 2 AND n > 0.5 * pages
 ), kept AS (
     SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN often USING (host, line) GROUP BY r
 )

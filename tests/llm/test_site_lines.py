@@ -12,7 +12,7 @@ def run(spark, rows):
     return site_lines.drop_site_lines(df, site_lines.html_lines(F.col("html")), site_lines.host_of(F.col("url")))
 
 
-def brute(rows, ratio=0.5, least=3):
+def brute(rows, ratio=0.5, least=2):
     pages = [(k, (u or "").split("://")[-1].split("/")[0].split("@")[-1].split(":")[0].lower(), [x.strip(" ") for x in (h or "").split("<br>") if x.strip(" ")]) for k, u, h in rows]
     total = Counter(host for _, host, _ in pages)
     seen = Counter((host, line) for _, host, lines in pages for line in set(lines))
@@ -45,3 +45,8 @@ def test_empty_table_and_markup(spark):
 def test_no_python_in_the_plan(spark, folder):
     plan = site_lines.op3_site_lines(spark, folder)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hosts_of_two_pages(spark):
+    rows = [(1, "http://two.org/a", "menu<br>a"), (2, "http://two.org/b", "menu<br>b"), (3, "http://one.org", "menu<br>c")]
+    assert {r["page_id"]: tuple(r["kept"]) for r in run(spark, rows).collect()} == {1: ("a",), 2: ("b",), 3: ("menu", "c")}
