@@ -9,6 +9,7 @@ inserted letter costs little.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -243,22 +244,24 @@ def _variants(word: bytes, rng: np.random.Generator, n: int) -> list[bytes]:
     return out
 
 
-def fit_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, landmarks: int = 160, seed: int = 5) -> tuple[Landmarks | None, np.ndarray, float]:
+def fit_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, landmarks: int = 160, min_documents: int = 3, max_positive: int = 600, max_negative: int = 12_000, seed: int = 5) -> tuple[Landmarks | None, np.ndarray, float]:
     """Word model from how many toxic and clean sentences' documents hold each word.
 
-    Positive examples are words found far more often in toxic documents, negative ones the words of clean
-    documents. Landmarks are the strongest positive words and evenly drawn negative ones.
+    Positive examples are words of ``min_documents`` toxic documents and more, found far more often there than in clean
+    ones, the ``max_positive`` strongest, each with two variants with a letter put in; negative ones are
+    ``max_negative`` words of clean documents, a third of them the most frequent, the others drawn. Landmarks are the strongest positive words and evenly drawn negative ones.
     """
     rng = np.random.default_rng(seed)
-    rate = {w: (n / max(n_toxic, 1), (clean[w] + 0.25) / max(n_clean, 1)) for w, n in toxic.items() if n >= 3 and len(w) >= 3}
+    rate = {w: (n / max(n_toxic, 1), (clean[w] + 0.25) / max(n_clean, 1)) for w, n in toxic.items() if n >= min_documents and len(w) >= 3}
     strength = {w: toxic[w] * np.log(p / q) for w, (p, q) in rate.items() if p > 4 * q}
-    positive = sorted(strength, key=lambda w: (-strength[w], w))[:600]
+    positive = sorted(strength, key=lambda w: (-strength[w], w))[:max_positive]
     known = set(positive)
     negative = sorted((w for w in clean if w not in known and len(w) >= 3), key=lambda w: (-clean[w], w))
     if not positive or not negative:
         return None, np.zeros(_CLASSES**3), -1.0
-    if len(negative) > 12_000:
-        negative = negative[:4000] + [negative[4000 + i] for i in sorted(rng.choice(len(negative) - 4000, 8000, replace=False).tolist())]
+    if len(negative) > max_negative:
+        often = max_negative // 3
+        negative = negative[:often] + [negative[often + i] for i in sorted(rng.choice(len(negative) - often, max_negative - often, replace=False).tolist())]
     chosen = positive[: landmarks * 3 // 4]
     chosen += [negative[i] for i in np.linspace(0, len(negative) - 1, landmarks // 4).astype(int)]
     chosen = sorted(set(chosen))
@@ -268,20 +271,57 @@ def fit_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, landma
     words = [*positive, *own, *negative]
     y = np.array([1.0] * (len(positive) + len(own)) + [-1.0] * len(negative))
     share = np.array([strength[w] for w in positive])
-    weight = np.concatenate([np.minimum(share / share.mean(), 3), np.repeat(np.minimum(share / share.mean(), 3), 2) / 4, np.ones(len(negative))])
+    weight = np.concatenate([np.minimum(share / share.mean(), 3), np.repeat(np.minimum(share / share.mean(), 3), 2) / 1, np.ones(len(negative))])
     weight[y > 0] *= 0.3 * len(negative) / weight[y > 0].sum()
     z = np.vstack([marks.kernel(_grams(words[i : i + 2000])) for i in range(0, len(words), 2000)]) @ root
     w, b = linear_svm(z, y, weight, ridge=1.0)
     return marks, marks.folded(root @ w), b
 
 
-def _features(sent):
+def disguised(word: str, rng: np.random.Generator) -> str:
+    """A word with a letter put in, or with a mark between two letters, somewhere inside."""
+    at = int(rng.integers(1, max(2, len(word))))
+    return word[:at] + (chr(97 + int(rng.integers(26))) if rng.random() < 0.75 else "-") + word[at:]
+
+
+def passages(text: str, toxic: int, model: ToxicModel, around: int) -> list[str]:
+    """Short examples from a labelled text: its most suspicious word among ``around`` words on either side.
+
+    A toxic text's passage comes again with that word disguised in three ways; a clean text's is a hard negative.
+    """
+    words = text.split()
+    if not words:
+        return []
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([0, *[len(w) for w in raw]])
+    top = model.inputs(np.frombuffer(b"".join(raw), dtype=np.uint8), ends)[:, 3]
+    at = int(top.argmax())
+    if toxic and top[at] <= 0:
+        return []
+    low, high = max(0, at - around), at + 1 + around
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    forms = [words[at], *[disguised(words[at], rng) for _ in range(3 if toxic else 0)]]
+    return [" ".join([*words[low:at], w, *words[at + 1 : high]]) for w in forms]
+
+
+def _features(sent, around: int, passage_weight: float):
+    """Inputs of whole sampled texts (weight 1) and of the passages cut from them (``passage_weight`` together)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ToxicModel.unpacked(sent.value)
         for batch in batches:
-            for first, end, buf, offsets in text_blocks(batch, "text"):
-                f = model.inputs(buf, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(first, end - first), pa.array(f.tolist(), pa.list_(pa.float64()))], names=["toxic", "inputs"])
+            labels, texts = batch.column("toxic").to_pylist(), batch.column("text")
+            rows, toxic, weight = [], [], []
+            for i, label in enumerate(labels):
+                text = texts[i].as_py()
+                own = passages(text, label, model, around)
+                rows += [text, *own]
+                toxic += [label] * (1 + len(own))
+                weight += [1.0, *[passage_weight / len(own) for _ in own]]
+            whole = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"])
+            found = [model.inputs(buf, offsets) for _, _, buf, offsets in text_blocks(whole, "text")]
+            values = np.concatenate(found).tolist() if found else []
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array(values, pa.list_(pa.float64()))], names=["toxic", "weight", "inputs"])
 
     return run
 
@@ -331,9 +371,17 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     return texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "h"]).select("id", "text", "toxic")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_toxic: int = 1200, max_clean: int = 3600, landmarks: int = 160, key: str = "doc_id") -> ToxicModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_toxic: int = 1200, max_clean: int = 3600, landmarks: int = 160, min_documents: int = 3,
+    max_positive: int = 600, max_negative: int = 12_000, around: int = 15, passage_weight: float = 2.0, toxic_weight: float = 4.0, key: str = "doc_id",
+) -> ToxicModel:
     """Fit on at most ``max_toxic`` and ``max_clean`` labelled documents for which ``keep`` (on ``id``) holds.
 
+    The word model learns from the sample's words (bounds: see ``fit_words``). The document model learns from the
+    whole texts and from passages of ``around`` words on either side of each text's most suspicious word, in toxic
+    texts also with that word disguised; a text's passages weigh ``passage_weight`` together, toxic rows
+    ``toxic_weight`` times as much as clean ones.
+
     Spark joins and samples; word sets and three numbers per sampled document reach the driver. Without
     usable labels every score is 0.
     """
@@ -343,18 +391,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
     sets = sample.select("toxic", "text").mapInArrow(_word_sets, "toxic int, words array<binary>")
     # One row per word: how many sampled documents of either kind hold it.
     words = sets.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    for row in words.where("t >= 3 OR n - t >= 2").toLocalIterator():
+    for row in words.where((F.col("t") >= min_documents) | (F.col("n") - F.col("t") >= 2)).toLocalIterator():
         counts[1][bytes(row["w"])], counts[0][bytes(row["w"])] = row["t"], row["n"] - row["t"]
     n.update({r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()})
-    marks, table, offset = fit_words(counts[1], counts[0], n[1], n[0], landmarks)
+    marks, table, offset = fit_words(counts[1], counts[0], n[1], n[0], landmarks, min_documents, max_positive, max_negative)
     model = ToxicModel(marks, table.astype(np.float32), offset, np.zeros(0))
     if marks is None:
         return model
     sent = docs.sparkSession.sparkContext.broadcast(model.packed())
-    rows = sample.select("toxic", "text").mapInArrow(_features(sent), "toxic int, inputs array<double>").collect()
+    rows = sample.select("toxic", "text").mapInArrow(_features(sent, around, passage_weight), "toxic int, weight double, inputs array<double>").collect()
     y = np.array([r["toxic"] for r in rows], dtype=float)
     x = design(np.array([r["inputs"] for r in rows]))
-    model.document = logistic(x, y, np.where(y == 1, 1.5, 1.0), ridge=0.5)
+    model.document = logistic(x, y, np.array([r["weight"] for r in rows]) * np.where(y == 1, toxic_weight, 1.0), ridge=0.1)
     return model
 
 
