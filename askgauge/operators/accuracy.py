@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from contextlib import contextmanager
+from functools import reduce
+from itertools import count, islice
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,8 @@ DECIMALS = 6
 # Doubles above this size keep their own text form instead of the fixed-point one.
 FIXED_POINT_LIMIT = 1e30
 BATCH = 16
+# Plans that are remembered to find equal ones.
+FOLDED_PLANS = 1024
 STATUS_SCHEMA = "query_id string, error string"
 DIGEST_SCHEMA = "query_id string, n bigint, head decimal(38,0), tail decimal(38,0)"
 
@@ -213,55 +218,92 @@ def workload_queries(records: DataFrame) -> DataFrame:
     return unique_queries(long.filter("db_id <> '' and sql <> ''"))
 
 
-def run_queries(queries: list, runner: Runner) -> tuple[DataFrame | None, dict[str, str]]:
-    """Result digests of the given query rows as one lazy union, and the queries that failed.
+class PlanFolder:
+    """Finds queries that ask for the same although their texts differ.
 
-    A query that does not analyse becomes an error without starting a job.
+    Two queries are one when Spark's canonical plans agree: names of aliases and result columns, the order
+    of conditions and the like do not count. The last ``held`` plans are remembered; a query whose
+    equal has been forgotten runs again.
     """
-    digests, errors = None, {}
+
+    def __init__(self, held: int = FOLDED_PLANS) -> None:
+        self.held = held
+        self.plans: OrderedDict[str, tuple[int, DataFrame]] = OrderedDict()
+        self.by_hash: dict[int, list[str]] = {}
+        self.same: list[tuple[str, str]] = []
+
+    def first(self, query: str, plan: DataFrame) -> bool:
+        """Whether the query is the first of its kind; otherwise it is noted as equal to that one."""
+        key = plan.semanticHash()
+        for other in self.by_hash.get(key, ()):
+            if plan.sameSemantics(self.plans[other][1]):
+                self.same.append((query, other))
+                return False
+        self.plans[query] = (key, plan)
+        self.by_hash.setdefault(key, []).append(query)
+        if len(self.plans) > self.held:
+            gone, (old, _) = self.plans.popitem(last=False)
+            self.by_hash[old].remove(gone)
+        return True
+
+
+def analysed(queries: Iterable, runner: Runner, folder: PlanFolder | None = None) -> tuple[list[tuple[str, DataFrame]], dict[str, str]]:
+    """Plans of the given query rows, each kind once, and the queries that do not analyse."""
+    plans, errors = [], {}
     for row in queries:
         try:
-            one = bag_digest(runner(row["db_id"], row["sql"]), row["query_id"])
+            plan = runner(row["db_id"], row["sql"])
+            if folder is None or folder.first(row["query_id"], plan):
+                plans.append((row["query_id"], plan))
         except (PySparkException, LookupError) as problem:
             errors[row["query_id"]] = str(problem).splitlines()[0]
-            continue
-        digests = one if digests is None else digests.unionByName(one)
-    return digests, errors
+    return plans, errors
 
 
 def run_and_store(
-    spark: SparkSession, queries: list, runner: Runner, folder: str, batch: int = BATCH
+    spark: SparkSession, queries: Iterable, runner: Runner, folder: str, batch: int = BATCH
 ) -> tuple[DataFrame, DataFrame]:
     """Run queries in batches and keep their digests in the shared folder.
 
-    When a batch fails while running, its queries run one by one and the failing
-    ones become error rows; the others keep their results.  Batch folders are
-    replaced as a whole, so a retry never adds a digest twice.
+    ``queries`` may be an iterator: a batch of texts at a time reaches the driver.  Queries with the
+    same canonical plan run once.  When a batch fails while running, its queries run one by one and
+    the failing ones become error rows; the others keep their results.  Batch folders are replaced as
+    a whole, so a retry never adds a digest twice.
     """
     errors: dict[str, str] = {}
     stored: list[str] = []
+    kinds = PlanFolder()
 
-    def store(rows: list, name: str) -> None:
-        digests, failed = run_queries(rows, runner)
-        if digests is not None:
+    def store(plans: list[tuple[str, DataFrame]], name: str) -> None:
+        if plans:
+            digests = reduce(DataFrame.unionByName, [bag_digest(plan, query) for query, plan in plans])
             digests.write.mode("overwrite").parquet(f"{folder}/{name}")
             stored.append(f"{folder}/{name}")
-        errors.update(failed)
 
+    source = iter(queries)
     with lenient_sql(spark):
-        for start in range(0, len(queries), batch):
-            rows = queries[start : start + batch]
+        for number in count():
+            rows = list(islice(source, batch))
+            if not rows:
+                break
+            plans, failed = analysed(rows, runner, kinds)
+            errors.update(failed)
             try:
-                store(rows, f"batch-{start}")
+                store(plans, f"batch-{number}")
             except PySparkException:
-                for i, row in enumerate(rows):
+                for i, one in enumerate(plans):
                     try:
-                        store([row], f"single-{start + i}")
+                        store([one], f"single-{number}-{i}")
                     except PySparkException as problem:
-                        errors[row["query_id"]] = str(problem).splitlines()[0]
-    reader = spark.read.schema(DIGEST_SCHEMA)
-    digests = reader.parquet(*stored) if stored else spark.createDataFrame([], DIGEST_SCHEMA)
-    return digests, spark.createDataFrame(list(errors.items()), STATUS_SCHEMA)
+                        errors[one[0]] = str(problem).splitlines()[0]
+    digests = spark.read.schema(DIGEST_SCHEMA).parquet(*stored) if stored else spark.createDataFrame([], DIGEST_SCHEMA)
+    status = spark.createDataFrame(list(errors.items()), STATUS_SCHEMA)
+    if not kinds.same:
+        return digests, status
+    same = spark.createDataFrame(kinds.same, "other string, query_id string")
+    # Equal queries share the digest, or the error, of the one that ran.
+    shared = lambda df: df.unionByName(df.join(same, "query_id").drop("query_id").withColumnRenamed("other", "query_id").select(df.columns))
+    return shared(digests), shared(status)
 
 
 def score_records(records: DataFrame, digests: DataFrame, errors: DataFrame) -> DataFrame:
@@ -293,13 +335,13 @@ def accuracy_samples(
 ) -> DataFrame:
     """Score of every record (``id, db_id, gold_sql, pred_sql``).
 
-    Only the distinct query texts pass through the driver; each runs once and
-    leaves one digest row in ``folder`` (by default below the shared folder).
+    Only the distinct query texts pass through the driver, a batch at a time; each kind of plan runs
+    once and leaves one digest row in ``folder`` (by default below the shared folder).
     """
     spark = records.sparkSession
-    queries = workload_queries(records).select("query_id", "db_id", "sql").orderBy("db_id", "query_id").collect()
+    queries = workload_queries(records).select("query_id", "db_id", "sql").orderBy("db_id", "query_id")
     folder = folder or scratch_path(spark, "digests")
-    return score_records(records, *run_and_store(spark, queries, runner, folder))
+    return score_records(records, *run_and_store(spark, queries.toLocalIterator(), runner, folder))
 
 
 def ordered_samples(samples: DataFrame) -> DataFrame:

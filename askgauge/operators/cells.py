@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from askgauge.functions.text import detect_language
 from askgauge.session import cut_lineage, small_side
 
+# Slots that tell values of like frequency apart.
+RARITY_SLOTS = 4096
+
 
 def table_profile(cells: DataFrame) -> DataFrame:
     """Rows and columns of each table; every row has a cell in column 0."""
@@ -116,6 +119,24 @@ def first_rows(cells: DataFrame, count: int) -> DataFrame:
     return cells.join(small_side(last), "table_id").filter("row_idx <= _last").drop("_last")
 
 
+def rarity_order(df: Column, value: Column) -> Column:
+    """Place of a value in one order for all columns: rare values first by powers of two, then by hash."""
+    level = F.floor(F.log2(F.greatest(df, F.lit(1)).cast("double"))).cast("bigint")
+    return level * RARITY_SLOTS + F.pmod(F.xxhash64(value), F.lit(RARITY_SLOTS))
+
+
+def rare_ends(values: DataFrame, many: Column) -> DataFrame:
+    """Where each column's ``many`` rarest values end in the order: ``table_id, col_idx, last``.
+
+    Counted in a histogram over the order (formed in the map tasks, some RARITY_SLOTS rows for each
+    power of two at most), so no task sorts a column's values. Values that share the last slot all count in.
+    """
+    slots = values.groupBy("table_id", "col_idx", "order").agg(F.count(F.lit(1)).alias("n"), F.max(many).alias("many"))
+    before = Window.partitionBy("table_id", "col_idx").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    reached = slots.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return reached.filter("before < many").groupBy("table_id", "col_idx").agg(F.max("order").alias("last"))
+
+
 def infer_foreign_keys(
     cells: DataFrame, sample: int | None = None, overlap: float = 0.8, within: Sequence[str] = ()
 ) -> DataFrame:
@@ -137,13 +158,15 @@ def infer_foreign_keys(
     values = cut_lineage(values)
     sizes = values.groupBy(*within, "table_id", "col_idx").agg(F.count(F.lit(1)).alias("size"))
     spread = values.groupBy(*within, "value").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("table_id", "col_idx").orderBy("df", "value")
     need = F.greatest(F.lit(1), F.floor(F.col("size") * overlap))
-    rare = (
+    ordered = cut_lineage(
         values.join(spread, [*within, "value"])
         .join(sizes, [*within, "table_id", "col_idx"])
-        .withColumn("_r", F.row_number().over(rare_first))
-        .filter(F.col("_r") <= F.col("size") - need + 1)
+        .withColumn("order", rarity_order(F.col("df"), F.col("value")))
+    )
+    rare = (
+        ordered.join(rare_ends(ordered, F.col("size") - need + 1), ["table_id", "col_idx"])
+        .filter("order <= last")
         .select(*within, "value", F.col("table_id").alias("t_a"), F.col("col_idx").alias("c_a"), F.col("size").alias("n_a"))
     )
     held = values.join(sizes, [*within, "table_id", "col_idx"]).select(

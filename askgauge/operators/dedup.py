@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgauge.functions.fixed_values import DB_ID_PREFIX
-from askgauge.functions.similarity import indel_ratio, sorted_tokens
+from askgauge.functions.similarity import indel_ratio_from, sorted_tokens
 from askgauge.operators.cells import canonical_header
+from askgauge.operators.components import connected_labels
 from askgauge.session import cut_lineage
 
 # 64-bit words in the bit set that marks the grams of a text.
 MARK_WORDS = 8
+# Texts of a key that are compared with others at a time.
+MEETING_BLOCK = 256
+# Edges of a component that one task walks.
+WALK_EDGES = 200_000
 
 
 def header_groups(headers: DataFrame) -> DataFrame:
@@ -29,17 +38,6 @@ def header_groups(headers: DataFrame) -> DataFrame:
     return keyed.join(first, "text").select("table_id", "node", "text")
 
 
-def _shared_grams(total_length: Column, threshold: float) -> Column:
-    """Two-letter grams that texts of this joint length must share to reach the threshold.
-
-    A ratio of t means a common subsequence of at least t% of the mean length.
-    A dropped letter breaks at most two grams and an inserted one at most one,
-    which leaves 3 * LCS - (joint length) - 1 of them.
-    """
-    lcs = F.ceil(total_length * threshold / 200.0 - 1e-9)
-    return lcs * 3 - total_length - 1
-
-
 def _letter_pairs(nodes: DataFrame) -> DataFrame:
     """``node, len, g``: two-letter grams as numbers, built from both code points and, since
     repeats count separately, the running number of the repeat."""
@@ -67,6 +65,84 @@ def _bit_marks(grams: DataFrame) -> DataFrame:
     )
 
 
+def _within_bounds(one: dict, many: dict, blank: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``one``, in ``many``) of pairs that the bounds leave; the first of a pair is the shorter.
+
+    A ratio of t means a common subsequence of at least t% of the mean length.
+    A dropped letter breaks at most two grams and an inserted one at most one,
+    which leaves 3 * LCS - (joint length) - 1 of them that both texts must have.
+    """
+    len_a, len_b = one["len"][:, None], many["len"]
+    total = len_a + len_b
+    fits = (len_a < len_b) | ((len_a == len_b) & (one["node"][:, None] < many["node"]))
+    fits &= 200.0 * len_a >= total * threshold
+    due = 3 * np.ceil(total * threshold / 200.0 - 1e-9).astype(np.int64) - total - 1
+    if not blank:
+        after = np.minimum(np.maximum(len_a - 1, 0) - one["place"][:, None], np.maximum(len_b - 1, 0) - many["place"])
+        fits &= 1 + after >= due
+    x, y = np.nonzero(fits)
+    due = due[x, y]
+    for turned in (False, True):
+        p, q, i, j = (many, one, y, x) if turned else (one, many, x, y)
+        left = np.maximum(p["len"][i] - 1, 0) - np.bitwise_count(p["marks"][i] & ~q["marks"][j]).sum(axis=1, dtype=np.int64)
+        keep = left >= due
+        x, y, due = x[keep], y[keep], due[keep]
+    return x, y
+
+
+def _meetings(threshold: float):
+    """Over rows sorted by (g, band): pairs of texts that meet there and that the bounds leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def solve(table: pa.Table, g: int) -> tuple[np.ndarray, np.ndarray]:
+            asks = table.column("asks").to_numpy()
+            side = {c: table.column(c).to_numpy() for c in ("node", "len", "place")}
+            side["marks"] = table.column("marks").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MARK_WORDS)
+            one, many = ({c: v[keep] for c, v in side.items()} for keep in (asks, ~asks))
+            left, right = [], []
+            # A block of asking texts at a time, so that a frequent key needs no more memory.
+            for at in range(0, len(one["node"]), MEETING_BLOCK):
+                some = {c: v[at : at + MEETING_BLOCK] for c, v in one.items()}
+                for to in range(0, len(many["node"]), 8 * MEETING_BLOCK):
+                    other = {c: v[to : to + 8 * MEETING_BLOCK] for c, v in many.items()}
+                    x, y = _within_bounds(some, other, g == 0, threshold)
+                    left.append(some["node"][x])
+                    right.append(other["node"][y])
+            return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=object),) * 2
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("g", "band")])
+            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            sizes = np.diff(np.append(starts, table.num_rows))
+            found = [solve(table.slice(int(a), int(n)), int(keys[0, a])) for a, n in zip(starts, sizes) if n > 1]
+            x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=object)
+            y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=object)
+            swap = x > y
+            a, b = np.where(swap, y, x), np.where(swap, x, y)
+            kind = table.schema.field("node").type
+            out = pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)}).group_by(["a", "b"]).aggregate([]).select(["a", "b"])
+            return out.combine_chunks().to_batches()[0] if out.num_rows else pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], kind)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            table = pa.concat_tables(held)
+            # The last key may go on in the next batch.
+            last = [table.column(c)[-1].as_py() for c in ("g", "band")]
+            same = (table.column("g").to_numpy() == last[0]) & (table.column("band").to_numpy() == last[1])
+            cut = int(np.argmax(same))
+            held = [table.slice(cut)]
+            if cut:
+                yield pairs(table.slice(0, cut))
+        if held:
+            yield pairs(pa.concat_tables(held))
+
+    return run
+
+
 def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     """All pairs ``a < b`` of distinct texts (``node, text``) with token-sort ratio >= threshold.
 
@@ -76,8 +152,9 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     further lookup drop most pairs: their lengths, the grams left after the
     meeting point, and the grams whose bit the other text does not have.  The
     shorter of two texts owes more, so its side of the join holds fewer of its
-    grams.  Texts too short to owe a shared gram are indexed under a blank gram as well.
-    Survivors are scored exactly.
+    grams.  The bounds are taken where the texts meet, as arrays, so only pairs that pass leave
+    a task.  Texts too short to owe a shared gram are indexed under a blank gram as well.
+    Survivors are scored exactly, unless their letter counts alone differ by too much.
     """
     # At or below two thirds no shared gram is owed: all pairs would have to be scored.
     if not 200.0 / 3 < threshold <= 100.0:
@@ -111,35 +188,19 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
         .fillna(0, marks)
         .withColumn("band", F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / (math.log(reach) + 1e-6)).cast("int"))
     )
-    end = lambda side, keep=F.lit(True): indexed.filter(keep).select(
-        "g", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "len", "place", *marks)]
-    )
     # The longer text lies in the shorter one's band or in the next; of equal lengths the smaller node leads.
-    nearby = F.explode(F.array(F.col("band"), F.col("band") + 1))
-    shorter = end("a", F.col("leads")).withColumn("band", nearby)
-    met = shorter.join(end("b"), ["g", "band"])
-    total = F.col("len_a") + F.col("len_b")
-    due = _shared_grams(total, threshold)
-    grams_of = lambda side: F.greatest(F.col(f"len_{side}") - 1, F.lit(0))
-    after = lambda side: grams_of(side) - F.col(f"place_{side}")
-    unmatched = lambda x, y: sum(
-        (F.bit_count(F.col(f"{m}_{x}").bitwiseAND(F.bitwise_not(f"{m}_{y}"))) for m in marks), F.lit(0)
-    )
-    candidates = (
-        met.filter("len_a < len_b OR (len_a = len_b AND node_a < node_b)")
-        .filter(F.least("len_a", "len_b") * 200.0 >= total * threshold)
-        .filter((F.col("g") == 0) | (1 + F.least(after("a"), after("b")) >= due))
-        .filter(grams_of("a") - unmatched("a", "b") >= due)
-        .filter(grams_of("b") - unmatched("b", "a") >= due)
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .distinct()
-    )
+    place = ["node", "len", "place", F.array(*marks).alias("marks")]
+    asking = indexed.filter("leads").select("g", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.lit(True).alias("asks"), *place)
+    held = indexed.select("g", "band", F.lit(False).alias("asks"), *place)
+    kind = nodes.schema["node"].dataType.simpleString()
+    meeting = asking.unionByName(held).repartition("g", "band").sortWithinPartitions("g", "band")
+    candidates = meeting.mapInArrow(_meetings(threshold), f"a {kind}, b {kind}").distinct()
     text = lambda side: nodes.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
     return (
         candidates.join(text("a"), "a")
         .join(text("b"), "b")
-        .withColumn("ratio", indel_ratio("text_a", "text_b"))
-        .filter(F.col("ratio") >= threshold)
+        .withColumn("ratio", indel_ratio_from(threshold)("text_a", "text_b"))
+        .filter(~F.isnan("ratio") & (F.col("ratio") >= threshold))
         .select("a", "b", "ratio")
     )
 
@@ -151,17 +212,29 @@ def header_near_dups(headers: DataFrame, threshold: float = 90.0) -> DataFrame:
     return similar_pairs(nodes, threshold)
 
 
-def lead_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Greedy leaders of a graph in node order: ``node, leader``.
+def _walk(edges: pd.DataFrame) -> pd.DataFrame:
+    """The greedy walk over one component's edges ``a < b``, in node order."""
+    later: dict = {}
+    for a, b in zip(edges["a"], edges["b"]):
+        later.setdefault(a, []).append(b)
+    led: dict = {}
+    for node in sorted(set(edges["a"]) | set(edges["b"])):
+        if node not in led:
+            led[node] = node
+            for other in later.get(node, ()):
+                led.setdefault(other, node)
+    return pd.DataFrame({"node": list(led), "leader": list(led.values())})
 
-    A walk in node order makes each unclaimed node a leader that claims all its
-    later neighbours.  The same outcome by rounds: a node is a leader once all
-    its smaller neighbours are members, and a member once a smaller neighbour is
-    a leader.  Each member goes to its smallest adjacent leader.
+
+def _lead_by_rounds(edges: DataFrame) -> DataFrame:
+    """Greedy leaders of the nodes of ``edges``, all of which have neighbours: ``node, leader``.
+
+    A node is a leader once all its smaller neighbours are members, and a member once a smaller
+    neighbour is a leader.  Each member goes to its smallest adjacent leader.
     """
     down = edges.select(F.col("a").alias("smaller"), F.col("b").alias("node"))
-    lonely = nodes.join(down, "node", "left_anti").select("node", F.lit(True).alias("leads"))
-    decided = cut_lineage(lonely)
+    decided = edges.select(F.col("a").alias("node")).join(down, "node", "left_anti").distinct()
+    decided = cut_lineage(decided.select("node", F.lit(True).alias("leads")))
     open_edges = cut_lineage(down)
     # The smallest open node is decided in every round, so the loop ends.
     while not open_edges.isEmpty():
@@ -186,6 +259,31 @@ def lead_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def lead_nodes(nodes: DataFrame, edges: DataFrame, walk_edges: int = WALK_EDGES) -> DataFrame:
+    """Greedy leaders of a graph in node order: ``node, leader``.
+
+    A walk in node order makes each unclaimed node a leader that claims all its later neighbours.
+    What a node becomes depends on its connected component alone, so each component of up to
+    ``walk_edges`` edges is walked in one task, whatever the length of its chains.  Larger
+    components, which no single task should hold, are decided by rounds of joins.
+    """
+    edges = cut_lineage(edges.select("a", "b"))
+    kind = edges.schema["a"].dataType.simpleString()
+    everyone = lambda led: nodes.select("node").join(led, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
+    if edges.count() <= walk_edges:
+        # All components together are no more than one may be.
+        return everyone(edges.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_walk, f"node {kind}, leader {kind}"))
+    labels = cut_lineage(connected_labels(edges)).select(F.col("node").alias("a"), F.col("label").alias("part"))
+    sizes = labels.join(edges, "a").groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    large = cut_lineage(sizes.filter(F.col("size") > walk_edges).select("part"))
+    placed = edges.join(labels, "a")
+    small = placed.join(large, "part", "left_anti")
+    led = small.groupBy("part").applyInPandas(_walk, f"node {kind}, leader {kind}")
+    if not large.isEmpty():
+        led = led.unionByName(_lead_by_rounds(placed.join(large, "part", "left_semi").select("a", "b")))
+    return everyone(led)
+
+
 def cluster_tables(headers: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Leader of every table: ``table_id, leader_id``."""
     groups = cut_lineage(header_groups(headers))

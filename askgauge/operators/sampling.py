@@ -80,7 +80,8 @@ def sample_sets(
         pairs = F.transform(every, drawn)
         if cut is not None:
             pairs = F.filter(pairs, lambda p: F.substring(p["_h"], 1, 12) < cut)
-        tries = records.select(F.inline(pairs), F.col(id_col).alias("rec_id"))
+        # Stored: the draws are read for counting, for the histogram and for the sets themselves.
+        tries = cut_lineage(records.select(F.inline(pairs), F.col(id_col).alias("rec_id")))
         if cut is None:
             break
         enough = tries.groupBy("set_id").count().filter(F.col("count") >= size).count() == num_sets

@@ -113,3 +113,27 @@ def test_evaluate_files_against_the_catalog(spark, tmp_path):
     assert summary.head()["num_samples"] == 3
     assert spark.read.json(f"{out}/samples").count() == 3
     assert spark.catalog.currentDatabase() == "default"
+
+
+def test_equal_plans_run_once(spark, tables, tmp_path):
+    texts = [
+        "SELECT k AS x FROM t WHERE k > 0 AND s = 'a'", "SELECT k AS y FROM t WHERE s = 'a' AND 0 < k", "SELECT t.k AS other FROM t WHERE (k > 0) AND (s = 'a')",
+        "SELECT k FROM t WHERE k > 2", "SELECT raise_error('no') AS a FROM t", "SELECT raise_error('no') AS b FROM t", "SELECT nothing FROM t",
+    ]
+    records = [(str(i), "one", a, b) for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1]))]
+    with A.view_runner(spark, tables) as run:
+        queries = A.workload_queries(spark.createDataFrame(records, RECORD)).orderBy("query_id").collect()
+        digests, errors = A.run_and_store(spark, iter(queries), run, str(tmp_path / "d"), batch=3)
+        by_text = {q["query_id"]: q["sql"] for q in queries}
+        stored = spark.read.parquet(*[str(p) for p in (tmp_path / "d").iterdir()])
+        assert stored.count() == 2
+        found = {by_text[r["query_id"]]: (r["n"], r["head"], r["tail"]) for r in digests.collect()}
+        assert set(found) == set(texts[:4]) and found[texts[0]] == found[texts[1]] == found[texts[2]] != found[texts[3]]
+        assert {by_text[r["query_id"]] for r in errors.collect()} == set(texts[4:])
+
+
+def test_forgotten_plans_run_again(spark):
+    folder = A.PlanFolder(held=2)
+    plan = lambda n: spark.range(n)
+    assert [folder.first(str(i), plan(n)) for i, n in enumerate([1, 2, 1, 3, 1, 3])] == [True, True, False, True, True, False]
+    assert folder.same == [("2", "0"), ("5", "3")] and len(folder.plans) == 2

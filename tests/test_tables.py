@@ -173,6 +173,59 @@ def test_leaders_on_a_long_chain(spark):
     assert got == {i: i - i % 2 for i in range(12)}
 
 
+@pytest.mark.parametrize("walk_edges", [0, 25, 200_000])
+def test_leaders_do_not_depend_on_the_size_of_components(spark, walk_edges):
+    import random
+
+    rnd = random.Random(walk_edges)
+    edges = sorted({tuple(sorted(rnd.sample(range(g, g + 25), 2))) for g in range(0, 200, 25) for _ in range(10 + g // 5)})
+    led = {}
+    for a in range(210):
+        if a not in led:
+            led[a] = a
+            for x, y in edges:
+                if x == a:
+                    led.setdefault(y, a)
+    got = D.lead_nodes(spark.range(210).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "a long, b long"), walk_edges)
+    assert {r["node"]: r["leader"] for r in got.collect()} == led
+    none = D.lead_nodes(spark.range(3).withColumnRenamed("id", "node"), spark.createDataFrame([], "a long, b long"), walk_edges)
+    assert {tuple(r) for r in none.collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("per_task", [6, 40, 250_000])
+def test_components_of_a_graph(spark, per_task):
+    import random
+
+    from askgauge.operators.components import connected_labels
+
+    rnd = random.Random(3)
+    ids = [f"n{i}" for i in range(300)]
+    edges = [tuple(rnd.sample(ids, 2)) for _ in range(110)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(40)] + [("n1", "n1")]
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+    got = [tuple(r) for r in connected_labels(spark.createDataFrame(edges, "a string, b string"), per_task).collect()]
+    assert sorted(got) == sorted((x, top(x)) for x in parent)
+
+
+def test_rare_ends_cover_so_many_values(spark):
+    df = spark.range(1000).selectExpr("'t' as table_id", "cast(id % 2 as int) as col_idx", "id as value", "cast(1 + id % 7 as bigint) as df")
+    ordered = df.withColumn("order", C.rarity_order(F.col("df"), F.col("value").cast("string")))
+    for many in (1, 10, 499, 500):
+        kept = ordered.join(C.rare_ends(ordered, F.lit(many)), ["table_id", "col_idx"]).withColumn("rare", F.col("order") <= F.col("last"))
+        got = kept.groupBy("col_idx").agg(F.count_if("rare").alias("n"), F.max(F.when(F.col("rare"), F.floor(F.log2("df")))).alias("most"), F.min(F.when(~F.col("rare"), F.floor(F.log2("df")))).alias("least")).collect()
+        for r in got:
+            assert many <= r["n"] <= many + 5 and (r["least"] is None or r["most"] <= r["least"])
+
+
 def test_join_keeps_all_columns(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     right = spark.createDataFrame([(1, "c"), (1, "d"), (None, "e")], "k int, w string")
