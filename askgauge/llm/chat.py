@@ -81,13 +81,12 @@ def _filled(schema: T.StructType, known: set[str], at: str = "", value: Column |
         if isinstance(f.dataType, T.StructType):
             found += _filled(f.dataType, known, f"{path}.", column)
         elif isinstance(f.dataType, T.ArrayType):
-            if f"{path}[]" not in known:
+            if f"{path}[]" not in known or not isinstance(f.dataType.elementType, T.StructType):
                 continue
             found.append((f"{path}[]", F.coalesce(F.size(column) > 0, F.lit(False))))
-            if isinstance(f.dataType.elementType, T.StructType):
-                for g in f.dataType.elementType.fields:
-                    if f"{path}[].{g.name}" in known:
-                        found.append((f"{path}[].{g.name}", _some_item_has(column, g.name)))
+            for g in f.dataType.elementType.fields:
+                if f"{path}[].{g.name}" in known:
+                    found.append((f"{path}[].{g.name}", _some_item_has(column, g.name)))
         elif path in known:
             found.append((path, column.isNotNull()))
     return found
@@ -129,10 +128,12 @@ def _turns_of(df: DataFrame, layout: Layout) -> Column:
     groups = []
     for turn in layout.turns:
         if turn.each:
-            if turn.each not in df.columns:
+            kind = df.schema[turn.each].dataType if turn.each in df.columns else None
+            if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)):
+                # No such column, or one of that name that holds no turns.
                 groups.append(F.array().cast(_STEP))
                 continue
-            items = F.transform(F.col(f"`{turn.each}`"), _item_turn(turn, df.schema[turn.each].dataType.elementType.names))
+            items = F.transform(F.col(f"`{turn.each}`"), _item_turn(turn, kind.elementType.names))
             groups.append(F.coalesce(items, F.array().cast(_STEP)).cast(_STEP))
             continue
         texts = [F.col(p).cast("string") for p in turn.text if _has(df.schema, p)]
@@ -183,7 +184,8 @@ def format_chats(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, loss_role
     Adds to ``canonical_turns`` the column ``segments``: array of (piece, loss). The pieces joined are the
     formatted sample, ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn with control strings inside texts and
     roles escaped reversibly; ``loss`` marks the pieces that are trained on, the escaped texts of
-    ``loss_roles`` and nothing else. Records without a layout have null segments; records without turns
+    ``loss_roles`` and nothing else. An existing column ``segments`` is replaced, other columns stay; a column that has
+    the name of a layout's list but holds no list of structs is no part of a layout. Records without a layout have null segments; records without turns
     an empty array. A sample is one row, so it must fit into one row's memory.
     """
 

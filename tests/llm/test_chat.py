@@ -56,3 +56,9 @@ def test_ties_nulls_and_empty(spark):
 def test_no_python_in_the_plan(spark, folder):
     plan = chat.op1_chat_format(spark, folder)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_that_only_share_a_name_with_a_list_of_turns(spark):
+    kind = "k int, prompt string, completion string, messages string, conversations array<string>, segments int"
+    row = chat.format_chats(spark.createDataFrame([(1, "p", "c", "x", ["m"], 4)], kind)).first()
+    assert [tuple(t) for t in row["turns"]] == [("user", "p"), ("assistant", "c")] and row["messages"] == "x" and len(row["segments"]) == 6
