@@ -320,8 +320,9 @@ def _features(sent, around: int, passage_weight: float):
                 weight += [1.0, *[passage_weight / len(own) for _ in own]]
             whole = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"])
             found = [model.inputs(buf, offsets) for _, _, buf, offsets in text_blocks(whole, "text")]
-            values = np.concatenate(found).tolist() if found else []
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array(values, pa.list_(pa.float64()))], names=["toxic", "weight", "inputs"])
+            # Packed: the driver holds all rows of the sample.
+            values = [x.astype("<f8").tobytes() for part in found for x in part]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array(values, pa.binary())], names=["toxic", "weight", "inputs"])
 
     return run
 
@@ -399,9 +400,9 @@ def fit_toxicity(
     if marks is None:
         return model
     sent = docs.sparkSession.sparkContext.broadcast(model.packed())
-    rows = sample.select("toxic", "text").mapInArrow(_features(sent, around, passage_weight), "toxic int, weight double, inputs array<double>").collect()
+    rows = sample.select("toxic", "text").mapInArrow(_features(sent, around, passage_weight), "toxic int, weight double, inputs binary").collect()
     y = np.array([r["toxic"] for r in rows], dtype=float)
-    x = design(np.array([r["inputs"] for r in rows]))
+    x = design(np.frombuffer(b"".join(r["inputs"] for r in rows), dtype="<f8").reshape(len(rows), -1))
     model.document = logistic(x, y, np.array([r["weight"] for r in rows]) * np.where(y == 1, toxic_weight, 1.0), ridge=0.1)
     return model
 
