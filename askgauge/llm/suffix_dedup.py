@@ -32,6 +32,11 @@ CHUNK = 150_000
 HEAVY = 300_000
 #: log2 of the bits of the bitmap of such anchors.
 _HEAVY_BITS = 23
+#: Anchor hashes that a task gathers before it sends them, each once.
+HELD = 1_000_000
+#: Bits of an anchor's hash that move; those above only choose the partition. Hashes that agree in both by chance let more through.
+_MOVED_BITS = np.uint64(40)
+_MOVED = np.uint64((1 << 40) - 1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 #: Stands for a null id: after all others.
 _LAST_ID = (1 << 63) - 1
@@ -91,25 +96,70 @@ def _blocks(batch: pa.RecordBatch, reps: np.ndarray, mask: int) -> Iterator[tupl
         yield buf, offsets, ids[first:end], tags[first:end]
 
 
-def _anchor_hashes(sent, bits_log2: int, width: int):
-    """Anchor hashes, each once per block of documents, twice when two documents of the block have it, and their windows there."""
+def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: int) -> pa.RecordBatch:
+    """Hashes with their windows and whether two documents have them, as one row per group of hashes.
+
+    An entry takes six bytes, which lie in planes: the low 40 bits of the hash, highest byte first, and up to 255 windows.
+    The bits above choose the group. A hash of two documents takes two entries, one of many windows as many as it needs.
+    """
+    h, windows, shared = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h)
+    h, windows, shared = h[order], windows[order], shared[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    if not len(at):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["group", "packed"])
+    twice = np.logical_or.reduceat(shared, at) | (np.diff(np.append(at, len(h))) > 1)
+    h, windows = h[at], np.add.reduceat(windows, at)
+    entries = np.maximum(-(-windows // 255), 1 + twice)
+    which = np.repeat(np.arange(len(h)), entries)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(entries) - entries, entries)
+    group = ((h >> _MOVED_BITS) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((h & _MOVED, group))
+    place = np.argsort(order)
+    order = np.argsort(place[which], kind="stable")
+    which, nth = which[order], nth[order]
+    planes = h[which].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4::-1]
+    counts = np.clip(windows[which] - 255 * nth, 0, 255).astype(np.uint8)
+    planes = np.column_stack([planes, counts])
+    group = group[which]
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    rows = [planes[a:b].T.tobytes() for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(group[cut]), pa.array(rows, pa.binary())], names=["group", "packed"])
+
+
+def _unpacked(group: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, windows) of a row of ``_packed``; the group stands above the 40 bits."""
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(6, -1)
+    words = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    words[:, :5] = planes[4::-1].T
+    return words.view("<u8").ravel().astype(np.int64) | (group << int(_MOVED_BITS)), planes[5]
+
+
+def _anchor_hashes(sent, bits_log2: int, width: int, groups: int):
+    """Anchor hashes with the number of their windows, each once per stretch of some million anchors, twice when two documents of it have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << bits_log2) - 1
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for buf, offsets, ids, _ in _blocks(batch, reps, mask):
                 first, last, _, hashes = anchor_runs(buf, offsets, width)
+                if not len(first):
+                    continue
                 doc = ids[np.searchsorted(offsets, first, side="right") - 1]
                 order = np.lexsort((doc, hashes))
                 h, doc = hashes[order], doc[order]
-                new = np.append(True, h[1:] != h[:-1])[: len(h)]
-                other = ~new & np.append(False, doc[1:] != doc[:-1])[: len(h)]
+                new = np.append(True, h[1:] != h[:-1])
+                other = ~new & np.append(False, doc[1:] != doc[:-1])
                 at = np.flatnonzero(new)
-                twice = np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, dtype=bool)
-                own = np.concatenate([h[at], h[at][twice]])
-                windows = np.add.reduceat((last - first + 1)[order], at) if len(at) else at
-                windows = np.concatenate([windows, np.zeros(len(own) - len(at), dtype=np.int64)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(windows)], names=["h", "windows"])
+                held.append((h[at], np.add.reduceat((last - first + 1)[order], at), np.logical_or.reduceat(other, at)))
+                size += len(at)
+                if size >= HELD:
+                    yield _packed(held, groups)
+                    held, size = [], 0
+        if held:
+            yield _packed(held, groups)
 
     return run
 
@@ -118,7 +168,7 @@ def _repeated(heavy: int):
     """Of a partition's hashes those that it holds more than once (kind 0) and those of more than so many windows (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        own = [_unpacked(g, x) for batch in batches for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         if not own:
             return
         h, windows = (np.concatenate(x) for x in zip(*own, strict=True))
@@ -431,7 +481,8 @@ def suffix_runs(docs: DataFrame, width: int = WIDTH, bits_log2: int = 26, key: s
     parts = max(8, int(total / 16 / 1_000_000) + 1)
     reps = send(bit_filter(first, "name", bits_log2))
     texts = rows.withColumn("name", F.xxhash64("id", "tag"))
-    hashes = texts.mapInArrow(_anchor_hashes(reps, bits_log2, width), "h long, windows int").repartition(parts, "h").mapInArrow(_repeated(heavy), "h long, kind int")
+    packed = texts.mapInArrow(_anchor_hashes(reps, bits_log2, width, parts), "group int, packed binary")
+    hashes = packed.repartitionById(parts, "group").mapInArrow(_repeated(heavy), "h long, kind int")
     twice, many = bit_filters(hashes, "h", "kind", [bits_log2 + 1, _HEAVY_BITS])
     found = send(many) if any(many) else None
     runs = texts.mapInArrow(_contexts(reps, bits_log2, send(twice), bits_log2 + 1, width, found), _RUN_SCHEMA)

@@ -109,6 +109,34 @@ def test_no_anchor_is_gathered_beyond_the_bound(spark):
         assert counted(suffix_dedup.remove_repeats(docs, heavy=heavy).collect()) == want
 
 
+def test_packed_hashes_unpack():
+    """Every hash comes back with its windows; one of two documents or blocks more than once."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    held = []
+    for _ in range(3):
+        h = np.unique(rng.choice(pool, 150))
+        held.append((h, rng.integers(1, 900, len(h)), rng.random(len(h)) < 0.2))
+    want, several = Counter(), Counter()
+    for h, windows, shared in held:
+        for x, w, s in zip(h.tolist(), windows.tolist(), shared.tolist(), strict=True):
+            key = (x >> 40) % 7 << 40 | x & (1 << 40) - 1
+            want[key] += w
+            several[key] += 1 + s
+    got, entries = Counter(), Counter()
+    packed = suffix_dedup._packed(held, 7)
+    assert packed.column(0).to_pylist() == list(range(7))
+    for group, raw in zip(packed.column(0).to_pylist(), packed.column(1).to_pylist(), strict=True):
+        keys, windows = suffix_dedup._unpacked(group, raw)
+        entries.update(keys.tolist())
+        for x, w in zip(keys.tolist(), windows.tolist(), strict=True):
+            got[x] += w
+    assert got == want
+    assert all(entries[x] == max(-(-w // 255), min(several[x], 2)) for x, w in want.items())
+    nothing = np.zeros(0, dtype=np.uint64)
+    assert suffix_dedup._packed([(nothing, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))], 7).num_rows == 0
+
+
 def test_token_files_round_trip(spark):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
