@@ -104,6 +104,16 @@ PREDICATE_PATTERNS = {
     "Or": r"(?i)\bOR\b",
 }
 
+# Signs and words after which a double-quoted text is a value.
+COMPARISONS = ["=", "==", "<>", "!=", "<", "<=", ">", ">=", "LIKE"]
+# Words of a query that name nothing.
+SQL_WORDS = [
+    "SELECT", "DISTINCT", "ALL", "FROM", "WHERE", "GROUP", "BY", "HAVING", "ORDER", "LIMIT", "OFFSET",
+    "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "OUTER", "CROSS", "NATURAL", "ON", "USING", "AS", "WITH", "RECURSIVE",
+    "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "ESCAPE", "BETWEEN", "EXISTS", "TRUE", "FALSE",
+    "CASE", "WHEN", "THEN", "ELSE", "END", "ASC", "DESC", "UNION", "INTERSECT", "EXCEPT", "OVER", "PARTITION",
+]
+
 # Function words that tell four languages apart.
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "as", "was",

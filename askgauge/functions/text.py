@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from askgauge.functions.fixed_values import (
     AGGREGATE_NAMES,
+    COMPARISONS,
     DISTRACTORS,
     PREDICATE_PATTERNS,
     QUESTION_STYLES,
     SQL_START_WORDS,
+    SQL_WORDS,
     STOP_WORDS,
 )
 
@@ -25,8 +27,8 @@ COMMENT = r"--[^\n]*+|/\*(?s:.*?)\*/"
 QUERY_PARTS = rf"{QUOTED}|{COMMENT}|(?:(?!--|/\*)[^'\"`])++|['\"`]|/\*"
 # A backslash before a quote ends the quoted text in some dialects and not in others.
 ESCAPED_QUOTE = r"""\\['"`]"""
-NAME_AFTER_SOURCE = r"""(?i)\b(?:FROM|JOIN)\s+[`"]?([A-Za-z_][A-Za-z_0-9]*)"""
-QUOTED_NAME = r"""[`"]([^`"]+)[`"]"""
+# A query as comments, quoted texts, words, numbers, comparisons and single signs.
+SQL_TOKEN = rf"{QUOTED}|{COMMENT}|[A-Za-z_][A-Za-z_0-9]*+|[0-9][0-9.]*+|<>|!=|<=|>=|==|\S"
 
 
 def strip(col: Column) -> Column:
@@ -167,29 +169,86 @@ def chat_prompt(system: str, prompt: Column) -> Column:
     return F.concat(F.lit(f"System: {system}\nUser: "), prompt, F.lit("\nAssistant:"))
 
 
+def sql_tokens(col: Column) -> Column:
+    """Tokens of a query text without its comments, as ``array<string>``."""
+    tokens = F.regexp_extract_all(or_blank(col), F.lit(SQL_TOKEN), F.lit(0))
+    return F.filter(tokens, lambda t: ~(t.startswith("--") | t.startswith("/*")))
+
+
+def _named(tokens: Column) -> Column:
+    """Names among the tokens, as ``array<struct<name, table, quoted, column>>``.
+
+    ``table``: after FROM or JOIN, the last part of a dotted name.  ``quoted``: in double quotes or backticks.
+    ``column``: neither a table, a qualifier, a function nor an alias.  A double-quoted text right after a
+    comparison, LIKE or ``IN (`` that no dot follows is a value and no name.
+    """
+
+    def entry(token: Column, i: Column) -> Column:
+        back = lambda n: F.coalesce(F.upper(F.get(tokens, i - n)), F.lit(""))
+        following = F.coalesce(F.get(tokens, i + 1), F.lit(""))
+        quote = F.substring(token, 1, 1).isin('"', "`")
+        value = token.startswith('"') & (following != ".") & (back(1).isin(COMPARISONS) | ((back(1) == "(") & (back(2) == "IN")))
+        word = token.rlike("^[A-Za-z_]") & ~F.upper(token).isin(SQL_WORDS)
+        name = F.lower(F.when(quote, F.substr(token, F.lit(2), F.length(token) - 2)).otherwise(token))
+        source = back(1).isin("FROM", "JOIN") | ((back(1) == ".") & back(3).isin("FROM", "JOIN"))
+        table = source & (following != ".")
+        # A name right after a name, a literal or a closing bracket is an alias.
+        alias = back(1).isin("AS", "WITH") | (back(1).rlike(r"^[A-Z_0-9\"'`)]") & ~back(1).isin(SQL_WORDS))
+        column = ~source & ~alias & ~following.isin("(", ".")
+        return F.when(
+            (word | (quote & ~value)) & (name != ""),
+            F.struct(name.alias("name"), table.alias("table"), quote.alias("quoted"), column.alias("column")),
+        )
+
+    return F.filter(F.transform(tokens, entry), lambda e: e.isNotNull())
+
+
 def sql_features(col: Column) -> Column:
     """Tables, quoted columns, aggregates and predicate forms of a query text, each once,
-    as ``array<struct<kind, name>>``."""
+    as ``array<struct<kind, name>>``.  Comments and quoted texts hold none of them."""
     calls = rf"(?i)\b({'|'.join(AGGREGATE_NAMES)})\s*\("
 
     def tag(kind: str, names: Column) -> Column:
         return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
-    def features(body: Column) -> Column:
-        grab = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
-        tables = F.transform(grab(NAME_AFTER_SOURCE), F.lower)
+    def features(parts: Column) -> Column:
+        body, named = parts["body"], parts["named"]
+        listed = lambda keep: F.transform(F.filter(named, keep), lambda e: e["name"])
+        tables = listed(lambda e: e["table"])
         forms = [F.when(body.rlike(p), F.lit(name)) for name, p in PREDICATE_PATTERNS.items()]
         found = F.concat(
             tag("table", tables),
-            tag("column", F.array_except(F.transform(grab(QUOTED_NAME), F.lower), tables)),
-            tag("aggregate", F.transform(grab(calls), F.upper)),
+            tag("column", F.array_except(listed(lambda e: e["quoted"]), tables)),
+            tag("aggregate", F.transform(F.regexp_extract_all(body, F.lit(calls), F.lit(1)), F.upper)),
             tag("predicate", F.filter(F.array(*forms), lambda n: n.isNotNull())),
         )
         return F.array_distinct(found)
 
-    # Quoted texts are blanked once; the one-element array binds the result to a name.
-    outside = F.regexp_replace(or_blank(col), r"'(?:[^']|'')*'", "''")
-    return F.get(F.transform(F.array(outside), features), F.lit(0))
+    def split(tokens: Column) -> Column:
+        bare = F.transform(tokens, lambda t: F.when(F.substring(t, 1, 1).isin("'", '"', "`"), "''").otherwise(t))
+        return F.struct(F.array_join(bare, " ").alias("body"), _named(tokens).alias("named"))
+
+    # One-element arrays bind the tokens and their parts to names.
+    return F.get(F.transform(F.transform(F.array(sql_tokens(col)), split), features), F.lit(0))
+
+
+def sql_columns(col: Column) -> Column:
+    """Columns of a query text, quoted or not, each once, in lower case and without their qualifiers.
+
+    Names after a comma behind FROM count as columns: nothing tells them apart without the schema.
+    """
+    named = F.get(F.transform(F.array(sql_tokens(col)), _named), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(named, lambda e: e["column"]), lambda e: e["name"]))
+
+
+def column_uses(queries: DataFrame, sql_col: str = "sql") -> DataFrame:
+    """How many queries of a log use each column."""
+    return (
+        queries.select(F.explode_outer(sql_columns(F.col(sql_col))).alias("name"))
+        .filter("name is not null")
+        .groupBy("name")
+        .agg(F.count(F.lit(1)).alias("queries"))
+    )
 
 
 def feature_counts(queries: DataFrame, sql_col: str = "sql") -> DataFrame:

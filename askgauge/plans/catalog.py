@@ -281,6 +281,11 @@ def sql_components(spark, d):
     return texts.feature_counts(inputs.query_log(spark, d))
 
 
+@register("sql_columns")
+def sql_columns(spark, d):
+    return texts.column_uses(inputs.query_log(spark, d))
+
+
 @register("extract_sql")
 def extract_sql(spark, d):
     answers = inputs.model_answers(spark, d)

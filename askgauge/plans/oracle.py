@@ -7,6 +7,7 @@ import re
 from askgauge.functions.fixed_values import (
     AGGREGATE_NAMES,
     CHAT_SYSTEM,
+    COMPARISONS,
     DISTRACTORS,
     PREDICATE_PATTERNS,
     QUESTION_PROMPT,
@@ -14,9 +15,9 @@ from askgauge.functions.fixed_values import (
     REWRITE_PROMPTS,
     RICHNESS_PROMPT,
     SQL_START_WORDS,
+    SQL_WORDS,
     STOP_WORDS,
 )
-from askgauge.functions.text import NAME_AFTER_SOURCE, QUOTED_NAME
 from askgauge.functions.vectors import unit_directions
 from askgauge.plans.inputs import QUERY_PAIRS
 
@@ -187,16 +188,31 @@ def _predicates() -> str:
     )
 
 
-ORACLE["sql_components"] = rf"""WITH {LOG},
-o AS (SELECT event_id, regexp_replace(sql, '''(?:[^'']|'''')*''', '''''', 'g') AS s FROM lg),
-t AS (SELECT DISTINCT event_id, lower(unnest(regexp_extract_all(s, {lit(NAME_AFTER_SOURCE)}, 1))) AS name FROM o),
-q AS (SELECT DISTINCT event_id, lower(unnest(regexp_extract_all(s, {lit(QUOTED_NAME)}, 1))) AS name FROM o),
+_SQL_TOKEN = r"""'[^']*(?:''[^']*)*'|"[^"]*(?:""[^"]*)*"|`[^`]*`|--[^\n]*|/\*[^*]*\*/|[A-Za-z_][A-Za-z_0-9]*|[0-9][0-9.]*|<>|!=|<=|>=|==|\S"""
+_IN = lambda words: "(" + ", ".join(lit(w) for w in words) + ")"
+# Tokens (x) with those around them (p, p2, p3 before, y behind) and the names among them.
+TOKENS = rf"""tk AS (SELECT event_id, list_filter(regexp_extract_all(sql, {lit(_SQL_TOKEN)}), lambda z: z[1:2] NOT IN ('--', '/*')) AS t FROM lg),
+w AS (SELECT event_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM tk),
+n AS (SELECT *, coalesce(upper(lag(x) OVER o), '') AS p, coalesce(upper(lag(x, 2) OVER o), '') AS p2, coalesce(upper(lag(x, 3) OVER o), '') AS p3,
+  coalesce(lead(x) OVER o, '') AS y FROM w WINDOW o AS (PARTITION BY event_id ORDER BY i)),
+m AS (SELECT *, x[1] IN ('"', '`') AS quoted, p IN ('FROM', 'JOIN') OR (p = '.' AND p3 IN ('FROM', 'JOIN')) AS source,
+  lower(CASE WHEN x[1] IN ('"', '`') THEN substr(x, 2, length(x) - 2) ELSE x END) AS name FROM n
+  WHERE (regexp_matches(x, '^[A-Za-z_]') AND upper(x) NOT IN {_IN(SQL_WORDS)}) OR x[1] = '`'
+    OR (x[1] = '"' AND (y = '.' OR NOT (p IN {_IN(COMPARISONS)} OR (p = '(' AND p2 = 'IN')))))"""
+ORACLE["sql_components"] = rf"""WITH {LOG}, {TOKENS},
+o AS (SELECT event_id, string_agg(CASE WHEN x[1] IN ('''', '"', '`') THEN '''''' ELSE x END, ' ' ORDER BY i) AS s FROM w GROUP BY event_id),
+t AS (SELECT DISTINCT event_id, name FROM m WHERE source AND y <> '.'),
+q AS (SELECT DISTINCT event_id, name FROM m WHERE quoted),
 a AS (SELECT DISTINCT event_id, upper(unnest(regexp_extract_all(s, '(?i)\b({"|".join(AGGREGATE_NAMES)})\s*\(', 1))) AS name FROM o),
 f AS (SELECT event_id, 'table' AS kind, name FROM t
   UNION ALL SELECT event_id, 'column', name FROM (SELECT * FROM q EXCEPT SELECT * FROM t)
   UNION ALL SELECT event_id, 'aggregate', name FROM a
   UNION ALL {_predicates()})
-SELECT kind, name, count(*) AS queries FROM f GROUP BY kind, name"""
+SELECT kind, name, count(*) AS queries FROM f GROUP BY kind, name""".replace(r"\'", "'")
+ORACLE["sql_columns"] = rf"""WITH {LOG}, {TOKENS}
+SELECT name, count(DISTINCT event_id) AS queries FROM m
+WHERE NOT source AND y NOT IN ('(', '.') AND p NOT IN ('AS', 'WITH')
+  AND NOT (regexp_matches(p, {lit("""^[A-Z_0-9"'`)]""")}) AND p NOT IN {_IN(SQL_WORDS)}) GROUP BY name"""
 ORACLE["align_gold_pred"] = """WITH t AS (SELECT *, 'db' || (conv_id % 7) AS db_id FROM conversations)
 SELECT g.conv_id || ':' || g.turn AS id, g.db_id, g.text AS gold_sql, coalesce(p.text, '') AS pred_sql
 FROM t g LEFT JOIN t p ON p.role = 'assistant' AND p.conv_id = g.conv_id AND p.turn = g.turn + 1

@@ -106,6 +106,30 @@ def test_sql_features(spark):
     }
 
 
+def test_sql_features_ignore_comments_and_values(spark):
+    sql = 'SELECT "a" FROM main."My T" -- x LIKE y\nWHERE note = "b LIKE c OR d >= 1" /* COUNT(z) */ AND k IN ("v") AND "u"."w" < 2'
+    found = {(f["kind"], f["name"]) for f in one(spark, sql, X.sql_features)}
+    assert found == {
+        ("table", "my t"), ("column", "a"), ("column", "u"), ("column", "w"),
+        ("predicate", "EQ"), ("predicate", "In"), ("predicate", "LT"),
+    }
+    assert one(spark, None, X.sql_features) == [] and one(spark, "--", X.sql_features) == []
+
+
+@pytest.mark.parametrize(
+    "sql, columns",
+    [
+        ("SELECT o.a, COUNT(b) n, MAX(c) AS d FROM t o JOIN s.u AS v ON o.k = v.`K 2` WHERE e > 'f' -- g", {"a", "b", "c", "k", "k 2", "e"}),
+        ("select distinct x from (select y z from t) q where w between 1 and 2 order by x desc", {"x", "y", "w"}),
+        ("", set()),
+        (None, set()),
+        ('SELECT "', set()),
+    ],
+)
+def test_sql_columns(spark, sql, columns):
+    assert set(one(spark, sql, X.sql_columns)) == columns
+
+
 @pytest.mark.parametrize(
     "text, lang",
     [("the house is on the hill", "en"), ("das ist nicht die Welt", "de"), ("zzz", None), (None, None), ("le chat et la souris", "fr")],
