@@ -40,13 +40,18 @@ def read_json_array(
     schema: str = RECORD_SCHEMA,
     limit: int | None = None,
 ) -> DataFrame:
-    """Objects of a top-level JSON array in file order; malformed input raises.
+    """Objects of a top-level JSON array; malformed input raises.
 
+    ``limit`` keeps the first objects: files in the order of their paths, then by place in the file.
     A single array file cannot be split, so convert a large one once with
     :func:`array_to_lines` and read that.
     """
     parsed = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return parsed.limit(limit) if limit is not None else parsed
+    if limit is None:
+        return parsed
+    # A file is read by one task, so these numbers rise along it.
+    placed = parsed.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
+    return placed.orderBy("_file", "_place").limit(limit).drop("_file", "_place")
 
 
 def array_to_lines(spark: SparkSession, path: str, out: str, schema: str = RECORD_SCHEMA) -> None:

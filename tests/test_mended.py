@@ -124,3 +124,12 @@ def test_wide_directions_match_numpy(spark):
         own = np.array([v for key, v in rows if key == k] + base)
         want = np.linalg.svd(own - own.mean(0), full_matrices=False)[2][:3]
         assert np.allclose(np.abs((got[k] * want).sum(axis=1)), 1, atol=1e-3)
+
+
+def test_json_array_limit_keeps_the_first_objects(spark, tmp_path):
+    for name, start, n in (("a", 0, 3), ("b", 3, 400), ("c", 403, 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"id": str(start + i)} for i in range(n)]))
+    for limit in (0, 2, 5, 404):
+        got = records.read_json_array(spark, str(tmp_path), limit=limit).collect()
+        assert [int(r["id"]) for r in got] == list(range(limit))
+    assert records.read_json_array(spark, str(tmp_path)).count() == 405
