@@ -439,6 +439,8 @@ SELECT table_id, row_idx::BIGINT AS row_idx, col_idx::INTEGER AS col_idx, col_na
   CASE row_idx WHEN 0 THEN col_name WHEN 1 THEN translate(col_name, 'aeiou', 'AEIOU') ELSE CASE WHEN col_idx < 2 THEN col_name END END AS value
 FROM c, (VALUES (0), (1), (2)) r(row_idx)"""
 ORACLE["read_json_array"] = "SELECT conv_id || ':' || turn AS id, text AS question FROM conversations WHERE role = 'user'"
+ORACLE["csv_line_breaks"] = """WITH t AS (SELECT doc_id, '<' || replace(replace(coalesce(text, ''), chr(13), ''), ' ', chr(10)) || '>' AS text FROM documents)
+SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM t"""
 ORACLE["discover_csv_files"] = """SELECT table_name, true AS distinct_paths, true AS all_csv FROM (
   SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part) WHERE n > 0"""
 ORACLE["materialize_tables"] = """SELECT 'customer' AS table_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer

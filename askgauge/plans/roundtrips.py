@@ -121,18 +121,33 @@ def _csv_folder(spark, d):
     return root
 
 
+ARRAY_CONVERSATIONS = 1000
+
+
 @register("read_json_array")
 def read_json_array(spark, d):
-    """User turns written as one array per conversation file, read back with the array reader."""
+    """User turns written as arrays of a thousand conversations a file, read back with the array reader."""
     path = scratch_path(spark, "arrays")
     record = F.struct(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("question"))
     turns = inputs.table(spark, d, "conversations").filter("role = 'user'")
-    turns.groupBy("conv_id").agg(F.to_json(F.collect_list(record)).alias("value")).select("value").repartition("value").write.partitionBy().option(
-        "maxRecordsPerFile", 1
-    ).text(path)
+    arrays = turns.groupBy(F.floor(F.col("conv_id") / ARRAY_CONVERSATIONS)).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return records.read_json_array(spark, path).select("id", "question")
 
 
+@register("csv_line_breaks")
+def csv_line_breaks(spark, d):
+    """Documents written with a line break for each blank, read back from CSV blocks."""
+    root = scratch_path(spark, "breaks")
+    text = F.translate(F.coalesce("text", F.lit("")), " \r", "\n")
+    marked = F.concat(F.lit("<"), text, F.lit(">")).alias("text")
+    inputs.table(spark, d, "documents").select("doc_id", marked).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(root)
+    found, _ = tables.csv_to_cells(spark, [root], max_columns=2, multi_line=True)
+    value = lambda column: F.max(F.when(F.col("col_idx") == column, F.col("value")))
+    whole = found.groupBy("table_id", "row_idx").agg(value(0).cast("bigint").alias("doc_id"), value(1).alias("text"))
+    return whole.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @register("discover_csv_files")
 def discover_csv_files(spark, d):
     """Folders below the root and whether each holds files."""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from askgauge.functions.schema_text import SCHEMA_TYPE, record_prompt
 from askgauge.functions.text import filled, first_filled, or_blank
 from askgauge.sources.lines import dense_position, mark_position
+from askgauge.sources.scan_states import array_objects
 
 RECORD_SCHEMA = (
     "id string, db_id string, question string, text string, sql string, query string,"
@@ -42,20 +43,23 @@ def read_json_array(
 ) -> DataFrame:
     """Objects of a top-level JSON array; malformed input raises.
 
-    ``limit`` keeps the first objects: files in the order of their paths, then by place in the file.
-    A single array file cannot be split, so convert a large one once with
-    :func:`array_to_lines` and read that.
+    A large file is cut into blocks like any other: see :func:`array_objects`; objects that cross a
+    block border come after the others.  ``limit`` keeps the first objects: files in the order of
+    their paths, then by place in the file.
     """
-    parsed = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    if limit is None:
-        return parsed
-    # A file is read by one task, so these numbers rise along it.
-    placed = parsed.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
-    return placed.orderBy("_file", "_place").limit(limit).drop("_file", "_place")
+    placed = _array_records(spark, path, schema)
+    if limit is not None:
+        placed = placed.orderBy("_file", "line_no").limit(limit)
+    return placed.drop("_file", "line_no")
+
+
+def _array_records(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    record = F.from_json("text", schema, {"mode": "FAILFAST"})
+    return array_objects(spark, path).select("_file", "line_no", record.alias("r")).select("_file", "line_no", "r.*")
 
 
 def array_to_lines(spark: SparkSession, path: str, out: str, schema: str = RECORD_SCHEMA) -> None:
-    """One-time conversion of an array file to splittable Parquet."""
+    """One-time conversion of array files to Parquet."""
     read_json_array(spark, path, schema).write.mode("overwrite").parquet(out)
 
 
@@ -79,12 +83,24 @@ def read_lines_or_array(spark: SparkSession, path: str | Sequence[str], schema:
 
     Malformed input raises in either form.
     """
-    start = spark.read.text(path).filter(filled(F.col("value"))).limit(1).collect()
-    if start and start[0]["value"].lstrip("\ufeff \t\r\n").startswith("["):
+    if _holds_array(spark, path):
         return read_json_array(spark, path, schema)
     return read_records(spark, path, schema)
 
 
+def _holds_array(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    start = spark.read.option("lineSep", "\n").text(path).select(F.substring(F.regexp_replace("value", r"^[\ufeff\s]+", ""), 1, 1).alias("c"))
+    first = start.filter("c != ''").limit(1).collect()
+    return bool(first) and first[0]["c"] == "["
+
+
+def _with_positions(spark: SparkSession, path: str | Sequence[str], schema: str = RECORD_SCHEMA) -> DataFrame:
+    """The same records with ``line_no``, their number in the file from 0."""
+    if _holds_array(spark, path):
+        return _array_records(spark, path, schema)
+    return dense_position(mark_position(read_records(spark, path, schema)))
+
+
 def _check_ids(records: DataFrame, side: str) -> None:
     """Raise on a missing or repeated id: either would score records against the wrong query."""
     bad = records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("id is null or n > 1").limit(1).collect()
@@ -113,7 +129,7 @@ def load_aligned(
         _check_ids(gold, "gold")
         _check_ids(pred, "predicted")
     if by == "position":
-        gold, pred = dense_position(mark_position(gold)), dense_position(mark_position(pred))
+        gold, pred = _with_positions(spark, gold_path), _with_positions(spark, pred_path)
         key = "line_no"
     else:
         key = "id"

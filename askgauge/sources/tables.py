@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from askgauge.session import small_side
 from askgauge.sources.lines import dense_position, mark_position
+from askgauge.sources.scan_states import csv_records
 
 CELL_COLUMNS = ("table_id", "row_idx", "col_idx", "col_name", "value")
 WIKI_TABLE_SCHEMA = "id string, header array<string>, rows array<array<string>>"
@@ -47,32 +48,31 @@ def csv_to_cells(
     All files go through one scan with a schema as wide as the widest line
     (or ``max_columns``).  The first record of each file is its header.  A file
     is left out, with an error row, when a record has more fields than its
-    header or the header more than ``max_columns``; nothing is cut off.  Files
-    split into blocks unless ``multi_line`` is set for values that contain line
-    breaks.
+    header or the header more than ``max_columns``; nothing is cut off.  Set
+    ``multi_line`` for values that contain line breaks; files split into blocks
+    either way.
     """
+    options = {"header": "false", "escape": '"', "emptyValue": "", "nullValue": "\u0000", "mode": "PERMISSIVE"}
+    lines = csv_records(spark, list(paths)) if multi_line else None
     if max_columns is None:
-        commas = F.size(F.split("value", ","))
-        max_columns = spark.read.text(list(paths)).agg(F.max(commas)).head()[0] or 1
+        plain = spark.read.text(list(paths)).select("value") if lines is None else lines.select(F.col("text").alias("value"))
+        max_columns = plain.agg(F.max(F.size(F.split("value", ",")))).head()[0] or 1
     # One column more than allowed, so that a wider record shows.
     names = [f"_c{i}" for i in range(max_columns + 1)]
     wide = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    scan = (
-        spark.read.schema(wide)
-        .option("header", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
-        .option("mode", "PERMISSIVE")
-        .csv(list(paths))
-    )
     # Trailing nulls are fields the record does not have.
     last = F.array_max(F.transform("fields", lambda v, i: F.when(v.isNotNull(), i + 1).otherwise(0)))
-    packed = scan.select(F.array(*names).alias("fields"), "_metadata").select(
-        F.slice("fields", F.lit(1), last).alias("fields"), "_metadata"
-    )
-    numbered = dense_position(mark_position(packed).drop("_metadata"))
+    if lines is None:
+        scan = spark.read.schema(wide).options(**options).csv(list(paths))
+        packed = scan.select(F.array(*names).alias("fields"), "_metadata").select(
+            F.slice("fields", F.lit(1), last).alias("fields"), "_metadata"
+        )
+        numbered = dense_position(mark_position(packed).drop("_metadata"))
+    else:
+        parsed = lines.select("_file", "line_no", F.from_csv("text", ", ".join(f"{n} string" for n in names), options).alias("r"))
+        numbered = parsed.select("_file", "line_no", F.array(*[F.col("r")[n] for n in names]).alias("fields")).select(
+            "_file", "line_no", F.slice("fields", F.lit(1), last).alias("fields")
+        )
     headers = small_side(
         numbered.filter("line_no = 0").select("_file", _unique_names("fields").alias("header")), 100_000
     )
