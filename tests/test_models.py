@@ -98,3 +98,42 @@ def test_training_jobs(spark, tmp_path):
     pairs = spark.createDataFrame([(1, "a", "b", 0.6), (2, "b", "a", 0.4), (3, "a", "a", 0.9)], "pair_id int, source string, target string, metric double")
     pair_model = jobs.train_on_pairs(pairs, named, slices=4, kind="linear")
     assert "calibrated" not in pair_model.transform(rows).columns
+
+
+def murmur3(data, seed=42):
+    """The published 32-bit hash, word by word."""
+    mask, h = 0xFFFFFFFF, seed
+    turn = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+    mix = lambda k: turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (turn(h ^ mix(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & mask
+    if data[whole:]:
+        h ^= mix(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = ((h ^ (h >> shift)) * factor) & mask
+    return h
+
+
+def test_hashed_vectors_against_plain_hash(spark):
+    texts = ["select a from b", "one", "a a b", "zu x_1 ab", "", "the quick brown fox jumps over the lazy dog " * 200]
+    df = M.embed_texts(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), dim=64)
+    for row in df.collect():
+        want = np.zeros(64)
+        for word in texts[row["i"]].split():
+            signed = murmur3(word.encode())
+            want[(signed - (signed >> 31 << 32)) % 64] += 1
+        assert np.allclose(row["embedding"], want / (np.linalg.norm(want) or 1), atol=1e-6)
+
+
+def test_linear_fit_solves_the_normal_equations(spark, rows):
+    fitted = M.fit_accuracy(rows, kind="linear", calibrate=False)
+    data = np.array([[r[d] for d in DESCRIPTORS] + [r["accuracy"]] for r in rows.collect()])
+    x, y = data[:, :-1], data[:, -1]
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    # The penalty counts on inputs and a target of unit spread.
+    moments = z.T @ z / len(y) + 0.01 / y.std() * np.eye(z.shape[1])
+    weights = np.linalg.solve(moments, z.T @ (y - y.mean()) / len(y))
+    scaled = weights * x.std(axis=0, ddof=1) / x.std(axis=0)
+    assert np.allclose(fitted.stages[-1].coefficients.toArray(), scaled, rtol=1e-6)
