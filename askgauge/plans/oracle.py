@@ -395,6 +395,12 @@ wl AS (SELECT table_name, array_to_string(header, ', ') AS columns, header[1] AS
   UNION ALL SELECT *, 'nested', 'SELECT ' || a || ' FROM ' || t || ' WHERE ' || a || ' IN (SELECT ' || a || ' FROM ' || t || ' GROUP BY ' || a || ' HAVING COUNT(*) > 1)' FROM nm))"""
 ORACLE["header_hash"] = f"""WITH {HEADERS}
 SELECT table_id, sha1(array_to_string(list_transform(header, lambda x: lower(trim(x))), chr(9))) AS header_hash FROM hd"""
+ORACLE["english_tables"] = rf"""WITH {HEADERS},
+h AS (SELECT table_id, unnest(header) AS h, generate_subscripts(header, 1) AS place FROM hd),
+hw AS (SELECT table_id, place, unnest(string_split_regex(lower(regexp_replace(h, '[_\W]+', ' ', 'g')), '\s+')) AS w FROM h),
+s AS (SELECT table_id, place, {LANG_SUMS} FROM hw GROUP BY ALL)
+SELECT DISTINCT table_id FROM s WHERE greatest(en, de, fr, es) > 0 AND CASE
+  {" ".join(f"WHEN {x} = greatest(en, de, fr, es) THEN '{x}'" for x in STOP_WORDS)} END = 'en'"""
 ORACLE["sqlgen_workload"] = f"WITH {WORK} SELECT table_name, kind, sql FROM wl"
 ORACLE["dataset_ids"] = f"WITH {WORK} SELECT 'web:' || table_name || ':' || kind || ':' || md5(sql) AS id FROM wl"
 STYLES = "st(style, template) AS (VALUES " + ", ".join(
