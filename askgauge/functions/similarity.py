@@ -51,36 +51,90 @@ def indel_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         )
 
 
-def letter_counts(texts: np.ndarray) -> np.ndarray:
-    """How often each of 64 classes of characters occurs in every text."""
-    out = np.zeros((len(texts), 64), dtype=np.int16)
-    for i, text in enumerate(texts):
-        out[i] = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype="<u4") & 63, minlength=64)
-    return out
-
-
-def indel_ratio_from(threshold: float):
-    """Column function of two texts: their ratio where it may reach the threshold, else null or not a number.
-
-    Whatever one text has more of a letter must be taken out, so the summed differences of the letter
-    counts are a distance that two texts have at least; it is taken for whole batches at once.
-    """
-
-    @F.pandas_udf(T.DoubleType())
-    def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in pairs:
-            codes, texts = pd.factorize(pd.concat([left, right]))
-            counts, sizes = letter_counts(texts), np.array([len(t) for t in texts])
-            a, b = codes[: len(left)], codes[len(left) :]
-            total = sizes[a] + sizes[b]
-            apart = np.concatenate([np.abs(counts[a[i : i + 4096]] - counts[b[i : i + 4096]]).sum(axis=1) for i in range(0, len(a), 4096)] or [np.zeros(0)])
-            out = np.full(len(a), np.nan)
-            for i in np.flatnonzero(100.0 * (total - apart) >= threshold * total - 1e-6):
-                x, y = texts[a[i]], texts[b[i]]
-                out[i] = 100.0 if x == y else 200.0 * common_subsequence(x, y) / total[i]
-            yield pd.Series(out)
-
-    return ratio
+def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of every text as one row, filled up with -1, and the lengths."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.full((len(texts), max(1, int(sizes.max(initial=0)))), -1, dtype=np.int32)
+    codes[np.arange(codes.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<i4")
+    return codes, sizes
+
+
+def pair_marks(codes: np.ndarray, words: int) -> np.ndarray:
+    """Bit sets (rows of 64-bit words) that mark the two-letter grams of every text; repeats count separately."""
+    marks = np.zeros((len(codes), words), dtype=np.uint64)
+    if codes.shape[1] < 2:
+        return marks
+    pair = np.where(codes[:, 1:] < 0, -1, (codes[:, :-1].astype(np.int64) << 21) | codes[:, 1:])
+    pair.sort(axis=1)
+    place = np.arange(pair.shape[1])
+    new = np.concatenate([np.ones((len(pair), 1), dtype=bool), pair[:, 1:] != pair[:, :-1]], axis=1)
+    nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    with np.errstate(over="ignore"):
+        h = (pair.astype(np.uint64) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        h = ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+    bit = np.left_shift(np.uint64(1), h & np.uint64(63))
+    word = (h >> np.uint64(6)) % np.uint64(words)
+    for w in range(words):
+        marks[:, w] = np.bitwise_or.reduce(np.where((pair >= 0) & (word == w), bit, np.uint64(0)), axis=1)
+    return marks
+
+
+def place_masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of some texts, and per letter (one more that is nowhere), 64 places and text the bits of its places."""
+    letters = np.unique(codes[codes >= 0])
+    masks = np.zeros((len(letters) + 1, -(-codes.shape[1] // 64), len(codes)), dtype=np.uint64)
+    for at in range(codes.shape[1]):
+        row = np.flatnonzero(codes[:, at] >= 0)
+        masks[np.searchsorted(letters, codes[row, at]), at >> 6, row] |= np.uint64(1 << (at & 63))
+    return letters, masks
+
+
+def letter_numbers(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Places of code points in ``letters``; what is not there gets the number after the last."""
+    if not len(letters):
+        return np.zeros(codes.shape, dtype=np.int64)
+    at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+    return np.where(letters[at] == codes, at, len(letters))
+
+
+def _take_letter(state: np.ndarray, hit: np.ndarray, moved: np.ndarray) -> None:
+    """One letter of the other text: ``state = (state + hit) | (state - hit)`` over words of 64 places, low word first."""
+    if len(state) == 1:
+        np.add(state, hit, out=moved)
+        np.subtract(state, hit, out=state)
+        np.bitwise_or(state, moved, out=state)
+        return
+    carry = np.zeros(state.shape[1], dtype=np.uint64)
+    for w in range(len(state)):
+        np.add(state[w], hit[w], out=moved[w])
+        over = moved[w] < hit[w]
+        moved[w] += carry
+        carry = (over | (moved[w] < carry)).astype(np.uint64)
+        state[w] = moved[w] | (state[w] - hit[w])
+
+
+def subsequences_of_one(masks: np.ndarray, letters: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of one text (as letter numbers) with all texts of the masks."""
+    state = np.full(masks.shape[1:], ~np.uint64(0), dtype=np.uint64)
+    hit, moved = np.empty_like(state), np.empty_like(state)
+    for letter in letters:
+        # The letter after the last stands in none of the texts.
+        if letter < len(masks) - 1:
+            np.bitwise_and(state, masks[letter], out=hit)
+            _take_letter(state, hit, moved)
+    return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
+
+
+def subsequences_of_pairs(masks: np.ndarray, numbers: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The same for pairs: text ``row`` of the letter numbers and text ``column`` of the masks."""
+    state = np.full((masks.shape[1], len(row)), ~np.uint64(0), dtype=np.uint64)
+    moved = np.empty_like(state)
+    texts = masks.shape[2]
+    by_letter = masks.transpose(1, 0, 2).reshape(masks.shape[1], -1)
+    for at in range(numbers.shape[1]):
+        where = numbers[row, at] * texts + column
+        _take_letter(state, state & by_letter[:, where], moved)
+    return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

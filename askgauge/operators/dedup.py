@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgauge.functions.fixed_values import DB_ID_PREFIX
-from askgauge.functions.similarity import indel_ratio_from, sorted_tokens
+from askgauge.functions.similarity import letter_numbers, pair_marks, place_masks, sorted_tokens, subsequences_of_one, subsequences_of_pairs, text_codes
 from askgauge.operators.cells import canonical_header
 from askgauge.operators.components import connected_labels
-from askgauge.session import cut_lineage
+from askgauge.session import cut_lineage, small_side
 
 # 64-bit words in the bit set that marks the grams of a text.
-MARK_WORDS = 8
-# Texts of a key that are compared with others at a time.
-MEETING_BLOCK = 256
+MARK_WORDS = 4
+# Texts of a block at least and at most, letters of a block with its texts filled up to the longest.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_LETTERS = 4096, 16_384, 1 << 20
+# Blocks into which texts are dealt, as long as blocks are neither too small nor too large.
+BLOCKS = 24
+# Texts of two blocks that are compared at a time, and bytes of bit masks for them.
+TILE, STRIP, MASK_BYTES = 8192, 8, 32 << 20
+# Pairs whose subsequences are counted at a time, and that leave a task at a time.
+PAIRS_COUNTED, PAIRS_SENT = 16_384, 100_000
 # Edges of a component that one task walks.
 WALK_EDGES = 200_000
 
@@ -38,107 +44,137 @@ def header_groups(headers: DataFrame) -> DataFrame:
     return keyed.join(first, "text").select("table_id", "node", "text")
 
 
-def _letter_pairs(nodes: DataFrame) -> DataFrame:
-    """``node, len, g``: two-letter grams as numbers, built from both code points and, since
-    repeats count separately, the running number of the repeat."""
-    spots = F.sequence(F.lit(1), F.col("len") - 1)
-    pair = F.transform(
-        spots,
-        lambda i: F.shiftleft(F.ascii(F.substring("text", i, F.lit(1))).cast("bigint"), 42)
-        + F.shiftleft(F.ascii(F.substring("text", i + 1, F.lit(1))).cast("bigint"), 21),
-    )
-    grams = nodes.filter("len > 1").select("node", "len", F.explode_outer(pair).alias("pair"))
-    twin = Window.partitionBy("node", "pair").orderBy(F.lit(0))
-    return grams.select("node", "len", (F.col("pair") + F.row_number().over(twin)).alias("g"))
-
-
-def _bit_marks(grams: DataFrame) -> DataFrame:
-    """A bit set per text that marks the grams it holds, as ``m0, m1, ...``."""
-    bit = F.pmod(F.xxhash64("g"), F.lit(64 * MARK_WORDS))
-    marks = grams.select("node", F.floor(bit / 64).alias("word"), (bit % 64).cast("int").alias("bit"))
-    one = F.expr("shiftleft(1L, bit)")
-    return marks.groupBy("node").agg(
-        *[
-            F.bit_or(F.when(F.col("word") == w, one).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}")
-            for w in range(MARK_WORDS)
-        ]
-    )
-
-
-def _within_bounds(one: dict, many: dict, blank: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in ``one``, in ``many``) of pairs that the bounds leave; the first of a pair is the shorter.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by length: blocks of texts as one row each, with their lengths' ends and gram marks."""
+    part, number = TaskContext.get().partitionId(), 0
+    nodes: list = []
+    texts: list[str] = []
+    kind = None
+
+    def block() -> pa.RecordBatch:
+        codes, sizes = text_codes(texts)
+        arrays = [
+            pa.array([(part << 32) + number], pa.int64()), pa.array([int(sizes.min())], pa.int32()), pa.array([int(sizes.max())], pa.int32()),
+            pa.array([nodes], pa.list_(kind)), pa.array([texts], pa.list_(pa.string())), pa.array([pair_marks(codes, MARK_WORDS).tobytes()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "low", "high", "nodes", "texts", "marks"])
+
+    for batch in batches:
+        kind = batch.schema.field("node").type
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+            if texts and (len(texts) >= BLOCK_MOST or (len(texts) + 1) * len(text) > BLOCK_LETTERS):
+                yield block()
+                nodes, texts, number = [], [], number + 1
+            nodes.append(node)
+            texts.append(text)
+    if texts:
+        yield block()
+
+
+def _unlike_marks_allowed(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Gram marks that only one of two texts may have, -1 where their lengths alone rule the pair out.
 
     A ratio of t means a common subsequence of at least t% of the mean length.
     A dropped letter breaks at most two grams and an inserted one at most one,
     which leaves 3 * LCS - (joint length) - 1 of them that both texts must have.
     """
-    len_a, len_b = one["len"][:, None], many["len"]
-    total = len_a + len_b
-    fits = (len_a < len_b) | ((len_a == len_b) & (one["node"][:, None] < many["node"]))
-    fits &= 200.0 * len_a >= total * threshold
-    due = 3 * np.ceil(total * threshold / 200.0 - 1e-9).astype(np.int64) - total - 1
-    if not blank:
-        after = np.minimum(np.maximum(len_a - 1, 0) - one["place"][:, None], np.maximum(len_b - 1, 0) - many["place"])
-        fits &= 1 + after >= due
-    x, y = np.nonzero(fits)
-    due = due[x, y]
-    for turned in (False, True):
-        p, q, i, j = (many, one, y, x) if turned else (one, many, x, y)
-        left = np.maximum(p["len"][i] - 1, 0) - np.bitwise_count(p["marks"][i] & ~q["marks"][j]).sum(axis=1, dtype=np.int64)
-        keep = left >= due
-        x, y, due = x[keep], y[keep], due[keep]
-    return x, y
-
-
-def _meetings(threshold: float):
-    """Over rows sorted by (g, band): pairs of texts that meet there and that the bounds leave."""
+    total = size_a + size_b
+    need = np.ceil(total * threshold / 200.0 - 1e-9).astype(np.int64)
+    return np.where(need > np.minimum(size_a, size_b), -1, np.clip(3 * total - 6 * need, 0, 32_767)).astype(np.int16)
+
+
+def _tile_pairs(one: dict, many: dict, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``one`` and in ``many`` and ratio of the pairs at or above the threshold."""
+    letters, masks = place_masks(many["codes"])
+    numbers = letter_numbers(one["codes"], letters)
+    columns, width = np.ascontiguousarray(many["marks"].T), len(many["size"])
+    bits, counts = np.empty((STRIP, width), dtype=np.uint64), np.empty((STRIP, width), dtype=np.uint8)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def alike(row: np.ndarray, column: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ratio = 200.0 * common / (one["size"][row] + many["size"][column])
+        keep = ratio >= threshold
+        return one["place"][row[keep]], many["place"][column[keep]], ratio[keep]
+
+    def counted() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows, others = (np.concatenate(c) for c in zip(*waiting))
+        for lo in range(0, len(rows), PAIRS_COUNTED):
+            row, column = rows[lo : lo + PAIRS_COUNTED], others[lo : lo + PAIRS_COUNTED]
+            yield alike(row, column, subsequences_of_pairs(masks, numbers, row, column))
+
+    for at in range(0, len(numbers), STRIP):
+        strip = slice(at, at + STRIP)
+        lengths, which = np.unique(one["size"][strip], return_inverse=True)
+        allowed = _unlike_marks_allowed(lengths[:, None], many["size"], threshold)[which]
+        unlike = np.zeros(allowed.shape, dtype=np.int16)
+        for w in range(MARK_WORDS):
+            np.bitwise_xor(one["marks"][strip, w][:, None], columns[w], out=bits[: len(unlike)])
+            unlike += np.bitwise_count(bits[: len(unlike)], out=counts[: len(unlike)])
+        fits = unlike <= allowed
+        if same:
+            fits &= one["place"][strip][:, None] < many["place"]
+        row, column = np.divmod(np.flatnonzero(fits), width)
+        if 8 * len(row) > fits.size:
+            # Many pairs are left: each text against the whole tile, without gathering.
+            ends = np.searchsorted(row, np.arange(len(fits) + 1))
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                lcs = subsequences_of_one(masks, numbers[at + i, : one["size"][at + i]].tolist())
+                some = column[ends[i] : ends[i + 1]]
+                yield alike(np.full(len(some), at + i), some, lcs[some])
+        elif len(row):
+            waiting.append((at + row, column))
+            held += len(row)
+            if held >= PAIRS_COUNTED:
+                yield from counted()
+                waiting, held = [], 0
+    if waiting:
+        yield from counted()
+
+
+def _block_pairs(threshold: float):
+    """Over blocks that come two by two (one alone meets itself): all pairs of texts at or above the threshold."""
+
+    def side(row: dict) -> dict:
+        codes, sizes = text_codes(row["texts"].as_py())
+        marks = np.frombuffer(row["marks"].as_py(), dtype=np.uint64).reshape(-1, MARK_WORDS)
+        return {"codes": codes, "size": sizes, "marks": marks, "place": np.arange(len(sizes))}
+
+    def tiles(block: dict) -> Iterator[dict]:
+        # Masks take a row per letter and 64 places for each text.
+        letters = len(np.unique(block["codes"])) * -(-block["codes"].shape[1] // 64)
+        step = max(16, min(TILE, MASK_BYTES // (8 * letters)))
+        for at in range(0, len(block["size"]), step):
+            yield {name: values[at : at + step] for name, values in block.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def solve(table: pa.Table, g: int) -> tuple[np.ndarray, np.ndarray]:
-            asks = table.column("asks").to_numpy()
-            side = {c: table.column(c).to_numpy() for c in ("node", "len", "place")}
-            side["marks"] = table.column("marks").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MARK_WORDS)
-            one, many = ({c: v[keep] for c, v in side.items()} for keep in (asks, ~asks))
-            left, right = [], []
-            # A block of asking texts at a time, so that a frequent key needs no more memory.
-            for at in range(0, len(one["node"]), MEETING_BLOCK):
-                some = {c: v[at : at + MEETING_BLOCK] for c, v in one.items()}
-                for to in range(0, len(many["node"]), 8 * MEETING_BLOCK):
-                    other = {c: v[to : to + 8 * MEETING_BLOCK] for c, v in many.items()}
-                    x, y = _within_bounds(some, other, g == 0, threshold)
-                    left.append(some["node"][x])
-                    right.append(other["node"][y])
-            return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=object),) * 2
-
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("g", "band")])
-            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-            sizes = np.diff(np.append(starts, table.num_rows))
-            found = [solve(table.slice(int(a), int(n)), int(keys[0, a])) for a, n in zip(starts, sizes) if n > 1]
-            x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=object)
-            y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=object)
-            swap = x > y
-            a, b = np.where(swap, y, x), np.where(swap, x, y)
-            kind = table.schema.field("node").type
-            out = pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)}).group_by(["a", "b"]).aggregate([]).select(["a", "b"])
-            return out.combine_chunks().to_batches()[0] if out.num_rows else pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], kind)], names=["a", "b"])
-
+        first = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            table = pa.concat_tables(held)
-            # The last key may go on in the next batch.
-            last = [table.column(c)[-1].as_py() for c in ("g", "band")]
-            same = (table.column("g").to_numpy() == last[0]) & (table.column("band").to_numpy() == last[1])
-            cut = int(np.argmax(same))
-            held = [table.slice(cut)]
-            if cut:
-                yield pairs(table.slice(0, cut))
-        if held:
-            yield pairs(pa.concat_tables(held))
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at] for name in batch.schema.names}
+                if row["side"].as_py() == 0:
+                    first = row
+                    if row["i"].as_py() != row["j"].as_py():
+                        continue
+                x, y = side(first), side(row)
+                found: list = []
+                held = 0
+                left, right = first["nodes"].values, row["nodes"].values
+
+                def send() -> pa.RecordBatch:
+                    a, b, ratio = (np.concatenate(c) for c in zip(*found))
+                    return pa.RecordBatch.from_arrays([left.take(pa.array(a)), right.take(pa.array(b)), pa.array(ratio)], names=["x", "y", "ratio"])
+
+                for tile in tiles(y):
+                    for pairs in _tile_pairs(x, tile, first is row, threshold):
+                        if len(pairs[0]):
+                            found.append(pairs)
+                            held += len(pairs[0])
+                        if held > PAIRS_SENT:
+                            yield send()
+                            found, held = [], 0
+                if found:
+                    yield send()
 
     return run
 
@@ -146,63 +182,34 @@ def _meetings(threshold: float):
 def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     """All pairs ``a < b`` of distinct texts (``node, text``) with token-sort ratio >= threshold.
 
-    Exact prefix filtering: each text is indexed under its rarest grams only, so
-    many that two similar texts must meet in one of them.  A band of text length
-    is part of the join key.  Where two texts meet, three bounds that need no
-    further lookup drop most pairs: their lengths, the grams left after the
-    meeting point, and the grams whose bit the other text does not have.  The
-    shorter of two texts owes more, so its side of the join holds fewer of its
-    grams.  The bounds are taken where the texts meet, as arrays, so only pairs that pass leave
-    a task.  Texts too short to owe a shared gram are indexed under a blank gram as well.
-    Survivors are scored exactly, unless their letter counts alone differ by too much.
+    Texts are ordered by length and cut into blocks; each pair of blocks whose lengths allow the ratio meets
+    in a task, which holds two blocks at a time.  There two bounds are taken for whole tiles of pairs: the
+    lengths, and the letter pairs that only one text has (as bit sets).  For pairs that pass, the
+    common subsequence is counted exactly, 64 letters of a text in one word, many pairs at a time.  Shared
+    grams are no join keys here: texts of one language share so many that most pairs would meet in several.
+    The number of pairs grows with the square of the texts; memory does not.
     """
-    # At or below two thirds no shared gram is owed: all pairs would have to be scored.
+    # At or below two thirds no shared gram is owed.
     if not 200.0 / 3 < threshold <= 100.0:
         raise ValueError("unsupported: the gram filter needs a threshold above 66.7")
-    nodes = nodes.select("node", "text", F.length("text").alias("len"))
-    reach = (200.0 - threshold) / threshold
-    # Shortest joint length a partner of this text can bring.
-    least_total = F.col("len") + F.ceil(F.col("len") / reach - 1e-9)
-    # Whole subsequence lengths make the exact count dip here and there; this line below it does not.
-    owed = F.ceil(least_total * (3 * threshold / 200.0 - 1) - 1 - 1e-9)
-    # As the shorter of two it meets a joint length of twice its own at least.
-    owed_alone = F.ceil(2 * F.col("len") * (3 * threshold / 200.0 - 1) - 1 - 1e-9)
-    grams = cut_lineage(_letter_pairs(nodes))
-    rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("node").orderBy("df", "g")
-    indexed = (
-        grams.join(rarity, "g")
-        .withColumn("place", F.row_number().over(rare_first))
-        .filter(F.col("place") <= F.col("len") - 1 - owed + 1)
-        .withColumn("leads", F.col("place") <= F.col("len") - F.greatest(owed_alone, F.lit(1)) + F.when(owed_alone <= 0, F.col("len")).otherwise(F.lit(0)))
-        .select("node", "len", "g", "place", "leads")
-    )
-    # A short text can owe nothing to a partner that owes it nothing either.
-    short = nodes.filter(owed <= 0).select(
-        "node", "len", F.lit(0).cast("bigint").alias("g"), F.lit(0).alias("place"), F.lit(True).alias("leads")
-    )
-    marks = [f"m{w}" for w in range(MARK_WORDS)]
-    indexed = (
-        indexed.unionByName(short)
-        .join(_bit_marks(grams), "node", "left")
-        .fillna(0, marks)
-        .withColumn("band", F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / (math.log(reach) + 1e-6)).cast("int"))
-    )
-    # The longer text lies in the shorter one's band or in the next; of equal lengths the smaller node leads.
-    place = ["node", "len", "place", F.array(*marks).alias("marks")]
-    asking = indexed.filter("leads").select("g", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.lit(True).alias("asks"), *place)
-    held = indexed.select("g", "band", F.lit(False).alias("asks"), *place)
+    nodes = cut_lineage(nodes.select("node", "text", F.length("text").alias("len")).filter("text is not null"))
     kind = nodes.schema["node"].dataType.simpleString()
-    meeting = asking.unionByName(held).repartition("g", "band").sortWithinPartitions("g", "band")
-    candidates = meeting.mapInArrow(_meetings(threshold), f"a {kind}, b {kind}").distinct()
-    text = lambda side: nodes.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    return (
-        candidates.join(text("a"), "a")
-        .join(text("b"), "b")
-        .withColumn("ratio", indel_ratio_from(threshold)("text_a", "text_b"))
-        .filter(~F.isnan("ratio") & (F.col("ratio") >= threshold))
-        .select("a", "b", "ratio")
+    rows = nodes.count()
+    parts = max(1, -(-rows // min(BLOCK_MOST, max(BLOCK_LEAST, -(-rows // BLOCKS)))))
+    ordered = nodes.repartitionByRange(parts, "len", "node").sortWithinPartitions("len", "node").select("node", "text")
+    blocks = cut_lineage(ordered.mapInArrow(_blocks, f"block long, low int, high int, nodes array<{kind}>, texts array<string>, marks binary"))
+    ends = blocks.select("block", "low", "high")
+    shorter, longer = F.least("x.high", "y.high"), F.greatest("x.low", "y.low")
+    meet = (F.col("x.block") <= F.col("y.block")) & (200.0 * shorter >= threshold * (shorter + longer) - 1e-6)
+    pairs = cut_lineage(ends.alias("x").join(ends.alias("y"), meet).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")))
+    tasks = max(1, pairs.count())
+    sides = pairs.select("i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
+        pairs.filter("i <> j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side"))
     )
+    placed = blocks.join(small_side(sides), "block").select("i", "j", "side", "nodes", "texts", "marks")
+    meeting = placed.repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "side")
+    found = meeting.mapInArrow(_block_pairs(threshold), f"x {kind}, y {kind}, ratio double")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio")
 
 
 def header_near_dups(headers: DataFrame, threshold: float = 90.0) -> DataFrame:
