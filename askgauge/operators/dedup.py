@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ MARK_WORDS = 4
 BLOCK_LEAST, BLOCK_MOST, BLOCK_LETTERS = 4096, 16_384, 1 << 20
 # Blocks into which texts are dealt, as long as blocks are neither too small nor too large.
 BLOCKS = 24
+# Tasks that compare blocks, at most.
+BLOCK_TASKS = 4096
 # Texts of two blocks that are compared at a time, and bytes of bit masks for them.
 TILE, STRIP, MASK_BYTES = 8192, 8, 32 << 20
 # Pairs whose subsequences are counted at a time, and that leave a task at a time.
@@ -163,7 +166,10 @@ def _block_pairs(threshold: float):
 
                 def send() -> pa.RecordBatch:
                     a, b, ratio = (np.concatenate(c) for c in zip(*found))
-                    return pa.RecordBatch.from_arrays([left.take(pa.array(a)), right.take(pa.array(b)), pa.array(ratio)], names=["x", "y", "ratio"])
+                    ends = [left.take(pa.array(a)), right.take(pa.array(b))]
+                    # A node that comes twice is no pair with its own copy.
+                    twice = pc.and_(pc.equal(*ends), pa.array(x["size"][a] == y["size"][b]))
+                    return pa.RecordBatch.from_arrays([*ends, pa.array(ratio)], names=["x", "y", "ratio"]).filter(pc.invert(twice))
 
                 for tile in tiles(y):
                     for pairs in _tile_pairs(x, tile, first is row, threshold):
@@ -202,7 +208,7 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     shorter, longer = F.least("x.high", "y.high"), F.greatest("x.low", "y.low")
     meet = (F.col("x.block") <= F.col("y.block")) & (200.0 * shorter >= threshold * (shorter + longer) - 1e-6)
     pairs = cut_lineage(ends.alias("x").join(ends.alias("y"), meet).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")))
-    tasks = max(1, pairs.count())
+    tasks = max(1, min(BLOCK_TASKS, pairs.count()))
     sides = pairs.select("i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
         pairs.filter("i <> j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side"))
     )

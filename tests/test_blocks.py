@@ -53,6 +53,11 @@ def test_blocks_find_all_pairs(spark, monkeypatch, threshold):
     assert {(r["a"], r["b"]): r["ratio"] for r in got} == alike | same
 
 
+def test_a_repeated_node_is_no_pair_with_itself(spark):
+    nodes = spark.createDataFrame([(1, "a|b|c|d|e"), (1, "a|b|c|d|e"), (2, "a|b|c|d|f")], "node long, text string")
+    assert {(r["a"], r["b"]) for r in D.similar_pairs(nodes, 80.0).collect()} == {(1, 2)}
+
+
 def test_pairs_leave_a_task_in_small_batches():
     # 700 texts that are all alike make 244,650 pairs under shared keys; a batch held them all before.
     texts = sorted((f"the|and|of|{i:03d}|tion|in|er|here|there" for i in range(700)), key=lambda t: (len(t), t))
