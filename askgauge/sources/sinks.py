@@ -11,6 +11,10 @@ from askgauge.session import scratch_path, small_side
 from askgauge.sources.tables import with_running_suffix
 
 
+# Cells that one task sorts into the folders of their tables, on average.
+STAGED_CELLS = 1_000_000
+
+
 def write_report(samples: DataFrame, summary: DataFrame, path: str) -> None:
     """Per-record scores and the one-row summary, as JSON lines."""
     samples.write.mode("overwrite").json(f"{path}/samples")
@@ -101,13 +105,14 @@ def materialize_tables(cells: DataFrame, databases: DataFrame, typed: bool = Tru
         .select("db_id", "table_name", clean_header(F.col("header")).alias("columns"))
         .orderBy("db_id", "table_name")
     )
-    # One pass sorts the cells into a folder per table, a few files each; each table then reads its own folder.
+    # One pass sorts the cells into a folder per table; each table then reads its own folder. Tables are
+    # cut into as many slots as the cells need, so that no task holds more of a large table than of a small one.
     staged = scratch_path(spark, "tables")
     small = small_side(names)
     placed = cells.join(small, "table_id").select("db_id", "table_name", "row_idx", "col_idx", "value")
-    placed.repartition("db_id", "table_name", F.pmod("row_idx", F.lit(8))).write.partitionBy(
-        "db_id", "table_name"
-    ).parquet(staged)
+    slots = max(8, -(-cells.count() // STAGED_CELLS))
+    slot = F.pmod(F.xxhash64("row_idx"), F.lit(slots))
+    placed.repartition(slots, "db_id", "table_name", slot).write.partitionBy("db_id", "table_name").parquet(staged)
     saved = []
     for row in catalog.collect():
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{row['db_id']}`")
