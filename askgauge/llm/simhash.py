@@ -13,15 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import NOT_BLANK, distinct_by_row, mix, shingles, text_blocks, word_hashes
-from .tables import bit_filter, read_table, stored, text_or_empty
+from .tables import read_table, stored, text_or_empty
 
 BITS = 256
 #: A term is a stretch of so many words.
 TERM_WORDS = 2
 #: Unlike bits of 256 up to which near_docs counts a document: nearly all texts of a five-word Jaccard likeness of 0.8.
 RADIUS = 38
-#: Blocks of a 64-bit word; a table is led by two blocks of all four words.
+#: Blocks of a 64-bit word; table_keys pairs the blocks of all four words.
 WORD_BLOCKS = (13, 13, 13, 13, 12)
+#: Fingerprints of a block, tasks that compare blocks at most, queries that a task compares at a time.
+BLOCK, BLOCK_TASKS, STRIP = 16_384, 4096, 8
 
 
 def fingerprints(batch: pa.RecordBatch, column: str = "text", bits: int = BITS) -> np.ndarray:
@@ -141,49 +143,66 @@ def table_keys(words: np.ndarray) -> np.ndarray:
     return (a << 37) | (b << 32) | (blocks[:, a] << 16) | blocks[:, b]
 
 
-def _keyed(sent=None, bits_log2: int = 0):
+def _print_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hex fingerprints as rows of up to BLOCK fingerprints in bytes, numbered."""
+    part, number, held = TaskContext.get().partitionId(), 0, []
+    block = lambda: pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([bytes.fromhex("".join(held))], pa.binary())], names=["block", "prints"])
+    for batch in batches:
+        held += batch.column(0).to_pylist()
+        while len(held) >= BLOCK:
+            held, rest = held[:BLOCK], held[BLOCK:]
+            yield block()
+            held, number = rest, number + 1
+    if held:
+        yield block()
+
+
+def _near_in_blocks(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None if sent is None else np.frombuffer(sent.value, dtype=np.uint8)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                prints = whole.slice(at, 2_000).column(0).to_pylist()
-                words = np.frombuffer(bytes.fromhex("".join(prints)), dtype=">u8").reshape(len(prints), BITS // 64).astype(np.uint64)
-                keys = table_keys(words)
-                row = np.repeat(np.arange(len(prints)), keys.shape[1])
-                key, h = keys.ravel(), mix(keys.ravel().view(np.uint64)).view(np.int64)
-                if held is not None:
-                    bit = h & ((1 << bits_log2) - 1)
-                    keep = (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-                    row, key, h = row[keep], key[keep], h[keep]
-                signed = words.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), *[pa.array(signed[row, w]) for w in range(4)]], names=["key", "h", "w0", "w1", "w2", "w3"])
+        asked = None
+        for batch in batches:
+            for side, prints in zip(batch.column("side").to_pylist(), batch.column("prints"), strict=True):
+                rows = np.frombuffer(prints.as_py(), dtype=np.uint8).reshape(-1, BITS // 8)
+                if side == 0:
+                    asked = rows
+                    continue
+                columns = np.ascontiguousarray(rows.view(np.uint64).T)
+                words = asked.view(np.uint64)
+                unlike = np.empty((STRIP, len(rows)), dtype=np.uint64)
+                for at in range(0, len(asked), STRIP):
+                    some = words[at : at + STRIP]
+                    apart = np.zeros((len(some), len(rows)), dtype=np.int16)
+                    for w in range(BITS // 64):
+                        np.bitwise_xor(some[:, w][:, None], columns[w], out=unlike[: len(some)])
+                        apart += np.bitwise_count(unlike[: len(some)])
+                    found = np.flatnonzero((apart <= radius) & (apart > 0))
+                    if len(found):
+                        q, e = np.divmod(found, len(rows))
+                        yield pa.RecordBatch.from_arrays([_hex(asked[at + q]), _hex(rows[e]), pa.array(apart.ravel()[found].astype(np.int32))], names=["query", "fingerprint", "distance"])
 
     return run
 
 
-def near_prints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, bits_log2: int = 26) -> DataFrame:
-    """(query, fingerprint, distance): 256-bit fingerprints that differ in 1 to ``radius`` bits and agree in two of 20 blocks.
+def near_prints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All (query, fingerprint, distance): 256-bit fingerprints that differ in 1 to ``radius`` bits.
 
-    A fingerprint enters 190 tables, each led by two blocks (24 to 26 bits), so keys stay selective at a radius
-    at which single blocks would not. Pairs with fewer than two equal blocks are not found: by chance 0.5 % of
-    those at 22 unlike bits and a quarter of those at 38. Only keys that a query has are moved, each pair is
-    reported by the first table that brings it together, and nothing is capped.
+    At such a radius no blocks of bits must agree that would be selective, so every query is compared with
+    every distinct fingerprint: both are packed into blocks, and a task compares two blocks at a time. The work
+    grows with queries times fingerprints, memory does not; nothing is left out.
     """
-    schema = "key long, h long, w0 long, w1 long, w2 long, w3 long"
-    asked = stored(queries.select("fingerprint").distinct().mapInArrow(_keyed(), schema), "asked-keys")
-    held = prints.sparkSession.sparkContext.broadcast(bit_filter(asked, "h", bits_log2))
-    every = prints.select("fingerprint").distinct().mapInArrow(_keyed(held, bits_log2), schema)
-    q, e = asked.drop("h").alias("q"), every.drop("h").alias("e")
-    unlike = [F.col(f"q.w{w}").bitwiseXOR(F.col(f"e.w{w}")) for w in range(4)]
-    distance = sum((F.bit_count(x) for x in unlike[1:]), F.bit_count(unlike[0]))
-    equal = F.lit(0)
-    for i, (w, at, bits) in enumerate(block_masks()):
-        equal = equal + F.when(unlike[w].bitwiseAND(F.lit(((1 << bits) - 1) << at if at + bits < 64 else -(1 << at))) == 0, F.lit(1 << i)).otherwise(F.lit(0))
-    # The table's blocks a < b are the first two equal ones.
-    first = equal.bitwiseAND(F.expr("shiftleft(1, cast((shiftright(q.key, 32) & 31) as int)) - 1")) == F.expr("shiftleft(1, cast(shiftright(q.key, 37) as int))")
-    joined = q.join(e, (F.col("q.key") == F.col("e.key")) & distance.between(1, radius) & first)
-    text = lambda side: F.lower(F.concat(*[F.lpad(F.hex(F.col(f"{side}.w{w}")), 16, "0") for w in range(4)]))
-    return joined.select(text("q").alias("query"), text("e").alias("fingerprint"), distance.alias("distance"))
+    packed = {}
+    for name, frame in (("asked", queries), ("held", prints)):
+        rows = stored(frame.select("fingerprint").distinct(), f"{name}-prints")
+        whole = rows.coalesce(max(1, -(-rows.count() // BLOCK)))
+        packed[name] = stored(whole.mapInArrow(_print_blocks, "block long, prints binary"), f"{name}-blocks")
+    numbers = lambda name, i: packed[name].select(F.col("block").alias(i))
+    pairs = stored(numbers("asked", "i").crossJoin(numbers("held", "j")), "block-pairs")
+    tasks = max(1, min(BLOCK_TASKS, pairs.count()))
+    sides = [
+        packed[name].join(pairs, F.col("block") == F.col(i)).select("i", "j", F.lit(side).alias("side"), "prints") for side, (name, i) in enumerate((("asked", "i"), ("held", "j")))
+    ]
+    meeting = sides[0].unionByName(sides[1]).repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "side")
+    return meeting.mapInArrow(_near_in_blocks(radius), "query string, fingerprint string, distance int")
 
 
 _EDIT_SCHEMA = (
