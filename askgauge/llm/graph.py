@@ -100,10 +100,11 @@ def group_labels(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
     kind = own.schema["a"].dataType.simpleString()
     many = own.count()
     parts = -(-many // per_task)
-    local = own.repartition(max(parts, 1), "b").mapInArrow(_own_components, f"node {kind}, label {kind}")
+    # Few edges go to one task; keys dealt to more tasks than asked for would leave a component in parts.
+    dealt = own.coalesce(1) if parts <= 1 else own.repartition(parts, "b")
+    local = stored(dealt.mapInArrow(_own_components, f"node {kind}, label {kind}"), "labels")
     if parts <= 1:
-        return stored(local, "labels")
-    local = stored(local, "labels")
+        return local
     least = stored(local.groupBy("node").agg(F.min("label").alias("least")), "labels")
     between = stored(local.join(least, "node").where(F.col("label") != F.col("least")).select(F.col("label").alias("a"), F.col("least").alias("b")).distinct(), "edges")
     left = between.count()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_words import NOT_BLANK, give_back, mix, shingles, text_blocks, word_hashes
-from .graph import Forest, components
+from .graph import Forest, group_labels
 from .tables import bit_filter, read_table, stored, text_or_empty
 
 GROUPS = 64
@@ -473,12 +473,12 @@ def jaccard_labels(rows: DataFrame, width: int, percent: int, bits_log2: int) ->
     members = stored(hashed.mapInArrow(_members(levels, reps, hits, bits_log2, width, percent), "token long, node long, n long, vector binary"), "tree-members")
     trees = _split_large(members, "token").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     links = trees.select("token", "i", "j", "node", "n", "vector").mapInArrow(_trees(percent), "a long, b long")
-    groups = stored(components(links), "groups")
+    groups = group_labels(links)
     wanted = send(bit_filter(groups, "node", bits_log2))
     sets = hashed.mapInArrow(_wanted_sets(levels, reps, wanted, bits_log2, width), "node long, name binary, tokens binary")
     gathered = _split_large(groups, "label").join(sets, "node").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     exact = gathered.select("label", "i", "j", "name", "tokens").mapInArrow(_verify(percent), "a binary, b binary")
-    named = components(exact)
+    named = group_labels(exact)
     own = profiles.select("id", "n", "node").join(named, "node", "left")
     return own.select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
 

@@ -31,6 +31,19 @@ def test_jaccard_with_small_trees_and_splits(spark, monkeypatch):
     assert counted(got) == counted(brute.jaccard_components(rows))
 
 
+def test_a_long_chain_of_near_copies_takes_few_jobs(spark):
+    """Links are contracted task by task; joins round by round left the driver with the plans and tasks of 179 jobs."""
+    words = nasty.prose(4, 130).split()
+    rows = [(i, " ".join([*words[: i + 1], f"w{i}", *words[i + 2 :]])) for i in range(90)]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["component_id"] for r in got} == {r[2] for r in brute.jaccard_components(rows)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 80
+
+
 def test_tree_keeps_every_pair_within_the_bound():
     rng = np.random.default_rng(1)
     points = rng.poisson(3, (300, jaccard_join.GROUPS)).astype(np.int32)
