@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from askgauge.llm import simple8b
+from askgauge.llm import simhash, simple8b
 from askgauge.llm.byte_words import ALNUM, NOT_BLANK, shingles, text_blocks, word_hashes
 from askgauge.llm.graph import components, group_labels
 from askgauge.llm.piece_tokens import PieceTokenizer
@@ -102,3 +102,23 @@ def test_contracted_graph_has_the_same_components(spark, per_task):
     named = spark.createDataFrame([(bytes([a % 256]), bytes([b % 256])) for a, b in edges[:20]], "a binary, b binary")
     assert sorted(map(tuple, group_labels(named, per_task).collect())) == sorted(map(tuple, components(named).collect()))
     assert group_labels(spark.createDataFrame([], "a long, b long"), per_task).count() == 0
+
+
+def test_a_small_graph_is_whole_however_keys_are_dealt(spark, monkeypatch):
+    """A path of few edges has one label also where repartition deals its keys to more tasks than asked for."""
+    frame = type(spark.range(0))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: dealt(self, max(n, 7) if cols and isinstance(n, int) else n, *cols))
+    got = group_labels(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(61)]
+
+
+def test_lanes_count_as_single_bits_do():
+    """Votes counted eight bits at a time against a plain sum, over rows of more than 255 terms and stretches that split rows."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 700, 0, 255, 256, 3])
+    terms, row = rng.integers(0, 1 << 63, sizes.sum()).astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    votes = np.zeros((len(sizes), 256))
+    simhash._count_votes(votes, terms, row, step=300)
+    bits = 2 * simhash._term_bits(terms, 256).astype(int) - 1
+    assert (votes == np.array([bits[row == r].sum(axis=0) for r in range(len(sizes))])).all()
