@@ -181,13 +181,27 @@ def infer_foreign_keys(
     # Each pair once per order of tables; equal-sized columns surface from both ends.
     a_first = F.col("t_a") < F.col("t_b")
     ends = lambda p, q: F.when(a_first, F.col(p)).otherwise(F.col(q))
-    pairs = pairs.select(
-        ends("t_a", "t_b").alias("left_table"),
-        ends("c_a", "c_b").alias("left_idx"),
-        ends("t_b", "t_a").alias("right_table"),
-        ends("c_b", "c_a").alias("right_idx"),
-        F.col("n_a").alias("smaller"),
-    ).distinct()
+    pairs = (
+        pairs.select(
+            ends("t_a", "t_b").alias("left_table"),
+            ends("c_a", "c_b").alias("left_idx"),
+            ends("t_b", "t_a").alias("right_table"),
+            ends("c_b", "c_a").alias("right_idx"),
+            F.col("n_a").alias("smaller"),
+            a_first.alias("from_left"),
+        )
+        .groupBy("left_table", "left_idx", "right_table", "right_idx", "smaller")
+        .agg(F.max("from_left").alias("from_left"))
+    )
+    # The smaller column's values look for themselves in the larger one: a pair costs no more rows than that.
+    of = lambda p, q: F.when(F.col("from_left"), F.col(p)).otherwise(F.col(q))
+    asked = pairs.select(
+        "*",
+        of("left_table", "right_table").alias("few_table"),
+        of("left_idx", "right_idx").alias("few_idx"),
+        of("right_table", "left_table").alias("many_table"),
+        of("right_idx", "left_idx").alias("many_idx"),
+    )
     end = lambda side: values.select(
         F.col("table_id").alias(f"{side}_table"),
         F.col("col_idx").alias(f"{side}_idx"),
@@ -195,8 +209,10 @@ def infer_foreign_keys(
         "value",
     )
     return (
-        pairs.join(end("left"), ["left_table", "left_idx"])
-        .join(end("right"), ["right_table", "right_idx", "value"])
+        asked.join(end("few"), ["few_table", "few_idx"])
+        .join(end("many"), ["many_table", "many_idx", "value"])
+        .withColumn("left_column", of("few_column", "many_column"))
+        .withColumn("right_column", of("many_column", "few_column"))
         .groupBy("left_table", "left_column", "right_table", "right_column", "smaller")
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter(F.col("shared") / F.col("smaller") > overlap)
