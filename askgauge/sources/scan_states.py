@@ -6,8 +6,9 @@ text before it, so each piece says what it makes of either state, and how far it
 the nesting depth in either case.  Blocks are summed up for both states, the sums are
 chained along a file (one row per block), and every block then knows the state it
 starts in and cuts its own records.  Text moves only for records that cross a block
-border.  A record is held as one string: a value whose quote never closes takes in
-the rest of its file.
+border.  Blocks are stored as chunks of some thousand pieces, which count as blocks
+from there on.  A record is held as one string: a value whose quote never closes
+takes in the rest of its file.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askgauge.session import cut_lineage, small_side
-from askgauge.sources.lines import mark_position
 
 MAX_BLOCKS_SENT = 1_000_000
 
+# How the steps of a stretch of pieces are packed.
+_STEPS = {"step": "<i1", "rise_0": "<i4", "rise_1": "<i4"}
+_CHUNK = "_file string, _block long, end_0 long, end_1 long, sum_0 long, sum_1 long, step binary, rise_0 binary, rise_1 binary, pieces string"
+_CHUNK_NAMES = [field.split()[0] for field in _CHUNK.split(", ")]
+
 # One CSV field and its closing comma; a quote opens a value only at the start of a field.
 CSV_FIELD = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|),'
 CSV_OPEN_VALUE = r'"(?:[^"]++|"")*+$'
@@ -70,12 +75,12 @@ def _states(step: np.ndarray, entry: int) -> np.ndarray:
     return base ^ turned
 
 
-def _moves(batch: pa.RecordBatch, low: int, high: int, entry: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """States before and after each piece, and the depth it adds."""
-    step, rise_0, rise_1 = (batch.column(n).to_numpy()[low:high] for n in ("step", "rise_0", "rise_1"))
+def _moves(pieces: Sequence[np.ndarray], entry: int) -> tuple[np.ndarray, np.ndarray]:
+    """State after each piece, and the depth it adds, from the pieces' steps and rises."""
+    step, rise_0, rise_1 = pieces
     after = _states(step, entry)
     before = np.concatenate([[entry], after[:-1]])
-    return before, after, np.where(before == 0, rise_0, rise_1)
+    return after, np.where(before == 0, rise_0, rise_1)
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
@@ -89,21 +94,29 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, in
             yield (files.dictionary[number[low]].as_py(), int(blocks[low])), low, high
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block: end state and depth added, for either state at its start."""
-    found: dict[tuple[str, int], list[int]] = {}
-    for batch in batches:
-        for key, low, high in _stretches(batch):
-            sums = found.setdefault(key, [0, 1, 0, 0])
-            for entry in (0, 1):
-                _, after, rise = _moves(batch, low, high, sums[entry])
-                sums[entry] = int(after[-1])
-                sums[2 + entry] += int(rise.sum())
-    rows = [(file, block, *sums) for (file, block), sums in found.items()]
-    names = ["_file", "_block", "end_0", "end_1", "rise_0", "rise_1"]
-    kinds = [pa.string()] + [pa.int64()] * 5
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
+def _pack_chunks(joiner: str):
+    """One row per stretch of pieces of a block: the pieces, joined by what cut them, their steps, and end state and depth added for either state at its start.
+
+    A piece has a byte at least, so the block's start and the number of a stretch's first piece add up to a place of its own.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number = None, 0
+        for batch in batches:
+            rows = []
+            for here, low, high in _stretches(batch):
+                key, number = here, number if here == key else 0
+                pieces = [batch.column(n).to_numpy()[low:high] for n in _STEPS]
+                moves = [_moves(pieces, entry) for entry in (0, 1)]
+                ends = [int(after[-1]) for after, _ in moves] + [int(rise.sum()) for _, rise in moves]
+                steps = [x.astype(k).tobytes() for x, k in zip(pieces, _STEPS.values())]
+                rows.append((here[0], here[1] + number, *ends, *steps, joiner.join(batch.column("value").slice(low, high - low).to_pylist())))
+                number += high - low
+            kinds = [pa.string()] + [pa.int64()] * 5 + [pa.binary()] * 3 + [pa.large_string()]
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names=_CHUNK_NAMES)
+
+    return pack
 
 
 def _enter_blocks(sums: DataFrame) -> DataFrame:
@@ -115,45 +128,34 @@ def _enter_blocks(sums: DataFrame) -> DataFrame:
     after = F.coalesce(F.last(fixed, True).over(so_far), F.lit(0)).bitwiseXOR(turned)
     before = F.coalesce(F.lag("after").over(so_far), F.lit(0))
     entered = sums.withColumn("after", after).withColumn("entry", before)
-    rise = F.when(F.col("entry") == 0, F.col("rise_0")).otherwise(F.col("rise_1"))
+    rise = F.when(F.col("entry") == 0, F.col("sum_0")).otherwise(F.col("sum_1"))
     earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
     return entered.select("_file", "_block", "entry", F.coalesce(F.sum(rise).over(earlier), F.lit(0)).alias("entry_depth"))
 
 
-def _cut_blocks(level: int, joiner: str):
-    """Records of each block: a piece ends a record where it leaves state 0 at the given depth."""
+def _cut_chunks(level: int, joiner: str):
+    """Records of each chunk: a piece ends a record where it leaves state 0 at the given depth."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, depth, number, held, begun = None, 0, 0, 0, [], True
         for batch in batches:
             rows: list[tuple] = []
-
-            def leave() -> None:
-                if held:
-                    rows.append((*key, number, joiner.join(held), False, False))
-
-            texts = batch.column("value").to_pylist()
-            for here, low, high in _stretches(batch):
-                if here != key:
-                    leave()
-                    state, depth = batch.column("entry")[low].as_py(), batch.column("entry_depth")[low].as_py()
-                    key, number, held = here, 0, []
-                    begun = here[1] == 0 or (state == 0 and depth == level)
-                _, after, rise = _moves(batch, low, high, state)
+            columns = [batch.column(n).to_pylist() for n in ("_file", "_block", "entry", "entry_depth", *_STEPS)]
+            for at, (file, block, state, depth, *packed) in enumerate(zip(*columns)):
+                texts = batch.column("pieces")[at].as_py().split(joiner)
+                after, rise = _moves([np.frombuffer(x, dtype=k) for x, k in zip(packed, _STEPS.values())], state)
                 depths = depth + np.cumsum(rise)
-                start = low
-                for stop in (np.flatnonzero((after == 0) & (depths == level)) + low + 1).tolist():
-                    text = joiner.join([*held, *texts[start:stop]])
+                begun = block == 0 or (state == 0 and depth == level)
+                number, start = 0, 0
+                for stop in (np.flatnonzero((after == 0) & (depths == level)) + 1).tolist():
+                    text = joiner.join(texts[start:stop])
                     # A blank line between records is none.
                     if text.strip() or not begun:
-                        rows.append((*key, number, text, begun, True))
+                        rows.append((file, block, number, text, begun, True))
                         number += 1
-                    start, held, begun = stop, [], True
-                held.extend(texts[start:high])
-                state, depth = int(after[-1]), int(depths[-1])
+                    start, begun = stop, True
+                if start < len(texts):
+                    rows.append((file, block, number, joiner.join(texts[start:]), False, False))
             yield _records_batch(rows)
-        if held:
-            yield _records_batch([(*key, number, joiner.join(held), False, False)])
 
     return cut
 
@@ -167,21 +169,15 @@ def _records_batch(rows: Sequence[tuple]) -> pa.RecordBatch:
 
 def _records(pieces: DataFrame, steps: tuple[Column, Column, Column], level: int, joiner: str) -> DataFrame:
     step, rise_0, rise_1 = steps
-    marked = mark_position(
-        pieces.select("value", "_metadata", step.cast("int").alias("step"), rise_0.cast("int").alias("rise_0"), rise_1.cast("int").alias("rise_1"))
-    ).drop("_metadata")
-    sums = marked.select("_file", "_block", "step", "rise_0", "rise_1").mapInArrow(
-        _sum_blocks, "_file string, _block long, end_0 long, end_1 long, rise_0 long, rise_1 long"
-    )
-    blocks = cut_lineage(_enter_blocks(sums))
-    if blocks.count() <= MAX_BLOCKS_SENT:
-        placed = marked.join(F.broadcast(blocks), ["_file", "_block"])
-    else:
-        # A shuffled join loses the order of reading, so it is put back.
-        placed = marked.join(blocks, ["_file", "_block"]).repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_seq")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    marked = pieces.select("value", *place, step.cast("int").alias("step"), rise_0.cast("int").alias("rise_0"), rise_1.cast("int").alias("rise_1"))
+    # Stored as chunks: a piece of its own row would carry the path of its file.
+    chunks = cut_lineage(marked.mapInArrow(_pack_chunks(joiner), _CHUNK))
+    blocks = cut_lineage(_enter_blocks(chunks.select("_file", "_block", "end_0", "end_1", "sum_0", "sum_1")))
+    placed = chunks.join(F.broadcast(blocks) if blocks.count() <= MAX_BLOCKS_SENT else blocks, ["_file", "_block"])
     cut = cut_lineage(
-        placed.mapInArrow(
-            _cut_blocks(level, joiner),
+        placed.select("_file", "_block", "entry", "entry_depth", *_STEPS, "pieces").mapInArrow(
+            _cut_chunks(level, joiner),
             "_file string, _block long, _number long, text string, _whole boolean, ended boolean",
         )
     )

@@ -1,6 +1,7 @@
 """CSV with line breaks and JSON arrays, read from files cut into many blocks."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -105,3 +106,40 @@ def test_states_compose_like_a_plain_walk():
                 state = (s >> state) & 1
                 want.append(state)
             assert scan_states._states(step, entry).tolist() == want
+
+
+@pytest.mark.parametrize("pieces", [3, 10_000])
+def test_chunks_of_blocks_keep_records_whole(spark, tmp_path, small_blocks, pieces):
+    """Records that cross chunks within a block; short lines take little more room than they have."""
+    texts = [f"{i}\n" + "ab\n" * (i % 40) + "\n\nend" for i in range(400)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m.csv").write_text("k\n" + "".join(f'"{t}"\n' for t in texts))
+    size = (tmp_path / "in" / "m.csv").stat().st_size
+    small_blocks(2000)
+    shared, name = spark.sparkContext.getCheckpointDir(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(pieces))
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "kept"))
+    try:
+        got = {r["line_no"]: r["text"] for r in scan_states.csv_records(spark, str(tmp_path / "in")).collect()}
+    finally:
+        spark.conf.set(name, before)
+        if shared:
+            spark.sparkContext.setCheckpointDir(os.path.dirname(shared))
+    assert [got[i] for i in range(len(got))] == ["k", *(f'"{t}"' for t in texts)]
+    stored = sum(p.stat().st_size for p in (tmp_path / "kept").rglob("part-*"))
+    assert pieces == 3 or stored < 2 * size
+
+
+def test_arrays_read_in_chunks_of_a_few_pieces(spark, tmp_path, small_blocks):
+    rows = [{"a": i, "b": {"c": "}" * (i % 4) + '"[', "d": [{}, {"e": "x\\"}]}} for i in range(120)]
+    (tmp_path / "m.json").write_text(json.dumps(rows))
+    small_blocks(1500)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = {r["line_no"]: json.loads(r["text"]) for r in scan_states.array_objects(spark, str(tmp_path / "m.json")).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert [got[i] for i in range(len(got))] == rows
