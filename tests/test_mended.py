@@ -133,3 +133,12 @@ def test_json_array_limit_keeps_the_first_objects(spark, tmp_path):
         got = records.read_json_array(spark, str(tmp_path), limit=limit).collect()
         assert [int(r["id"]) for r in got] == list(range(limit))
     assert records.read_json_array(spark, str(tmp_path)).count() == 405
+
+
+@pytest.mark.parametrize("sizes", [(40, 400), (400, 40), (40, 40)])
+def test_foreign_keys_count_from_either_side(spark, sizes):
+    """The smaller column lies in the left table, in the right one, or both are as large."""
+    rows = [(t, i, c, f"{t}{c}", f"{c}-{i}") for t, n in zip("ab", sizes) for i in range(n) for c in (0, 1)]
+    df = spark.createDataFrame(rows, "table_id string, row_idx long, col_idx int, col_name string, value string")
+    got = sorted(tuple(r) for r in cells.infer_foreign_keys(df).collect())
+    assert got == [("a", f"a{c}", "b", f"b{c}", 40, 1.0) for c in (0, 1)]
