@@ -19,18 +19,9 @@ from .tables import read_table, text_or_empty
 
 #: One row of the files: the documents of one stretch of text and their ids, coded together.
 FILE_SCHEMA = "shard int, start long, n_ids long, doc_ids array<long>, lengths array<long>, block_words binary, words binary"
-_TOKENIZERS: dict[str, PieceTokenizer] = {}
-
-
-def _tokenizer(path: str) -> PieceTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = PieceTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def _coder(path: str, end_id: int | None):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, shard, start = _tokenizer(path), TaskContext.get().partitionId(), 0
+        tokenizer, shard, start = PieceTokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0)
             for first, end, ids, counts in tokenizer.encode(batch, "text"):

@@ -7,6 +7,10 @@ looked up afterwards. Any other text (special token strings, odd blanks) stays w
 
 from __future__ import annotations
 
+import os
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,13 +64,28 @@ def ends_before(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (at > 0) & ((_LETTER[before] & (here < 0x80) & ~_LETTER[here]) | (_MARK[before] & (here == 0x0A)))
 
 
+def kept_tokenizer(path: str):
+    """The tokenizer of a file, read once by each process: the library keeps some MB of every one that has encoded a batch.
+
+    Functions reach a worker anew with each task, and their globals with them; only its modules stay from task to task.
+    The last file's tokenizer is kept, until another file or another state of it is asked for.
+    """
+    from tokenizers import Tokenizer
+
+    kept = sys.modules.setdefault("_askgauge_kept", types.ModuleType("_askgauge_kept")).__dict__
+    found = os.stat(path)
+    name = (os.path.realpath(path), found.st_mtime_ns, found.st_size)
+    if kept.get("name") != name:
+        kept["tokenizer"] = Tokenizer.from_file(path)
+        kept["name"] = name
+    return kept["tokenizer"]
+
+
 class PieceTokenizer:
     """Encodes Arrow text columns; keeps the ids of at most ``max_pieces`` pieces (some 32 bytes each) until ``forget``."""
 
     def __init__(self, path: str, max_pieces: int = 500_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = kept_tokenizer(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_pieces = max_pieces

@@ -199,19 +199,22 @@ class ToxicModel:
             for part in np.array_split(mine, max(1, len(mine) // 20_000)):
                 if len(part):
                     np.maximum.at(score, word[part], folded_scores(_matrix(letters, at[part], stop[part]), self.table) + self.offset)
-        hot = np.flatnonzero(score > 0)
-        values = np.zeros((len(first), m) if len(hot) else (1, m))
-        part = np.flatnonzero(score[word] > 0)
+        # Kernel values of the hits alone: a text has far more distinct words.
+        hot = score > 0
+        place = np.cumsum(hot) - 1
+        values = np.zeros((int(hot.sum()), m))
+        part = np.flatnonzero(hot[word])
         for piece in np.array_split(part, max(1, len(part) // 5000)):
             if len(piece):
-                np.maximum.at(values, word[piece], self.landmarks.kernel(_matrix(letters, at[piece], stop[piece])))
+                np.maximum.at(values, place[word[piece]], self.landmarks.kernel(_matrix(letters, at[piece], stop[piece])))
         score = score[which]
         out[:, 0] = np.bincount(row, minlength=rows)
         out[:, 1] = np.bincount(row, weights=score > 0, minlength=rows)
         out[:, 2] = np.bincount(row, weights=np.clip(score + 1, 0, 2) ** 3, minlength=rows)
         np.maximum.at(out[:, 3], row, score)
         hits = np.flatnonzero(score > 0)
-        np.add.at(out[:, 4:], row[hits], values[which[hits]] ** 4)
+        for piece in np.array_split(hits, max(1, len(hits) // 5000)):
+            np.add.at(out[:, 4:], row[piece], values[place[which[piece]]] ** 4)
         return out
 
     def score(self, inputs: np.ndarray) -> np.ndarray:
