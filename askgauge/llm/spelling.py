@@ -156,7 +156,8 @@ def near_words(words: DataFrame, symbols: int = 8) -> DataFrame:
     bits_log2 = min(30, max(20, (16 * reduced.count()).bit_length()))
     sent = words.sparkSession.sparkContext.broadcast(bit_filter(reduced, "reduced", bits_log2))
     asked = reduced.select("word").mapInArrow(_neighbours(sent, bits_log2, symbols), "reduced long, word string")
-    found = asked.join(reduced.select("reduced", F.col("word").alias("near"), F.col("n").alias("near_n")), "reduced")
+    # Spark sizes neighbours by the words they come from, many times too low: without the hint it broadcasts them.
+    found = asked.join(reduced.select("reduced", F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "reduced")
     return found.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
 
@@ -164,12 +165,13 @@ def follow(links: DataFrame) -> DataFrame:
     """(word, root) for rows (word, form): forms are followed until a word without one.
 
     Chains have no rings. Every round doubles the steps taken, so the rounds grow with the logarithm of the
-    longest chain.
+    longest chain. Joins are sorted, never broadcast: links may be as many as words, and their files are small only because
+    they are compressed.
     """
     reached = stored(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = reached.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = reached.join(further, "root", "left")
+        joined = reached.join(further.hint("merge"), "root", "left")
         step = stored(joined.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         reached = step.select("word", "root")
         if step.where("moved").isEmpty():
@@ -186,7 +188,7 @@ def group_spellings(counts: DataFrame, min_length: int = 5, least: int = 3, rati
     """
     words = stored(counts.where((F.char_length("word") >= min_length) & (F.col("n") >= least)).select("word", "n"), "vocabulary")
     best = near_words(words, symbols).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    joined = words.join(best, "word", "left").withColumn("larger", -F.col("best.minus") >= ratio * F.col("n"))
+    joined = words.join(best.hint("merge"), "word", "left").withColumn("larger", -F.col("best.minus") >= ratio * F.col("n"))
     forms = stored(
         joined.select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -195,7 +197,7 @@ def group_spellings(counts: DataFrame, min_length: int = 5, least: int = 3, rati
         "forms",
     )
     roots = follow(forms.where("form IS NOT NULL").select("word", "form"))
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

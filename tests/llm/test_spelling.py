@@ -120,3 +120,14 @@ def test_query_over_the_whole_table(spark, folder):
     docs = [tuple(r) for r in read_table(spark, folder, "documents").select("doc_id", "text").collect()]
     got = [tuple(r) for r in spelling.op12_spelling_variants(spark, folder).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_groups(plain_counts(docs, 97))
+
+
+def test_joins_of_words_are_never_broadcast(spark):
+    # Spark sized the neighbours by their words' compressed files and broadcast them, 18 million rows at 0.5 GB.
+    counts = spark.createDataFrame([("abcde", 9), ("abcdef", 3), ("vwxyz", 4)], "word string, n long")
+    found, grouped = spelling.near_words(counts), spelling.group_spellings(counts)
+    for df in (found, grouped):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in found.collect()} == {("abcde", "abcdef", 3), ("abcdef", "abcde", 9)}
+    assert {r["word"]: r["root"] for r in grouped.collect()} == {"abcde": "abcde", "abcdef": "abcde", "vwxyz": "vwxyz"}
