@@ -17,6 +17,12 @@ def sorted_tokens(col: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(col, r"\s+"), lambda t: t != "")), " ")
 
 
+# Letters after which pairs that are too unlike are looked for, and from the second time on left out.
+PREFIX_STEP = 8
+# The places after the first 0 to 64 of a word.
+_BEYOND = np.array([(1 << 64) - (1 << n) for n in range(65)], dtype=np.uint64)
+
+
 @lru_cache(maxsize=4096)
 def _positions(text: str) -> dict[str, int]:
     """Per character, the bit set of its positions; partners of one text come in runs."""
@@ -79,6 +85,38 @@ def pair_marks(codes: np.ndarray, words: int) -> np.ndarray:
     return marks
 
 
+def _letter_keys(codes: np.ndarray) -> np.ndarray:
+    """Per text, one number for each letter and how often it came before (rows sorted); -1 where the text is filled up.
+
+    Beyond 1,024 repeats of a letter in a text no more are told apart, they get -1 too.
+    """
+    letters = np.sort(codes, axis=1).astype(np.int64)
+    place = np.arange(letters.shape[1])
+    new = np.concatenate([np.ones((len(letters), 1), dtype=bool), letters[:, 1:] != letters[:, :-1]], axis=1)
+    nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    return np.where((letters >= 0) & (nth < 1024), letters << 10 | nth, -1)
+
+
+def letter_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nth occurrences of letters (as numbers) that the texts have, and in how many of the texts each is."""
+    keys = _letter_keys(codes)
+    return np.unique(keys[keys >= 0], return_counts=True)
+
+
+def letter_marks(codes: np.ndarray, keys: np.ndarray, words: int) -> np.ndarray:
+    """Bit sets (rows of 64-bit words): which of the sorted keys, 64 a word at most, every text has.
+
+    A letter that is dropped from a text or added to it changes one bit at most.
+    """
+    bits = np.zeros((len(codes), 64 * words), dtype=bool)
+    if len(keys):
+        own = _letter_keys(codes)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        row, place = np.nonzero(keys[at] == own)
+        bits[row, at[row, place]] = True
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
 def place_masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The letters of some texts, and per letter (one more that is nowhere), 64 places and text the bits of its places."""
     letters = np.unique(codes[codes >= 0])
@@ -137,5 +175,42 @@ def subsequences_of_pairs(masks: np.ndarray, numbers: np.ndarray, row: np.ndarra
     return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
 
 
+def pair_tables(masks: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks with one row for each 64 places, and where each letter of the other texts starts there."""
+    return np.ascontiguousarray(masks.transpose(1, 0, 2)).reshape(masks.shape[1], -1), np.ascontiguousarray(numbers.T) * masks.shape[2]
+
+
+def long_subsequences(
+    tables: tuple[np.ndarray, np.ndarray], row: np.ndarray, column: np.ndarray, size: np.ndarray, dropped: np.ndarray, added: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs may keep within some unmatched letters, and the lengths of their longest common subsequences.
+
+    Per pair, ``size`` are the letters of text ``row``, ``dropped`` and ``added`` how many letters of text ``row`` and of
+    text ``column`` may stay without a partner. Of the first p letters of text ``row``, all but ``dropped`` then find theirs
+    in the first p + ``added`` of the other. Pairs that fail this on the way are left out; others are counted to the end.
+    """
+    by_letter, starts = tables
+    left = np.arange(len(row))
+    state = np.full((len(by_letter), len(row)), ~np.uint64(0), dtype=np.uint64)
+    moved = np.empty_like(state)
+    for at, start in enumerate(starts, 1):
+        where = start.take(row)
+        where += column
+        _take_letter(state, state & by_letter.take(where, axis=1), moved)
+        if at % PREFIX_STEP == 0 and 2 * PREFIX_STEP <= at < len(starts):
+            common = np.zeros(len(left), dtype=np.int64)
+            for w in range(len(state)):
+                beyond = _BEYOND.take(at - 64 * w + added, mode="clip")
+                common += np.bitwise_count(~(state[w] | beyond))
+            stays = np.flatnonzero(common >= np.minimum(size, at) - dropped)
+            if 4 * len(stays) <= 3 * len(left):
+                state = state.take(stays, axis=1)
+                moved = np.empty_like(state)
+                left, row, column, size, dropped, added = (x.take(stays) for x in (left, row, column, size, dropped, added))
+                if not len(left):
+                    break
+    return left, np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return indel_ratio(sorted_tokens(a), sorted_tokens(b))

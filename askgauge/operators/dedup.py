@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgauge.functions.fixed_values import DB_ID_PREFIX
-from askgauge.functions.similarity import letter_numbers, pair_marks, place_masks, sorted_tokens, subsequences_of_one, subsequences_of_pairs, text_codes
+from askgauge.functions.similarity import letter_counts, letter_marks, letter_numbers, long_subsequences, pair_tables, place_masks, sorted_tokens, subsequences_of_one, text_codes
 from askgauge.operators.cells import canonical_header
 from askgauge.operators.components import connected_labels
 from askgauge.session import cut_lineage, small_side
 
-# 64-bit words in the bit set that marks the grams of a text.
-MARK_WORDS = 4
+# 64-bit words in the bit set that marks the letters of a text.
+MARK_WORDS = 3
 # Texts of a block at least and at most, letters of a block with its texts filled up to the longest.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_LETTERS = 4096, 16_384, 1 << 20
 # Blocks into which texts are dealt, as long as blocks are neither too small nor too large.
@@ -48,19 +48,19 @@ def header_groups(headers: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by length: blocks of texts as one row each, with their lengths' ends and gram marks."""
+    """Over rows sorted by length: blocks of texts as one row each, with their lengths' ends."""
     part, number = TaskContext.get().partitionId(), 0
     nodes: list = []
     texts: list[str] = []
     kind = None
 
     def block() -> pa.RecordBatch:
-        codes, sizes = text_codes(texts)
+        sizes = [len(t) for t in texts]
         arrays = [
-            pa.array([(part << 32) + number], pa.int64()), pa.array([int(sizes.min())], pa.int32()), pa.array([int(sizes.max())], pa.int32()),
-            pa.array([nodes], pa.list_(kind)), pa.array([texts], pa.list_(pa.string())), pa.array([pair_marks(codes, MARK_WORDS).tobytes()], pa.binary()),
+            pa.array([(part << 32) + number], pa.int64()), pa.array([min(sizes)], pa.int32()), pa.array([max(sizes)], pa.int32()),
+            pa.array([nodes], pa.list_(kind)), pa.array([texts], pa.list_(pa.string())),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "low", "high", "nodes", "texts", "marks"])
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "low", "high", "nodes", "texts"])
 
     for batch in batches:
         kind = batch.schema.field("node").type
@@ -74,24 +74,60 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _unlike_marks_allowed(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Gram marks that only one of two texts may have, -1 where their lengths alone rule the pair out.
+def _letters_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a block have the nth occurrence of a letter."""
+    for batch in batches:
+        for texts in batch.column("texts"):
+            keys, counts = letter_counts(text_codes(texts.as_py())[0])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "n"])
+
+
+def _marked(keys: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [letter_marks(text_codes(texts.as_py())[0], keys, MARK_WORDS).tobytes() for texts in batch.column("texts")]
+            yield batch.append_column("marks", pa.array(marks, pa.binary()))
 
-    A ratio of t means a common subsequence of at least t% of the mean length.
-    A dropped letter breaks at most two grams and an inserted one at most one,
-    which leaves 3 * LCS - (joint length) - 1 of them that both texts must have.
+    return run
+
+
+def _blocks_of(nodes: DataFrame) -> DataFrame:
+    """``block, low, high, nodes, texts, marks``: texts (``node, text``) in order of their lengths, as blocks.
+
+    The marks of a text are those letters, counted by their repeats, that split the texts best: at most as many as a bit set
+    holds, whatever the alphabet.
     """
-    total = size_a + size_b
-    need = np.ceil(total * threshold / 200.0 - 1e-9).astype(np.int64)
-    return np.where(need > np.minimum(size_a, size_b), -1, np.clip(3 * total - 6 * need, 0, 32_767)).astype(np.int16)
+    nodes = cut_lineage(nodes.select("node", "text", F.length("text").alias("len")).filter("text is not null"))
+    kind = nodes.schema["node"].dataType.simpleString()
+    rows = nodes.count()
+    parts = max(1, -(-rows // min(BLOCK_MOST, max(BLOCK_LEAST, -(-rows // BLOCKS)))))
+    ordered = nodes.repartitionByRange(parts, "len", "node").sortWithinPartitions("len", "node").select("node", "text")
+    schema = f"block long, low int, high int, nodes array<{kind}>, texts array<string>"
+    blocks = cut_lineage(ordered.mapInArrow(_blocks, schema))
+    found = blocks.select("texts").mapInArrow(_letters_of_blocks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    best = found.orderBy(F.least("n", F.lit(rows) - F.col("n")).desc(), "key").limit(64 * MARK_WORDS).collect()
+    return cut_lineage(blocks.mapInArrow(_marked(np.array(sorted(r["key"] for r in best), dtype=np.int64)), f"{schema}, marks binary"))
+
+
+def _needed(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """The common subsequence that a ratio at the threshold takes: t% of the mean length."""
+    return np.ceil((size_a + size_b) * threshold / 200.0 - 1e-9).astype(np.int64)
+
+
+def _unlike_marks_allowed(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Letter marks that only one of two texts may have, -1 where their lengths alone rule the pair out."""
+    need = _needed(size_a, size_b, threshold)
+    return np.where(need > np.minimum(size_a, size_b), -1, np.clip(size_a + size_b - 2 * need, 0, 32_767)).astype(np.int16)
 
 
 def _tile_pairs(one: dict, many: dict, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places in ``one`` and in ``many`` and ratio of the pairs at or above the threshold."""
     letters, masks = place_masks(many["codes"])
     numbers = letter_numbers(one["codes"], letters)
+    tables = pair_tables(masks, numbers)
     columns, width = np.ascontiguousarray(many["marks"].T), len(many["size"])
-    bits, counts = np.empty((STRIP, width), dtype=np.uint64), np.empty((STRIP, width), dtype=np.uint8)
+    bits, counts, unlike = (np.empty((STRIP, width), dtype=kind) for kind in (np.uint64, np.uint8, np.int16))
+    lengths = many["size"].astype(np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -104,21 +140,27 @@ def _tile_pairs(one: dict, many: dict, same: bool, threshold: float) -> Iterator
         rows, others = (np.concatenate(c) for c in zip(*waiting))
         for lo in range(0, len(rows), PAIRS_COUNTED):
             row, column = rows[lo : lo + PAIRS_COUNTED], others[lo : lo + PAIRS_COUNTED]
-            yield alike(row, column, subsequences_of_pairs(masks, numbers, row, column))
+            size, other = one["size"][row], lengths[column]
+            need = _needed(size, other, threshold)
+            left, common = long_subsequences(tables, row, column, size, size - need, other - need)
+            yield alike(row[left], column[left], common)
 
+    allowed: dict[int, np.ndarray] = {}
     for at in range(0, len(numbers), STRIP):
-        strip = slice(at, at + STRIP)
-        lengths, which = np.unique(one["size"][strip], return_inverse=True)
-        allowed = _unlike_marks_allowed(lengths[:, None], many["size"], threshold)[which]
-        unlike = np.zeros(allowed.shape, dtype=np.int16)
+        sizes = one["size"][at : at + STRIP].tolist()
+        rows = len(sizes)
+        for size in set(sizes) - allowed.keys():
+            # Texts come in order of their lengths.
+            allowed = {size: _unlike_marks_allowed(np.int64(size), lengths, threshold)} | {k: v for k, v in allowed.items() if k >= sizes[0]}
         for w in range(MARK_WORDS):
-            np.bitwise_xor(one["marks"][strip, w][:, None], columns[w], out=bits[: len(unlike)])
-            unlike += np.bitwise_count(bits[: len(unlike)], out=counts[: len(unlike)])
-        fits = unlike <= allowed
+            np.bitwise_xor(one["marks"][at : at + rows, w][:, None], columns[w], out=bits[:rows])
+            np.bitwise_count(bits[:rows], out=counts[:rows])
+            np.add(unlike[:rows], counts[:rows], out=unlike[:rows]) if w else np.copyto(unlike[:rows], counts[:rows])
+        fits = unlike[:rows] <= (allowed[sizes[0]] if sizes[0] == sizes[-1] else np.stack([allowed[size] for size in sizes]))
         if same:
-            fits &= one["place"][strip][:, None] < many["place"]
+            fits &= one["place"][at : at + rows][:, None] < many["place"]
         row, column = np.divmod(np.flatnonzero(fits), width)
-        if 8 * len(row) > fits.size:
+        if 3 * len(row) > fits.size:
             # Many pairs are left: each text against the whole tile, without gathering.
             ends = np.searchsorted(row, np.arange(len(fits) + 1))
             for i in np.flatnonzero(np.diff(ends)).tolist():
@@ -190,21 +232,17 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
 
     Texts are ordered by length and cut into blocks; each pair of blocks whose lengths allow the ratio meets
     in a task, which holds two blocks at a time.  There two bounds are taken for whole tiles of pairs: the
-    lengths, and the letter pairs that only one text has (as bit sets).  For pairs that pass, the
-    common subsequence is counted exactly, 64 letters of a text in one word, many pairs at a time.  Shared
+    lengths, and the letters that only one text has (as bit sets).  For pairs that pass, the
+    common subsequence is counted exactly, 64 letters of a text in one word, many pairs at a time; pairs
+    whose first letters are too unlike are given up on the way.  Shared
     grams are no join keys here: texts of one language share so many that most pairs would meet in several.
     The number of pairs grows with the square of the texts; memory does not.
     """
-    # At or below two thirds no shared gram is owed.
     if not 200.0 / 3 < threshold <= 100.0:
         raise ValueError("unsupported: the gram filter needs a threshold above 66.7")
-    nodes = cut_lineage(nodes.select("node", "text", F.length("text").alias("len")).filter("text is not null"))
+    blocks = _blocks_of(nodes)
     kind = nodes.schema["node"].dataType.simpleString()
-    rows = nodes.count()
-    parts = max(1, -(-rows // min(BLOCK_MOST, max(BLOCK_LEAST, -(-rows // BLOCKS)))))
-    ordered = nodes.repartitionByRange(parts, "len", "node").sortWithinPartitions("len", "node").select("node", "text")
-    blocks = cut_lineage(ordered.mapInArrow(_blocks, f"block long, low int, high int, nodes array<{kind}>, texts array<string>, marks binary"))
-    ends = blocks.select("block", "low", "high")
+    ends = blocks.select("block", "low", "high").coalesce(1)
     shorter, longer = F.least("x.high", "y.high"), F.greatest("x.low", "y.low")
     meet = (F.col("x.block") <= F.col("y.block")) & (200.0 * shorter >= threshold * (shorter + longer) - 1e-6)
     pairs = cut_lineage(ends.alias("x").join(ends.alias("y"), meet).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")))

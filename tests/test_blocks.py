@@ -68,3 +68,37 @@ def test_pairs_leave_a_task_in_small_batches():
     assert sum(b.num_rows for b in found) == 700 * 699 // 2
     assert max(b.num_rows for b in found) <= D.PAIRS_SENT + D.STRIP * D.TILE
     assert len(found) > 1
+
+
+@pytest.mark.parametrize("letters, longest", [("ab|é", 9), ("thernd|oi", 63), ("abc漢字😀|", 70), ("abcd|", 200)])
+def test_marks_and_prefixes_only_leave_out_pairs_that_are_too_unlike(letters, longest):
+    texts = _texts(80, letters, longest, longest + 1)
+    codes, sizes = S.text_codes(texts)
+    held, masks = S.place_masks(codes)
+    tables = S.pair_tables(masks, S.letter_numbers(codes, held))
+    row, column = (c.ravel() for c in np.indices((len(texts), len(texts))))
+    plain = np.array([S.common_subsequence(texts[i], texts[j]) for i, j in zip(row, column)])
+    keys, counts = S.letter_counts(codes)
+    assert counts.sum() == sizes.sum() and len(keys) == sum(max(t.count(x) for t in texts) for x in set("".join(texts)))
+    for words in (1, 3):
+        marks = S.letter_marks(codes, keys[: 64 * words], words)
+        assert (np.bitwise_count(marks[row] ^ marks[column]).sum(axis=1) <= sizes[row] + sizes[column] - 2 * plain).all()
+    for threshold in (60.0, 80.0, 95.0):
+        need = D._needed(sizes[row], sizes[column], threshold)
+        left, common = S.long_subsequences(tables, row, column, sizes[row], sizes[row] - need, sizes[column] - need)
+        assert (common == plain[left]).all() and set(np.flatnonzero(plain >= need)) <= set(left)
+
+
+def test_unlike_texts_are_given_up_early(monkeypatch):
+    # Texts of one language share so many letter pairs that two thirds of all pairs were counted to their last letter.
+    draw = random.Random(3)
+    pieces = ["|", *("".join(draw.choices("etaoinsrhldcu", k=3)) for _ in range(40))]
+    texts = ["".join(draw.choices(pieces, k=40))[:60] for _ in range(600)]
+    codes, sizes = S.text_codes(texts)
+    keys, _ = S.letter_counts(codes)
+    one = {"codes": codes, "size": sizes, "marks": S.letter_marks(codes, keys[: 64 * D.MARK_WORDS], D.MARK_WORDS), "place": np.arange(600)}
+    steps = []
+    plain = S._take_letter
+    monkeypatch.setattr(S, "_take_letter", lambda state, hit, moved: (steps.append(state.shape[1]), plain(state, hit, moved))[1])
+    assert not [p for p in D._tile_pairs(one, one, True, 80.0) if len(p[0])]
+    assert sum(steps) < 0.25 * 60 * 600 * 599 / 2
