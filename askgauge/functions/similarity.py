@@ -186,8 +186,9 @@ def long_subsequences(
     """Which of the pairs may keep within some unmatched letters, and the lengths of their longest common subsequences.
 
     Per pair, ``size`` are the letters of text ``row``, ``dropped`` and ``added`` how many letters of text ``row`` and of
-    text ``column`` may stay without a partner. Of the first p letters of text ``row``, all but ``dropped`` then find theirs
-    in the first p + ``added`` of the other. Pairs that fail this on the way are left out; others are counted to the end.
+    text ``column`` may stay without a partner. Of the first p letters of text ``row``, p - ``dropped`` then find theirs, with
+    ``added`` others between them at most: so among the first p - ``dropped`` + ``added`` letters of text ``column``. Pairs
+    that fail this on the way are left out; others are counted to the end.
     """
     by_letter, starts = tables
     left = np.arange(len(row))
@@ -198,11 +199,12 @@ def long_subsequences(
         where += column
         _take_letter(state, state & by_letter.take(where, axis=1), moved)
         if at % PREFIX_STEP == 0 and 2 * PREFIX_STEP <= at < len(starts):
+            owed = np.minimum(size, at) - dropped
             common = np.zeros(len(left), dtype=np.int64)
             for w in range(len(state)):
-                beyond = _BEYOND.take(at - 64 * w + added, mode="clip")
+                beyond = _BEYOND.take(owed + (added - 64 * w), mode="clip")
                 common += np.bitwise_count(~(state[w] | beyond))
-            stays = np.flatnonzero(common >= np.minimum(size, at) - dropped)
+            stays = np.flatnonzero(common >= owed)
             if 4 * len(stays) <= 3 * len(left):
                 state = state.take(stays, axis=1)
                 moved = np.empty_like(state)

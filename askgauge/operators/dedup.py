@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from askgauge.operators.cells import canonical_header
 from askgauge.operators.components import connected_labels
 from askgauge.session import cut_lineage, small_side
 
-# 64-bit words in the bit set that marks the letters of a text.
+# 64-bit words in the bit set that marks the letters of a text; three, as counts of unlike bits are kept in a byte.
 MARK_WORDS = 3
 # Texts of a block at least and at most, letters of a block with its texts filled up to the longest.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_LETTERS = 4096, 16_384, 1 << 20
@@ -32,6 +33,8 @@ TILE, STRIP, MASK_BYTES = 8192, 8, 32 << 20
 PAIRS_COUNTED, PAIRS_SENT = 16_384, 100_000
 # Edges of a component that one task walks.
 WALK_EDGES = 200_000
+# Headers that are all compared with each other, the first and each later stretch of a longer walk.
+LEAD_WHOLE, LEAD_FIRST, LEAD_STRETCH = 131_072, 16_384, 65_536
 
 
 def header_groups(headers: DataFrame) -> DataFrame:
@@ -91,11 +94,11 @@ def _marked(keys: np.ndarray):
     return run
 
 
-def _blocks_of(nodes: DataFrame) -> DataFrame:
+def _blocks_of(nodes: DataFrame, keys: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
     """``block, low, high, nodes, texts, marks``: texts (``node, text``) in order of their lengths, as blocks.
 
     The marks of a text are those letters, counted by their repeats, that split the texts best: at most as many as a bit set
-    holds, whatever the alphabet.
+    holds, whatever the alphabet. They are returned too; texts that meet other blocks take the ``keys`` of these.
     """
     nodes = cut_lineage(nodes.select("node", "text", F.length("text").alias("len")).filter("text is not null"))
     kind = nodes.schema["node"].dataType.simpleString()
@@ -104,9 +107,11 @@ def _blocks_of(nodes: DataFrame) -> DataFrame:
     ordered = nodes.repartitionByRange(parts, "len", "node").sortWithinPartitions("len", "node").select("node", "text")
     schema = f"block long, low int, high int, nodes array<{kind}>, texts array<string>"
     blocks = cut_lineage(ordered.mapInArrow(_blocks, schema))
-    found = blocks.select("texts").mapInArrow(_letters_of_blocks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    best = found.orderBy(F.least("n", F.lit(rows) - F.col("n")).desc(), "key").limit(64 * MARK_WORDS).collect()
-    return cut_lineage(blocks.mapInArrow(_marked(np.array(sorted(r["key"] for r in best), dtype=np.int64)), f"{schema}, marks binary"))
+    if keys is None:
+        found = blocks.select("texts").mapInArrow(_letters_of_blocks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        best = found.orderBy(F.least("n", F.lit(rows) - F.col("n")).desc(), "key").limit(64 * MARK_WORDS).collect()
+        keys = np.array(sorted(r["key"] for r in best), dtype=np.int64)
+    return cut_lineage(blocks.mapInArrow(_marked(keys), f"{schema}, marks binary")), keys
 
 
 def _needed(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -114,10 +119,10 @@ def _needed(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndar
     return np.ceil((size_a + size_b) * threshold / 200.0 - 1e-9).astype(np.int64)
 
 
-def _unlike_marks_allowed(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Letter marks that only one of two texts may have, -1 where their lengths alone rule the pair out."""
+def _unlike_marks_below(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """What the letter marks that only one of two texts has stay below, 0 where their lengths alone rule the pair out."""
     need = _needed(size_a, size_b, threshold)
-    return np.where(need > np.minimum(size_a, size_b), -1, np.clip(size_a + size_b - 2 * need, 0, 32_767)).astype(np.int16)
+    return np.where(need > np.minimum(size_a, size_b), 0, np.clip(size_a + size_b - 2 * need + 1, 1, 255)).astype(np.uint8)
 
 
 def _tile_pairs(one: dict, many: dict, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -126,7 +131,7 @@ def _tile_pairs(one: dict, many: dict, same: bool, threshold: float) -> Iterator
     numbers = letter_numbers(one["codes"], letters)
     tables = pair_tables(masks, numbers)
     columns, width = np.ascontiguousarray(many["marks"].T), len(many["size"])
-    bits, counts, unlike = (np.empty((STRIP, width), dtype=kind) for kind in (np.uint64, np.uint8, np.int16))
+    bits, counts, unlike = (np.empty((STRIP, width), dtype=kind) for kind in (np.uint64, np.uint8, np.uint8))
     lengths = many["size"].astype(np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
@@ -145,18 +150,19 @@ def _tile_pairs(one: dict, many: dict, same: bool, threshold: float) -> Iterator
             left, common = long_subsequences(tables, row, column, size, size - need, other - need)
             yield alike(row[left], column[left], common)
 
-    allowed: dict[int, np.ndarray] = {}
+    below: dict[int, np.ndarray] = {}
     for at in range(0, len(numbers), STRIP):
         sizes = one["size"][at : at + STRIP].tolist()
         rows = len(sizes)
-        for size in set(sizes) - allowed.keys():
+        for size in set(sizes) - below.keys():
             # Texts come in order of their lengths.
-            allowed = {size: _unlike_marks_allowed(np.int64(size), lengths, threshold)} | {k: v for k, v in allowed.items() if k >= sizes[0]}
+            below = {size: _unlike_marks_below(np.int64(size), lengths, threshold)} | {k: v for k, v in below.items() if k in sizes}
         for w in range(MARK_WORDS):
             np.bitwise_xor(one["marks"][at : at + rows, w][:, None], columns[w], out=bits[:rows])
-            np.bitwise_count(bits[:rows], out=counts[:rows])
-            np.add(unlike[:rows], counts[:rows], out=unlike[:rows]) if w else np.copyto(unlike[:rows], counts[:rows])
-        fits = unlike[:rows] <= (allowed[sizes[0]] if sizes[0] == sizes[-1] else np.stack([allowed[size] for size in sizes]))
+            np.bitwise_count(bits[:rows], out=counts[:rows] if w else unlike[:rows])
+            if w:
+                np.add(unlike[:rows], counts[:rows], out=unlike[:rows])
+        fits = unlike[:rows] < (below[sizes[0]] if sizes[0] == sizes[-1] else np.stack([below[size] for size in sizes]))
         if same:
             fits &= one["place"][at : at + rows][:, None] < many["place"]
         row, column = np.divmod(np.flatnonzero(fits), width)
@@ -240,20 +246,38 @@ def similar_pairs(nodes: DataFrame, threshold: float = 80.0) -> DataFrame:
     """
     if not 200.0 / 3 < threshold <= 100.0:
         raise ValueError("unsupported: the gram filter needs a threshold above 66.7")
-    blocks = _blocks_of(nodes)
-    kind = nodes.schema["node"].dataType.simpleString()
-    ends = blocks.select("block", "low", "high").coalesce(1)
+    blocks, _ = _blocks_of(nodes)
+    found = _met(blocks, _meeting(blocks, blocks, threshold).filter("i <= j"), threshold)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio")
+
+
+def _meeting(some: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """``i, j``: blocks whose lengths allow the ratio."""
     shorter, longer = F.least("x.high", "y.high"), F.greatest("x.low", "y.low")
-    meet = (F.col("x.block") <= F.col("y.block")) & (200.0 * shorter >= threshold * (shorter + longer) - 1e-6)
-    pairs = cut_lineage(ends.alias("x").join(ends.alias("y"), meet).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")))
+    meet = 200.0 * shorter >= threshold * (shorter + longer) - 1e-6
+    ends = [blocks.select("block", "low", "high").coalesce(1).alias(name) for name, blocks in (("x", some), ("y", others))]
+    return ends[0].join(ends[1], meet).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+
+
+def _met(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``x, y, ratio``: the pairs of texts at or above the threshold, of blocks i and j each."""
+    kind = blocks.schema["nodes"].dataType.elementType.simpleString()
+    pairs = cut_lineage(pairs)
     tasks = max(1, min(BLOCK_TASKS, pairs.count()))
     sides = pairs.select("i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
         pairs.filter("i <> j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side"))
     )
     placed = blocks.join(small_side(sides), "block").select("i", "j", "side", "nodes", "texts", "marks")
     meeting = placed.repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "side")
-    found = meeting.mapInArrow(_block_pairs(threshold), f"x {kind}, y {kind}, ratio double")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio")
+    return meeting.mapInArrow(_block_pairs(threshold), f"x {kind}, y {kind}, ratio double")
+
+
+def _claims(leaders: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node, leader``: the smallest of the leaders (``node, text``) that each node (``node, text``) is near to, where one is."""
+    first, keys = _blocks_of(leaders)
+    second = _blocks_of(nodes, keys)[0].withColumn("block", -1 - F.col("block"))
+    found = _met(first.unionByName(second), _meeting(first, second, threshold), threshold)
+    return found.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("leader"))
 
 
 def header_near_dups(headers: DataFrame, threshold: float = 90.0) -> DataFrame:
@@ -335,12 +359,42 @@ def lead_nodes(nodes: DataFrame, edges: DataFrame, walk_edges: int = WALK_EDGES)
     return everyone(led)
 
 
+def lead_texts(nodes: DataFrame, threshold: float, whole: int = LEAD_WHOLE, first: int = LEAD_FIRST, stretch: int = LEAD_STRETCH) -> DataFrame:
+    """Greedy leaders of texts (``node, text``) in node order: ``node, leader``.
+
+    Up to ``whole`` texts are all compared with each other.  More are walked in stretches of nodes: within a stretch all that
+    are still unclaimed are compared, then its leaders claim what comes later.  Claimed nodes drop out, and nobody
+    is compared with a member, so the work is leaders times texts.  Stretches only say what is compared when.
+    """
+    texts = cut_lineage(nodes.select("node", "text").filter("text is not null").distinct())
+    alone = lambda some: lead_nodes(some.select("node").distinct(), similar_pairs(some.select("node", "text"), threshold))
+    count = texts.count()
+    if count <= whole:
+        return alone(texts)
+    left = cut_lineage(texts.repartitionByRange(2 + 4 * count // stretch, "node").withColumn("part", F.spark_partition_id()))
+    ends, held = [], 0
+    for row in left.groupBy("part").count().orderBy("part").collect():
+        held += row["count"]
+        if held >= (stretch if ends else first):
+            ends.append(row["part"])
+            held = 0
+    led = []
+    for end in [*ends, None]:
+        now = left if end is None else cut_lineage(left.filter(F.col("part") <= end))
+        led.append(cut_lineage(alone(now)))
+        if end is not None:
+            left = left.filter(F.col("part") > end)
+            leaders = now.join(led[-1].filter("node = leader").select("node"), "node", "left_semi")
+            led.append(cut_lineage(_claims(leaders, left, threshold)))
+            left = cut_lineage(left.join(led[-1], "node", "left_anti"))
+    return reduce(DataFrame.unionByName, led)
+
+
 def cluster_tables(headers: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Leader of every table: ``table_id, leader_id``."""
     groups = cut_lineage(header_groups(headers))
     nodes = groups.filter("table_id = node").select("node", "text")
-    edges = cut_lineage(similar_pairs(nodes, threshold))
-    led = lead_nodes(nodes.select("node"), edges)
+    led = nodes.select("node").join(lead_texts(nodes, threshold), "node")
     return groups.join(led, "node").select("table_id", F.col("leader").alias("leader_id"))
 
 

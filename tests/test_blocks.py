@@ -102,3 +102,31 @@ def test_unlike_texts_are_given_up_early(monkeypatch):
     monkeypatch.setattr(S, "_take_letter", lambda state, hit, moved: (steps.append(state.shape[1]), plain(state, hit, moved))[1])
     assert not [p for p in D._tile_pairs(one, one, True, 80.0) if len(p[0])]
     assert sum(steps) < 0.25 * 60 * 600 * 599 / 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaders_by_stretches_match_a_plain_walk(spark, monkeypatch, seed):
+    draw = random.Random(seed)
+    texts = _texts(150, "then|", 24, seed)
+    texts += [t + "|id" for t in texts[40:]]
+    nodes = [(n, t) for n, t in zip(draw.sample(range(-500, 500), len(texts)), texts)]
+    # A node may come twice, or with two texts.
+    nodes += [nodes[3], (nodes[5][0], "other|header"), (nodes[7][0], nodes[90][1])]
+    by_node = {}
+    for n, t in nodes:
+        by_node.setdefault(n, []).append(t)
+    near = lambda a, b: any(s == t or 200.0 * S.common_subsequence(s, t) / (len(s) + len(t)) >= 80.0 for s in by_node[a] for t in by_node[b])
+    led = {}
+    for a in sorted(by_node):
+        if a not in led:
+            led |= {a: a} | {b: a for b in by_node if b > a and b not in led and near(a, b)}
+    df = spark.createDataFrame(nodes, "node long, text string")
+    compared = []
+    plain = D._met
+    monkeypatch.setattr(D, "_met", lambda blocks, pairs, threshold: (compared.append(blocks.selectExpr("sum(size(nodes))").head()[0]), plain(blocks, pairs, threshold))[1])
+    for whole in (0, 1_000):
+        compared.clear()
+        got = [tuple(r) for r in D.lead_texts(df, 80.0, whole, 40, 70).collect()]
+        assert sorted(got) == sorted(led.items())
+        # By stretches, no comparison holds all texts; claimed ones have dropped out.
+        assert len(compared) >= 5 and max(compared) < len(texts) if whole == 0 else compared == [len(set(nodes))]
