@@ -104,7 +104,8 @@ def _blocks_of(nodes: DataFrame, keys: np.ndarray | None = None) -> tuple[DataFr
     kind = nodes.schema["node"].dataType.simpleString()
     rows = nodes.count()
     parts = max(1, -(-rows // min(BLOCK_MOST, max(BLOCK_LEAST, -(-rows // BLOCKS)))))
-    ordered = nodes.repartitionByRange(parts, "len", "node").sortWithinPartitions("len", "node").select("node", "text")
+    # Every block is copied once for each block it meets, so there are no more of them where a session raises the ranges.
+    ordered = nodes.repartitionByRange(parts, "len", "node").coalesce(parts).sortWithinPartitions("len", "node").select("node", "text")
     schema = f"block long, low int, high int, nodes array<{kind}>, texts array<string>"
     blocks = cut_lineage(ordered.mapInArrow(_blocks, schema))
     if keys is None:

@@ -130,3 +130,14 @@ def test_leaders_by_stretches_match_a_plain_walk(spark, monkeypatch, seed):
         assert sorted(got) == sorted(led.items())
         # By stretches, no comparison holds all texts; claimed ones have dropped out.
         assert len(compared) >= 5 and max(compared) < len(texts) if whole == 0 else compared == [len(set(nodes))]
+
+
+def test_blocks_stay_few_where_a_session_raises_ranges(spark, monkeypatch):
+    # Each block is copied once for each block it meets; 211 ranges made 22,000 meetings of 10,000 headers.
+    kind = type(spark.range(0))
+    plain = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, parts, *by: plain(self, max(40, parts), *by))
+    texts = _texts(200, "then|", 30, 11)
+    blocks, keys = D._blocks_of(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    assert len(keys) <= 64 * D.MARK_WORDS and blocks.count() == 1
+    assert sorted(blocks.head()["texts"]) == sorted(texts)
